@@ -14,7 +14,8 @@ The baseline of a source is the share of its texts that end without a terminator
 show nothing else; where that share is ``baseline`` or more, a missing terminator is
 the custom of the source and says nothing, unless the length is one at which
 ``limit_share`` of the source's bare texts pile up (a field limit). The baseline is
-computed over all documents; only sources and lengths are joined back.
+computed over all documents (a source needs ``least_texts`` bare texts to have a custom);
+only sources and lengths are joined back.
 
 Defined results: null and blank texts are whole; a null source is a source of its own;
 repeated rows are each judged; texts are read whole, whatever their length.
@@ -100,7 +101,7 @@ def last_clause(line: str) -> str:
     return cut[-1]
 
 
-def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05) -> DataFrame:
+def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05, least_texts: int = 20) -> DataFrame:
     """One row per document: doc_id, source, n_chars, kind and is_cut."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     judged = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")).mapInArrow(look, f"doc_id {id_type}, source string, kind string, n_chars bigint")
     judged = materialise(judged, "judged")
     bare = F.col("kind") == "bare"
-    custom = judged.groupBy("source").agg(F.count("*").alias("n"), F.count_if(bare).alias("n_bare")).where(F.col("n_bare") >= F.col("n") * baseline)
+    custom = judged.groupBy("source").agg(F.count("*").alias("n"), F.count_if(bare).alias("n_bare")).where((F.col("n_bare") >= F.col("n") * baseline) & (F.col("n_bare") >= least_texts))
     # Lengths at which the bare texts of such a source pile up.
     limits = judged.where(bare).groupBy("source", "n_chars").agg(F.count("*").alias("at_length")).join(custom.select(F.col("source").alias("s"), "n_bare"), F.col("source").eqNullSafe(F.col("s")))
     limits = limits.where((F.col("at_length") >= 3) & (F.col("at_length") >= F.col("n_bare") * limit_share)).select("source", "n_chars", F.lit(True).alias("at_limit"))
