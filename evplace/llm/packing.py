@@ -24,6 +24,7 @@ import math
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,15 +126,19 @@ def pack_texts(
     whole = whole.withColumns({"container_id": F.concat_ws(".", F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece"), "fill": F.col("capacity"), "level": F.lit(-1), "grp": F.lit(0).cast("long")})
     loose = items.where("n_pieces > n_full").select("limit_name", "capacity", "doc_id", F.col("n_full").alias("piece"), "n_pieces", F.col("rest").alias("n_tokens"), F.expr(f"pmod(xxhash64(doc_id), {groups})").alias("grp"))
 
-    def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        placed, fills = best_fit(pdf["n_tokens"].tolist(), int(pdf["capacity"].iloc[0]))
-        group = pdf["grp"].iloc[0]
-        return pdf.assign(container_id=[f"0.{group}.{no}" for no in placed], fill=[fills[no] for no in placed], level=0)
+    order = ["limit_name", "capacity", "doc_id", "piece", "n_pieces", "n_tokens", "container_id", "fill", "level", "grp"]
+
+    def pack_group(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        placed, fills = best_fit(group["n_tokens"].to_pylist(), group["capacity"][0].as_py())
+        no = group["grp"][0].as_py()
+        made = {"container_id": pa.array([f"0.{no}.{x}" for x in placed], pa.string()), "fill": pa.array([fills[x] for x in placed], pa.int64()), "level": pa.array([0] * len(placed), pa.int32())}
+        for name, column in made.items():
+            group = group.append_column(name, column)
+        return group.select(order)
 
     schema0 = f"limit_name string, capacity bigint, doc_id {doc_type}, piece int, n_pieces int, n_tokens bigint, container_id string, fill bigint, level int, grp bigint"
-    order = ["limit_name", "capacity", "doc_id", "piece", "n_pieces", "n_tokens", "container_id", "fill", "level", "grp"]
-    contents = materialise(loose.groupBy("limit_name", "grp").applyInPandas(lambda pdf: pack_group(pdf)[order], schema0).unionByName(whole.select(*order)), "contents")
+    contents = materialise(loose.groupBy("limit_name", "grp").applyInArrow(pack_group, schema0).unionByName(whole.select(*order)), "contents")
 
     # The tree: underfull containers are the items of the next round.
     fresh = contents.where((F.col("level") == 0) & (F.col("fill") < F.col("capacity") * full_share)).select("limit_name", "capacity", "container_id", "fill", "grp").distinct()

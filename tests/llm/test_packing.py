@@ -40,15 +40,15 @@ def check(rows, docs, limits):
 
 
 def test_pack_whole_tree(spark):
-    docs = [(i, "a b, " * (i * 37 % 90)) for i in range(400)] + [(1000, None), (1001, ""), (1002, "w " * 5000), (1003, "x" * 100_000)]
+    docs = [(i, "a b, " * (i * 37 % 90)) for i in range(400)] + [(1000, None), (1001, ""), (1002, "w " * 5000), (1003, "x" * 100_000), (None, "a null id"), (2**62 + 1, "a large id")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     limits = [("s", 64), ("l", 300)]
     lf = spark.createDataFrame(limits + limits + [("null", None), ("zero", 0)], "limit_name string, capacity_tokens int")
-    first = sorted(map(tuple, pack_texts(df, lf, group_items=40, fan_in=2).collect()))
+    first = sorted(map(tuple, pack_texts(df, lf, group_items=40, fan_in=2).collect()), key=str)
     check(pack_texts(df, lf, group_items=40, fan_in=2).collect(), docs, limits)
     check(pack_texts(df, lf).collect(), docs, limits)
     # The layout of the input does not matter.
-    assert first == sorted(map(tuple, pack_texts(df.repartition(7), lf, group_items=40, fan_in=2).collect()))
+    assert first == sorted(map(tuple, pack_texts(df.repartition(7), lf, group_items=40, fan_in=2).collect()), key=str)
 
 
 def test_empty(spark):
