@@ -51,6 +51,34 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "text", query
     return asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
+def best_of_partition(shared, keep: int, rows: int = 1024):
+    """The function that keeps the best chunks of a whole partition for every query of a block.
+
+    Slices of ``rows`` chunks are scored at a time, so the score matrix stays small whatever the size of a batch, and
+    only ``keep`` rows per query leave the partition. Equal scores go by chunk id.
+    """
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, matrix = shared.value
+        best_scores = np.zeros((len(names), 0))
+        best_ids: np.ndarray | None = None
+        for pdf in batches:
+            for start in range(0, len(pdf), rows):
+                part = pdf.iloc[start : start + rows]
+                scores = np.round(matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T, 6)
+                ids = np.broadcast_to(part["chunk_id"].to_numpy(), scores.shape)
+                scores = np.concatenate([best_scores, scores], axis=1)
+                ids = ids if best_ids is None else np.concatenate([best_ids, ids], axis=1)
+                by_id = np.argsort(ids, axis=1, kind="stable")
+                by_score = np.argsort(-np.take_along_axis(scores, by_id, 1), axis=1, kind="stable")[:, :keep]
+                top = np.take_along_axis(by_id, by_score, 1)
+                best_scores, best_ids = np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
+        if best_ids is not None:
+            yield pd.DataFrame({"query_id": np.repeat(names, best_ids.shape[1]), "chunk_id": best_ids.ravel(), "score": best_scores.ravel()})
+
+    return search
+
+
 def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, exclude: DataFrame | None = None, min_score: float | None = None, block: int = 2000) -> DataFrame:
     """(query_id, chunk_id, score, rank): cosine of unit vectors, best k per query.
 
@@ -74,18 +102,7 @@ def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, exclude: DataFram
         ids = np.array([r[0] for r in rows], dtype=object)
         shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], dtype=np.float64)))
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared, keep: int = k + more) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                scores = np.round(matrix @ np.stack(pdf["vector"].to_numpy()).astype(np.float64).T, 6)
-                chunk = pdf["chunk_id"].to_numpy()
-                order = np.argsort(chunk, kind="stable")
-                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :keep]]
-                yield pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
-
-        part = base.mapInPandas(search, types)
+        part = base.mapInPandas(best_of_partition(shared, k + more), types)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], types)

@@ -77,7 +77,7 @@ def topical_relevance(spark, d):
 def domain_predicates(spark, d):
     """The domain rules side by side; every seventh id length stands for an unknown persona."""
     m = v.manifest(spark, d).withColumn("persona", F.when(F.length("custom_id") % 7 == 0, "persona_x").otherwise(F.col("target_persona_id"))).select("custom_id", "evidence_id", "persona")
-    j = m.join(v.evidence(spark, d).select("evidence_id", "category"), "evidence_id")
+    j = m.join(v.evidence(spark, d, "category").select("evidence_id", "category"), "evidence_id")
     c, p = F.col("category"), F.col("persona")
     key = F.array_compact(F.array(text.category_key(c)))
     return j.select("custom_id", ev.evidence_in_domain(c, p).alias("single"), ev.session_in_domain(c, p).alias("session"), ev.is_off_topic(key, p).alias("off_topic"),
@@ -98,7 +98,7 @@ def persona_order(spark, d):
     SELECT DISTINCT question_idx FROM g WHERE question_idx NOT IN (SELECT question_idx FROM n)""")
 def reasonable_questions(spark, d):
     """Right with golden context, wrong without any."""
-    s = v.screening(spark, d).where(text.exact_match(F.col("final_answer"), F.col("gold_answer"), False))
+    s = v.screening(spark, d, "screening_agent", "question_idx", "final_answer", "gold_answer").where(text.exact_match(F.col("final_answer"), F.col("gold_answer"), False))
     right = s.where("screening_agent = 'golden_context'").select("question_idx").distinct()
     return right.join(s.where("screening_agent = 'no_context'").select("question_idx"), "question_idx", "left_anti")
 
@@ -111,7 +111,7 @@ _F1 = f"""f AS (SELECT screening_agent, {v.em_sql('final_answer', False)} AS p,
     FROM s GROUP BY 1""")
 def screening_scores(spark, d):
     a, g = F.col("final_answer"), F.col("gold_answer")
-    s = v.screening(spark, d)
+    s = v.screening(spark, d, "screening_agent", "final_answer", "gold_answer")
     return s.groupBy("screening_agent").agg(F.count("*").alias("n"), F.round(F.avg(text.exact_match(a, g, False).cast("int")), 6).alias("mean_em"), F.round(F.avg(text.token_f1(a, g)), 6).alias("mean_f1"))
 
 
@@ -158,12 +158,12 @@ _STRICT = f"""{v.RUNS}, {v.EVIDENCE}, {v.QUESTIONS},
 
 def _strict_hits(spark, d):
     """Hit per gold document of a run; every third run saw its documents cut to 60 characters of the fact."""
-    e = v.evidence(spark, d)
+    e = v.evidence(spark, d, "source_question_id", "url", "title", "fact", "source")
     run = v.runs(spark, d, "question_idx", "variant", "retrieved_documents")
     got = run.select("run_id", F.explode(F.array_distinct(F.transform("retrieved_documents", lambda x: x.url))).alias("url"))
     seen = F.concat("title", F.lit("\n"), F.when(F.col("run_id") % 3 == 0, F.substring("fact", 1, 60)).otherwise(F.col("fact")))
     pool = got.join(e.select("url", "title", "fact"), "url").select("run_id", "url", F.array(seen).alias("texts"))
-    q = v.questions(spark, d).select("question_idx", F.col("question_id").alias("source_question_id"))
+    q = v.questions(spark, d, "question_id").select("question_idx", F.col("question_id").alias("source_question_id"))
     gold = run.where("variant <> 'memory_only'").select("run_id", "question_idx").join(q, "question_idx").join(e.select("source_question_id", "url", "title", "fact", "source"), "source_question_id")
     j = gold.join(pool, ["run_id", "url"], "left")
     return j.select("run_id", "url", metrics.strict_doc_hit(F.col("fact"), F.col("title"), F.col("source"), F.col("texts")).alias("hit"))
@@ -206,7 +206,7 @@ _DIV = f"""{_GOLD}, {v.MANIFEST}, dv AS (SELECT g.run_id, m.* FROM gold g JOIN m
 
 def _diversity(spark, d):
     g = _gold(spark, d).where("variant <> 'document_only'").select("run_id", F.col("session_id").alias("custom_id"))
-    m = v.manifest(spark, d).select("custom_id", "evidence_placement", "topic_drift", "evidence_density", "turn_range")
+    m = v.manifest(spark, d, "evidence_placement", "topic_drift", "evidence_density", "turn_range").drop("arrived_at")
     share = lambda cond: F.round(F.avg(F.coalesce(cond.cast("int"), F.lit(0))), 6)
     upper, lower = F.get("turn_range", F.lit(1)), F.get("turn_range", F.lit(0))
     return g.join(m, "custom_id").groupBy("run_id").agg(
@@ -232,10 +232,10 @@ def diversity_features(spark, d):
   FROM rc JOIN rec USING (run_id) LEFT JOIN df USING (run_id) LEFT JOIN (SELECT question_idx, hop_count FROM questions) q USING (question_idx) WHERE agent IN ('agent_1', 'agent_2', 'agent_3', 'agent_4')""")
 def model_features(spark, d):
     """The table that models are fitted on: labels, relevance, recall, hops and diversity of each run."""
-    r = v.runs(spark, d).where(F.col("agent").isin("agent_1", "agent_2", "agent_3", "agent_4"))
+    r = v.runs(spark, d, "question_idx", "block_id", "agent", "eval_persona", "variant", "prediction", "gold_answer").where(F.col("agent").isin("agent_1", "agent_2", "agent_3", "agent_4"))
     r = relational.rename_missing(r, {"eval_persona": "persona", "variant": "dist"})
     c = v.question_categories(spark, d).select("question_idx", "categories")
-    h = v.questions(spark, d).select("question_idx", "hop_count")
+    h = v.questions(spark, d, "hop_count").drop("arrived_at")
     out = r.join(c, "question_idx").join(h, "question_idx", "left").join(recall_at_k_mixed(spark, d).select("run_id", "recall"), "run_id").join(_diversity(spark, d), "run_id", "left")
     return out.select("run_id", "block_id", "agent", "dist", "persona", text.exact_match(F.col("prediction"), F.col("gold_answer")).cast("int").alias("correct"),
                       ev.topical_relevance(F.col("categories"), F.col("persona")).alias("relevance"), "recall", "hop_count", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), "frac_late", "max_turns")
@@ -247,7 +247,7 @@ def audit_table(spark, d):
     """One row per gold session of a memory-only run, with its diversity, hit and completeness (unknown after a parse error)."""
     r = v.runs(spark, d, "variant", "retrieved_memory").where("variant = 'memory_only'").select("run_id", F.transform("retrieved_memory", lambda x: x.session_id).alias("got"))
     g = _gold(spark, d).select("run_id", "session_id").join(r, "run_id")
-    m = v.manifest(spark, d).withColumnRenamed("custom_id", "session_id")
+    m = v.manifest(spark, d, "session_parse_error", "evidence_placement", "evidence_density", "is_temporal").withColumnRenamed("custom_id", "session_id")
     complete = F.when(F.col("session_parse_error").isNotNull(), None).otherwise(F.col("evidence_placement").isNotNull())
     return g.join(m, "session_id").select("run_id", "session_id", "evidence_placement", "evidence_density", "is_temporal", F.array_contains("got", F.col("session_id")).alias("retrieved"), complete.alias("complete"))
 

@@ -25,11 +25,11 @@ def query(sql: str | None = None):
 
 
 def _chunks(spark, d):
-    return v.evidence(spark, d).select(F.col("evidence_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("fact", F.lit(""))).alias("text"))
+    return v.evidence(spark, d, "title", "fact").select(F.col("evidence_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("fact", F.lit(""))).alias("text"))
 
 
 def _asked(spark, d):
-    return v.questions(spark, d).where(F.col("question_idx") % v.SEARCH_STEP == 0).select(F.col("question_idx").alias("query_id"), "query", "question_id")
+    return v.questions(spark, d, "query", "question_id").where(F.col("question_idx") % v.SEARCH_STEP == 0).select(F.col("question_idx").alias("query_id"), "query", "question_id")
 
 
 def _bm25_top(spark, d, k=10):
@@ -57,7 +57,7 @@ def bm25_topk(spark, d):
     SELECT g.query_id, count(*) AS n_gold, count(bm.chunk_id) AS n_found, round(count(bm.chunk_id) / count(*), 6) AS recall FROM g LEFT JOIN bm USING (query_id, chunk_id) GROUP BY 1""")
 def bm25_recall_at_10(spark, d):
     """Flagship: retrieve evidence for the asked questions by BM25 and measure recall of their own evidence."""
-    gold = _asked(spark, d).join(v.evidence(spark, d).select(F.col("source_question_id").alias("question_id"), F.col("evidence_id").alias("chunk_id")), "question_id").select("query_id", "chunk_id")
+    gold = _asked(spark, d).join(v.evidence(spark, d, "source_question_id").select(F.col("source_question_id").alias("question_id"), F.col("evidence_id").alias("chunk_id")), "question_id").select("query_id", "chunk_id")
     return r.recall_at_k(_bm25_top(spark, d), gold)
 
 
@@ -134,7 +134,7 @@ def hybrid_rrf(spark, d):
   SELECT query_id, chunk_id, score, rank FROM k WHERE source_type = 'memory'""")
 def unified_topk_memory(spark, d):
     """One ranking over documents and memory; the source filter comes after the cut."""
-    mem = v.manifest(spark, d).select(F.col("custom_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("scenario", F.lit("")), F.coalesce("human_message", F.lit(""))).alias("text"), F.lit("memory").alias("source_type"))
+    mem = v.manifest(spark, d, "scenario", "human_message").select(F.col("custom_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("scenario", F.lit("")), F.coalesce("human_message", F.lit(""))).alias("text"), F.lit("memory").alias("source_type"))
     both = _chunks(spark, d).withColumn("source_type", F.lit("document")).unionByName(mem)
     top = r.top_k(r.bm25_scores(both, _asked(spark, d)), 20)
     return top.join(mem.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
@@ -144,12 +144,12 @@ def unified_topk_memory(spark, d):
 
 
 def _halves(spark, d):
-    return split_fifty_fifty(v.evidence(spark, d).select("source_question_id", "evidence_id", "url"), "source_question_id", "evidence_id")
+    return split_fifty_fifty(v.evidence(spark, d, "source_question_id", "url").select("source_question_id", "evidence_id", "url"), "source_question_id", "evidence_id")
 
 
 def _gold(spark, d):
     """run_id, persona, variant, url, session_id, side of every gold evidence of a run."""
-    q = v.questions(spark, d).select("question_idx", F.col("question_id").alias("source_question_id"), "query")
+    q = v.questions(spark, d, "question_id", "query").select("question_idx", F.col("question_id").alias("source_question_id"), "query")
     run = v.runs(spark, d, "question_idx", "eval_persona", "variant").join(q, "question_idx")
     g = run.join(_halves(spark, d), "source_question_id")
     return g.select("run_id", F.col("eval_persona").alias("persona"), "variant", "url", ids.session_id(F.col("query"), F.col("evidence_id"), F.col("eval_persona")).alias("session_id"), "side")
@@ -209,7 +209,7 @@ def prepare_spec(spark, d):
 def candidates_after_delta(spark, d):
     exclude, ensure, strip = _delta(spark, d)
     words = lambda c: F.size(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"))
-    mem = v.manifest(spark, d).select(F.col("target_persona_id").alias("persona"), F.col("custom_id").alias("session_id"), words("human_message").alias("words"))
-    docs = v.evidence(spark, d).select("url", words("fact").alias("words"))
+    mem = v.manifest(spark, d, "target_persona_id", "human_message").select(F.col("target_persona_id").alias("persona"), F.col("custom_id").alias("session_id"), words("human_message").alias("words"))
+    docs = v.evidence(spark, d, "url", "fact").select("url", words("fact").alias("words"))
     run = v.runs(spark, d, "eval_persona").select("run_id", F.col("eval_persona").alias("persona"))
     return r.delta_counts(run, mem, docs, strip, ensure, exclude)

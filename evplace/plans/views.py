@@ -13,25 +13,29 @@ from ..sources.tables import table
 SEARCH_STEP = 50  # searches take every row whose id is divisible by this as a query
 
 
+def _first(df: DataFrame, key: str, order: str, columns: tuple[str, ...]) -> DataFrame:
+    """The first delivery of every record; named columns keep all others out of the shuffle."""
+    return keep_one(df.select(*dict.fromkeys([key, order, *columns])) if columns else df, [key], [order])
+
+
 def runs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    df = table(spark, d, "labeled_runs")
-    return keep_one(df.select("run_id", "arrived_at", *columns) if columns else df, ["run_id"], ["arrived_at"])
+    return _first(table(spark, d, "labeled_runs"), "run_id", "arrived_at", columns)
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    return keep_one(table(spark, d, "experiment_questions"), ["question_idx"], ["arrived_at"])
+def questions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(table(spark, d, "experiment_questions"), "question_idx", "arrived_at", columns)
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
-    return keep_one(table(spark, d, "evidence_items"), ["evidence_id"], ["row_id"])
+def evidence(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(table(spark, d, "evidence_items"), "evidence_id", "row_id", columns)
 
 
-def manifest(spark: SparkSession, d: str) -> DataFrame:
-    return keep_one(table(spark, d, "session_manifest"), ["custom_id"], ["arrived_at"])
+def manifest(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(table(spark, d, "session_manifest"), "custom_id", "arrived_at", columns)
 
 
-def screening(spark: SparkSession, d: str) -> DataFrame:
-    return keep_one(table(spark, d, "screening_results"), ["result_id"], ["arrived_at"])
+def screening(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _first(table(spark, d, "screening_results"), "result_id", "arrived_at", columns)
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +44,8 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 def question_categories(spark: SparkSession, d: str) -> DataFrame:
     """question_idx, question_id and the sorted distinct categories of its evidence."""
-    cats = evidence(spark, d).groupBy(F.col("source_question_id").alias("question_id")).agg(F.array_sort(F.array_compact(F.collect_set(category_key(F.col("category"))))).alias("categories"))
-    q = questions(spark, d).select("question_idx", "question_id", "original_persona", "question_type")
+    cats = evidence(spark, d, "source_question_id", "category").groupBy(F.col("source_question_id").alias("question_id")).agg(F.array_sort(F.array_compact(F.collect_set(category_key(F.col("category"))))).alias("categories"))
+    q = questions(spark, d, "question_id", "original_persona", "question_type").drop("arrived_at")
     return q.join(cats, "question_id", "left").withColumn("categories", F.coalesce("categories", F.expr("cast(array() as array<string>)")))
 
 
