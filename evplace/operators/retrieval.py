@@ -7,10 +7,12 @@ chunks, and every batch keeps its own top k before anything is shuffled.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -116,13 +118,27 @@ DIMENSIONS = 64
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, out: str = "chunk_id") -> DataFrame:
-    """The offline embedding: counts of hashed terms in 64 dimensions, scaled to unit length."""
-    slot = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % DIMENSIONS
-    slots = df.select(F.col(key).alias(out), F.transform(terms(F.col(text)), slot).alias("s"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.size(F.filter("s", lambda x: x == d)).cast("double"))
-    raw = slots.select(out, counts.alias("c"))
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.select(out, F.transform("c", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
+    """The offline embedding: counts of hashed terms in 64 dimensions, scaled to unit length (zero without terms)."""
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, int] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().to_pylist()
+            if len(slots) > 1_000_000:
+                slots = {}
+            for w in set(words):
+                if w not in slots:
+                    slots[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMENSIONS
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            counts = np.zeros((batch.num_rows, DIMENSIONS))
+            np.add.at(counts, (owner, np.fromiter((slots[w] for w in words), np.int64, len(words))), 1.0)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            flat = np.divide(counts, norm, out=counts, where=norm > 0).ravel()
+            offsets = pa.array(np.arange(0, DIMENSIONS * batch.num_rows + 1, DIMENSIONS), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], [out, "vector"])
+
+    return df.select(F.col(key).alias(out), terms(F.col(text)).alias("t")).mapInArrow(embed, f"{out} {df.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 def reciprocal_rank_fusion(lists: list[tuple[DataFrame, float]], k: int, c: int = 60) -> DataFrame:

@@ -71,25 +71,25 @@ _DENSE = f"""d AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list
   dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM d)"""
 
 
-@query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM dr WHERE rank <= 10")
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score + 1e-9, 4) AS score, rank FROM dr WHERE rank <= 10")
 def dense_topk(spark, d):
     c, q = _vectors(spark, d)
-    return r.dense_top_k(c, q, 10).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return r.dense_top_k(c, q, 10).select("query_id", "chunk_id", F.round(F.col("score") + 1e-9, 4).alias("score"), "rank")
 
 
-@query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM dr WHERE rank <= 10 AND score >= 0.25")
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score + 1e-9, 4) AS score, rank FROM dr WHERE rank <= 10 AND score >= 0.25")
 def dense_min_score(spark, d):
     c, q = _vectors(spark, d)
-    return r.dense_top_k(c, q, 10, min_score=0.25).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return r.dense_top_k(c, q, 10, min_score=0.25).select("query_id", "chunk_id", F.round(F.col("score") + 1e-9, 4).alias("score"), "rank")
 
 
 @query(f"""WITH {_DENSE}, seen AS (SELECT query_id, chunk_id FROM dr WHERE rank <= 3)
-    SELECT query_id, chunk_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM d ANTI JOIN seen USING (query_id, chunk_id) QUALIFY rank <= 5""")
+    SELECT query_id, chunk_id, round(score + 1e-9, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM d ANTI JOIN seen USING (query_id, chunk_id) QUALIFY rank <= 5""")
 def dense_exclude_seen(spark, d):
     """A second round of retrieval that leaves out what the first one returned."""
     c, q = _vectors(spark, d)
     seen = r.dense_top_k(c, q, 3).select("query_id", "chunk_id")
-    return r.dense_top_k(c, q, 5, exclude=seen).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return r.dense_top_k(c, q, 5, exclude=seen).select("query_id", "chunk_id", F.round(F.col("score") + 1e-9, 4).alias("score"), "rank")
 
 
 def _hashed(spark, d):

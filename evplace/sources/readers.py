@@ -155,5 +155,5 @@ def evidence_cell(cell: Column) -> Column:
 
 def failed_generation(error: Column) -> Column:
     """The JSON text inside an error message that carries a failed generation."""
-    found = F.regexp_extract(F.coalesce(error, F.lit("")), r"failed_generation'?\"?\s*:\s*['\"]?(\{.*\})", 1)
+    found = F.regexp_extract(F.coalesce(error, F.lit("")), r"failed_generation['\"]?\s*:\s*(['\"]?)(\{.*\})\1\s*\}", 2)
     return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
