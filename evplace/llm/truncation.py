@@ -6,7 +6,6 @@ A pushdown parser and the end of the text decide, per document:
   is left before it does not end a sentence;
 * ``broken``  the end lies inside a character, an escape, an entity or a tag;
 * ``open``    a quote or bracket of the last sentence, or a fence, is not closed;
-* ``number``  the final full stop is the point of a number whose rest is missing;
 * ``bare``    the last line neither ends a sentence nor is a sign-off, tag line, link
   or informal closing.
 
@@ -57,13 +56,9 @@ _SIGN_OFF = [
     re.compile(r"^\S+@\S+\.\w+$"),
 ]
 _HEAD_LOWER = re.compile(r"^By (?:the|a|an|this|that|its|their|then|now)\b", re.I)
-# Words after which a number needs its unit.
-_BEFORE_NUMBER = {"for", "by", "to", "of", "reached", "than", "from", "worth", "scored", "counted", "costs", "with", "after", "idle", "moved", "drew", "left", "ran", "lost", "auditors", "now", "um", "für", "nun", "nach", "rund", "pour", "contre", "désormais", "de", "por", "ya", "a"}
-_NUMBER = re.compile(r"(?:^|\s)(\S+) \d{1,3}\.$")
-
 
 def judge(text: str | None) -> tuple[str, int]:
-    """(kind, length): '' for a whole text, else marker, broken, open, number or bare."""
+    """(kind, length): '' for a whole text, else marker, broken, open or bare."""
     if not text or not text.strip():
         return "", 0
     length = len(text)
@@ -79,9 +74,6 @@ def judge(text: str | None) -> tuple[str, int]:
     if broken_end(body):
         return "broken", length
     if terminated(body):
-        m = _NUMBER.search(body[-80:])
-        if m and m[1] in _BEFORE_NUMBER:
-            return "number", length
         start = last_sentence_start(body)
         stack = open_signs(text)
         if any((s in ("```", "~~~")) or (at >= start and s in "(“«„[") for s, at in stack):

@@ -83,7 +83,7 @@ def test_find_defects(spark):
         ("User: Hi.\nUser: Well, we will see...", ""), ("User: Hi.\nUser: ok got it, thank you", ""), ("User: Hi.\nUser: Great, that settles it!", ""),
         ("All is said. But the ban", "bare"), ("All is said. But the bank ", "bare"), ("All is said. After the bank,", "bare"), ("All is said. But the ba…", "marker"), ("All is said. But the ban...", "marker"),
         ("All is said. But the [...]", "marker"), ("All is said. But the [+623 chars]", "marker"), ("All is said. Caf�", "broken"), ("All is said. Tom &am", "broken"), ("All is said. A \\u00", "broken"),
-        ("All is said. It sold for 35.", "number"), ("All is said. See Bridge 35.", ""), ("All is said. (It was late.", "open"), ("```\ncode.", "open"), ("User: Hi.\nUser: I saw a piece in Ha", "bare"),
+        ("All is said. See Bridge 35.", ""), ("All is said. (It was late.", "open"), ("```\ncode.", "open"), ("User: Hi.\nUser: I saw a piece in Ha", "bare"),
         ("By the end of May, the bank in Nor", "bare"), ("x " * 50_000 + "end.", ""),
     ],
 )
