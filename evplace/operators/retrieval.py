@@ -43,9 +43,11 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "text", query
     total = each.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("words")).first()
     n, mean = total["n"] or 0, (total["words"] or 0) / max(1, total["n"] or 0)
     asked = materialise(queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")), "query-terms")
-    words = each.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    # An outer explode: a plain one would make the optimizer tokenise once more, to test for empty arrays.
+    words = each.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
     words = words.join(asked.select("term").distinct(), "term", "left_semi")
-    tf = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # Written once: both the frequencies and the weights read it.
+    tf = materialise(words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
     frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))

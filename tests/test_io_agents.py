@@ -187,5 +187,4 @@ def test_entry_and_oracles():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    for n in (1, 2, 4, 5, 6, 7, 8, 9):
-        assert f"p{n}_found" in e.queries()
+    assert {"p5_found", "p6_found", "bm25_recall_at_10"} <= set(e.queries())
