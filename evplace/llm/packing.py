@@ -112,10 +112,10 @@ def pack_texts(
     if len(pairs) > 1000:
         raise ValueError("more than 1000 capacities")
     doc_type = docs.schema[doc_id].dataType.simpleString()
-    sized = materialise(docs.select(F.col(doc_id).alias("doc_id"), token_count(F.col(text)).alias("tokens")), "sizes")
+    sized = materialise(docs.select(F.col(doc_id).alias("doc_id"), token_count(F.col(text)).alias("tokens"), F.monotonically_increasing_id().alias("place")), "sizes")
     groups = max(1, math.ceil(sized.count() / group_items))
     every = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).cast("long").alias("capacity")) for n, c in pairs]) if pairs else F.expr("cast(array() as array<struct<limit_name:string,capacity:bigint>>)")
-    items = sized.select("doc_id", "tokens", F.explode(every).alias("l")).select("doc_id", "tokens", "l.limit_name", "l.capacity")
+    items = sized.select("doc_id", "tokens", "place", F.explode(every).alias("l")).select("doc_id", "tokens", "place", "l.limit_name", "l.capacity")
     over = F.col("tokens") > F.col("capacity")
     full = F.when(over, F.floor(F.col("tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("int")
     rest = F.col("tokens") - full * F.col("capacity")
@@ -124,21 +124,24 @@ def pack_texts(
 
     whole = items.where("n_full > 0").select("limit_name", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), F.col("n_full") - 1)).alias("piece"), "n_pieces", F.col("capacity").alias("n_tokens"))
     whole = whole.withColumns({"container_id": F.concat_ws(".", F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece"), "fill": F.col("capacity"), "level": F.lit(-1), "grp": F.lit(0).cast("long")})
-    loose = items.where("n_pieces > n_full").select("limit_name", "capacity", "doc_id", F.col("n_full").alias("piece"), "n_pieces", F.col("rest").alias("n_tokens"), F.expr(f"pmod(xxhash64(doc_id), {groups})").alias("grp"))
+    loose = items.where("n_pieces > n_full").select("limit_name", "capacity", "doc_id", F.col("n_full").alias("piece"), "n_pieces", F.col("rest").alias("n_tokens"), F.expr(f"pmod(xxhash64(doc_id), {groups})").alias("grp"), "place")
+    # An id that repeats over and over would fill its group; such a group is cut into parts of bounded size.
+    parts = loose.groupBy("limit_name", "grp").agg(F.ceil(F.count("*") / (2 * group_items)).alias("parts")).where("parts > 1")
+    loose = loose.join(parts, ["limit_name", "grp"], "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod("place", "parts")).otherwise(F.lit(0))).drop("parts", "place")
 
     order = ["limit_name", "capacity", "doc_id", "piece", "n_pieces", "n_tokens", "container_id", "fill", "level", "grp"]
 
     def pack_group(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         placed, fills = best_fit(group["n_tokens"].to_pylist(), group["capacity"][0].as_py())
-        no = group["grp"][0].as_py()
-        made = {"container_id": pa.array([f"0.{no}.{x}" for x in placed], pa.string()), "fill": pa.array([fills[x] for x in placed], pa.int64()), "level": pa.array([0] * len(placed), pa.int32())}
+        no, part = group["grp"][0].as_py(), group["part"][0].as_py()
+        made = {"container_id": pa.array([f"0.{no}.{part}.{x}" for x in placed], pa.string()), "fill": pa.array([fills[x] for x in placed], pa.int64()), "level": pa.array([0] * len(placed), pa.int32())}
         for name, column in made.items():
             group = group.append_column(name, column)
         return group.select(order)
 
     schema0 = f"limit_name string, capacity bigint, doc_id {doc_type}, piece int, n_pieces int, n_tokens bigint, container_id string, fill bigint, level int, grp bigint"
-    contents = materialise(loose.groupBy("limit_name", "grp").applyInArrow(pack_group, schema0).unionByName(whole.select(*order)), "contents")
+    contents = materialise(loose.groupBy("limit_name", "grp", "part").applyInArrow(pack_group, schema0).unionByName(whole.select(*order)), "contents")
 
     # The tree: underfull containers are the items of the next round.
     fresh = contents.where((F.col("level") == 0) & (F.col("fill") < F.col("capacity") * full_share)).select("limit_name", "capacity", "container_id", "fill", "grp").distinct()

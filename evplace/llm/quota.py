@@ -28,6 +28,7 @@ from pyspark.sql import window as W
 from ..session import materialise
 
 NONE = "(none)"
+RANGE_BITS = 12
 
 
 def flow_quotas(targets: dict[str, int], available: dict[tuple[str, str], int], shares: dict[str, tuple[float, int]]) -> dict[tuple[str, str], int]:
@@ -141,8 +142,17 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
 
     listed = targets.join(known, "persona_id").select("pool_id", "category", F.lit(True).alias("listed")).distinct()
     merged = parts.join(listed, ["pool_id", "category"], "left").withColumn("category", F.when(F.col("listed"), F.col("category")).otherwise(F.lit(NONE)))
-    final = W.Window.partitionBy("pool_id", "domain", "category").orderBy("rank_hash", "custom_id")
-    sample = merged.withColumn("rn", F.row_number().over(final)).where(F.col("rn") <= F.col("bound")).join(quotas, ["pool_id", "domain", "category"]).where(F.col("rn") <= F.col("quota"))
+    # Trim: records by ranges of their hash. Whole ranges below the quota are taken; only the range in which the quota
+    # falls is ranked, so no task holds a stratum, however large its pool and target are.
+    stratum = ["pool_id", "domain", "category"]
+    merged = materialise(merged.withColumn("range", F.shiftright("rank_hash", 64 - RANGE_BITS)), "reservoirs")
+    sizes = merged.groupBy(*stratum, "range").agg(F.count("*").alias("in_range"))
+    before = sizes.withColumn("before", F.sum("in_range").over(W.Window.partitionBy(*stratum).orderBy("range")) - F.col("in_range")).join(quotas, stratum)
+    wanted = before.where(F.col("before") < F.col("quota")).select(*stratum, "range", (F.col("quota") - F.col("before")).alias("left"), (F.col("before") + F.col("in_range") <= F.col("quota")).alias("whole"))
+    near = merged.join(wanted, [*stratum, "range"])
+    last = W.Window.partitionBy(*stratum, "range").orderBy("rank_hash", "custom_id")
+    ranked = near.where("not whole").withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= F.col("left")).drop("rn")
+    sample = near.where("whole").unionByName(ranked)
     sample = sample.select("pool_id", "custom_id", "domain", F.nullif("category", F.lit(NONE)).alias("category"))
     met = F.when(F.col("kind") == "share", F.abs(F.col("taken") - F.col("wanted")) <= 1).when(F.col("kind") == "minimum", F.col("usable") >= F.col("wanted")).otherwise(F.col("usable") >= F.col("wanted"))
     report = solved.where("kind <> 'quota'").select("pool_id", "stratum", "kind", "wanted", "usable", "taken", met.alias("met"))

@@ -51,6 +51,16 @@ def test_pack_whole_tree(spark):
     assert first == sorted(map(tuple, pack_texts(df.repartition(7), lf, group_items=40, fan_in=2).collect()), key=str)
 
 
+def test_an_id_that_holds_most_rows(spark):
+    docs = [(7, "a b c")] * 900 + [(i, "x y") for i in range(100, 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = pack_texts(df, spark.createDataFrame([("s", 10)], "limit_name string, capacity_tokens int"), group_items=50, fan_in=3).collect()
+    fill = {}
+    for r in rows:
+        fill[r["container_id"]] = fill.get(r["container_id"], 0) + r["n_tokens"]
+    assert len(rows) == 1000 and max(fill.values()) <= 10 and sum(fill.values()) == 2900 and len(fill) <= 340
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, capacity int")
     lf = spark.createDataFrame([("s", 5)], "limit_name string, capacity_tokens int")
