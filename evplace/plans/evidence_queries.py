@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from ..functions import text
+from ..functions import ids, text
 from ..operators import evidence as ev
-from ..operators import metrics, relational, reports
+from ..operators import metrics, prompts, relational, reports, sampling
+from ..operators.chunking import transcript
 from ..operators.chunking import chunk_pair as pair_chunks
 from ..sources.tables import table
 from . import views as v
@@ -270,3 +272,108 @@ def failure_notes(spark, d):
     return r.select("run_id", F.array_join(notes, ", ").alias("notes"))
 
 
+
+
+# Designs, requests and prompts.
+
+_CELLS = [(dist, f"agent_{a}") for dist in ev.VARIANTS for a in range(1, 5)]
+_EVAL = ("persona_1", "persona_2", "persona_3")
+
+
+@query(f"""WITH {v.QUESTIONS}, b AS (SELECT *, row_number() OVER (ORDER BY question_idx) AS block_id FROM questions), c AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_CELLS))}) AS t(i, dist, agent)),
+    k AS (SELECT block_id, (block_id + s * 3) % 12 AS i FROM b, (SELECT unnest([0, 1, 2, 3]) AS s))
+    SELECT block_id, dist, agent, question_idx, question_type FROM k JOIN c USING (i) JOIN b USING (block_id) WHERE agent = 'agent_2'""")
+def design_join(spark, d):
+    """The design joined to its questions by block; a block without question is an error. One agent's slice."""
+    q = relational.with_ordinal(v.questions(spark, d, "question_type"), ["question_idx"]).select("block_id", "question_idx", "question_type")
+    design = sampling.cyclic_block_design(q.select("block_id"), "block_id", _CELLS, 4)
+    return relational.require_joined(design, q, ["block_id"]).where("agent = 'agent_2'").select("block_id", "dist", "agent", "question_idx", "question_type")
+
+
+@query(f"""WITH {v.QUESTIONS} SELECT question_idx, variant, persona FROM questions, (SELECT unnest({list(ev.VARIANTS)}) AS variant), (SELECT unnest({list(_EVAL)}) AS persona)""")
+def full_design(spark, d):
+    """Every question with every variant and evaluation persona (small literal sets, no join)."""
+    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
+    q = v.questions(spark, d, "question_type").select("question_idx", F.explode(lits(ev.VARIANTS)).alias("variant"))
+    return q.select("question_idx", "variant", F.explode(lits(_EVAL)).alias("persona"))
+
+
+@query(f"""WITH {v.QUESTIONS}, {v.EVIDENCE} SELECT 'q-' || substr(sha256({v.strip_sql('q.query')}), 1, 16) || '__ev-' || e.evidence_id || '__p-' || persona AS custom_id, q.question_idx, e.evidence_id, persona, question_type = 'temporal_query' AS is_temporal
+    FROM questions q JOIN evidence e ON e.source_question_id = q.question_id, (SELECT unnest({list(_EVAL)}) AS persona)""")
+def request_fanout(spark, d):
+    """One generation request per question, evidence and target persona."""
+    q = v.questions(spark, d, "query", "question_id", "question_type").withColumnRenamed("question_id", "source_question_id")
+    j = q.join(v.evidence(spark, d, "source_question_id").select("source_question_id", "evidence_id"), "source_question_id")
+    j = j.withColumn("persona", F.explode(F.array(*[F.lit(p) for p in _EVAL])))
+    return j.select(ids.session_id(F.col("query"), F.col("evidence_id"), F.col("persona")).alias("custom_id"), "question_idx", "evidence_id", "persona", (F.col("question_type") == "temporal_query").alias("is_temporal"))
+
+
+@query(f"""WITH {v.EVIDENCE}, {v.MANIFEST}, {v.DOMAINS}, x AS (SELECT d.persona, e.evidence_id, {v.hash_sql(42, 'd.persona', 'e.evidence_id')} AS h FROM evidence e, domains d
+      WHERE d.persona <> 'persona_4' AND list_contains(d.domains, nullif(lower({v.strip_sql('e.category')}), '')) AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.target_persona_id = d.persona AND m.evidence_id = e.evidence_id))
+    SELECT persona, evidence_id FROM x QUALIFY row_number() OVER (PARTITION BY persona ORDER BY h, evidence_id) <= 25""")
+def supplement_candidates(spark, d):
+    """In-domain evidence that a persona's pools do not hold yet, 25 per persona by least hash."""
+    e = v.evidence(spark, d, "category").select("evidence_id", "category", F.explode(F.array(*[F.lit(p) for p in _EVAL])).alias("persona"))
+    fit = e.where(ev.matches_wanted_domain(F.col("category"), F.col("persona"), True))
+    have = v.manifest(spark, d, "target_persona_id", "evidence_id").select(F.col("target_persona_id").alias("persona"), "evidence_id").distinct()
+    w = W.Window.partitionBy("persona").orderBy(ids.hash_rank(42, F.col("persona"), F.col("evidence_id")), "evidence_id")
+    return fit.join(have, ["persona", "evidence_id"], "left_anti").withColumn("r", F.row_number().over(w)).where("r <= 25").select("persona", "evidence_id")
+
+
+@query()
+def persona_corpus(spark, d):
+    """The memory corpus of each pool: three quarters in domain, one quarter off topic, tiers in order, dated and sorted in time."""
+    m = v.manifest(spark, d).where("session_parse_error is null and is_off_topic is not null")
+    need = F.when(F.col("is_off_topic"), 25).otherwise(75)
+    tier = F.when(F.col("pool_tier") == "primary", 1).otherwise(2)
+    kept = sampling.tiered_fill(m, ["pool_id", "is_off_topic"], "custom_id", "evidence_id", tier, need)
+    dated = sampling.session_times(kept, "custom_id", F.to_timestamp(F.substring("session_date", 1, 10), "yyyy/MM/dd"), "2023-07-01", "2024-02-29")
+    return dated.select("pool_id", "custom_id", "is_off_topic", "tier", "session_time").sortWithinPartitions("pool_id", "session_time", "custom_id")
+
+
+@query(f"""WITH {v.MANIFEST}, {v.EVIDENCE} SELECT custom_id, 'You write a chat between a user and an assistant. The user is ' || target_persona_id || CASE WHEN is_off_topic THEN ', outside their usual topics.' ELSE '.' END || chr(10) || chr(10) || 'Scenario: ' || coalesce(scenario, 'any') || chr(10) || chr(10)
+      || 'Write ' || array_to_string(turn_range, '-') || ' turns.' || chr(10) || 'Place the evidence ' || CASE evidence_placement WHEN 'early' THEN 'in the first third' WHEN 'middle' THEN 'in the middle' WHEN 'late' THEN 'in the last third' ELSE 'anywhere' END || ', '
+      || CASE evidence_density WHEN 'multi_message' THEN 'over several messages' ELSE 'in one message' END || '.' || CASE WHEN coalesce(is_temporal, false) THEN chr(10) || 'Name the date of publication.' ELSE '' END || chr(10) || chr(10)
+      || CASE topic_drift WHEN 'moderate' THEN 'Wander off once and come back.' WHEN 'wide' THEN 'Change the topic several times.' ELSE 'Stay on the topic.' END || chr(10) || chr(10) || 'Evidence:' || chr(10) || e.fact AS prompt
+    FROM manifest JOIN evidence e USING (evidence_id)""")
+def generation_prompts(spark, d):
+    m = v.manifest(spark, d, "target_persona_id", "evidence_id", "scenario", "turn_range", "evidence_placement", "evidence_density", "topic_drift", "is_temporal", "is_off_topic")
+    j = m.join(v.evidence(spark, d, "fact").select("evidence_id", "fact"), "evidence_id")
+    c = F.col
+    return j.select("custom_id", prompts.generation_prompt(c("target_persona_id"), c("fact"), c("scenario"), c("turn_range"), c("evidence_placement"), c("evidence_density"), c("topic_drift"), c("is_temporal"), c("is_off_topic")).alias("prompt"))
+
+
+@query(f"""WITH {v.TURNS}, k AS (SELECT session_id, turn, CASE role WHEN 'user' THEN '[U' || sum((role = 'user')::INT) OVER (PARTITION BY session_id ORDER BY turn) || '] ' WHEN 'assistant' THEN '[A] ' ELSE '[' || upper(role) || '] ' END || content AS line FROM turns),
+    t AS (SELECT session_id, string_agg(line, chr(10) || chr(10) ORDER BY turn) AS transcript FROM k GROUP BY session_id)
+    SELECT session_id, 'List the user turns that state each field.' || chr(10) || chr(10) || concat_ws(chr(10), 'topic: ' || title, 'source: ' || source, 'key_information: ' || category) || chr(10) || chr(10) || transcript AS prompt FROM t JOIN documents ON doc_id = session_id""")
+def audit_prompts(spark, d):
+    """Audit prompts over the chat sessions of the documents (their category stands for the fact)."""
+    t = transcript(v.turns(spark, d))
+    docs = table(spark, d, "documents").where("doc_kind = 'session'").select(F.col("doc_id").alias("session_id"), "title", "source", "category")
+    j = t.join(docs, "session_id")
+    return j.select("session_id", prompts.audit_prompt(F.col("title"), F.col("source"), F.col("category"), F.lit(None), F.col("transcript"), F.lit(False)).alias("prompt"))
+
+
+@query()
+def case_reports(spark, d):
+    """Markdown reports of the blocks whose runs disagree."""
+    r = v.runs(spark, d, "block_id", "variant", "prediction", "gold_answer").withColumn("ok", text.exact_match(F.col("prediction"), F.col("gold_answer")))
+    split = r.groupBy("block_id").agg(F.count_distinct("ok").alias("n")).where("n > 1").select("block_id")
+    rows = r.join(split, "block_id", "left_semi").join(failure_notes(spark, d), "run_id")
+    return prompts.case_report(rows.withColumnRenamed("variant", "dist"), "block_id")
+
+
+@query(f"""WITH {_MIXED}, {v.CATEGORIES.replace(v.QUESTIONS + ', ' + v.EVIDENCE + ',', '')}, {v.DOMAINS}, rc AS (SELECT r.*, c.categories, coalesce(dm.domains, []) AS known FROM runs r JOIN qcats c USING (question_idx) LEFT JOIN domains dm ON dm.persona = r.eval_persona),
+    x AS (SELECT {_RELEVANCE} AS relevance, variant AS dist, recall, ({v.em_sql('prediction')} = {v.em_sql('gold_answer')})::INT AS ok FROM rc JOIN rec USING (run_id))
+    SELECT relevance, dist, count(*) AS n, round(avg(recall), 6) AS mean_recall, round(avg(ok), 6) AS accuracy FROM x GROUP BY ALL""")
+def topic_recall(spark, d):
+    """Mean recall (over runs with gold) and accuracy by topical relevance and variant."""
+    r = v.runs(spark, d, "question_idx", "eval_persona", "variant", "prediction", "gold_answer").join(v.question_categories(spark, d).select("question_idx", "categories"), "question_idx")
+    x = r.join(recall_at_k_mixed(spark, d).select("run_id", "recall"), "run_id")
+    ok = text.exact_match(F.col("prediction"), F.col("gold_answer")).cast("int")
+    return x.groupBy(ev.topical_relevance(F.col("categories"), F.col("eval_persona")).alias("relevance"), F.col("variant").alias("dist")).agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg(ok), 6).alias("accuracy"))
+
+
+@query(f"WITH {v.RUNS} SELECT variant, eval_persona, count(*) AS n FROM runs GROUP BY ALL")
+def variant_counts(spark, d):
+    return v.runs(spark, d, "variant", "eval_persona").groupBy("variant", "eval_persona").agg(F.count("*").alias("n"))
