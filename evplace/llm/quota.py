@@ -2,8 +2,8 @@
 
 Usable records are pre-aggregated to one row per (pool, record), then one pass keeps,
 per stratum (pool x domain x category) and salt, the records with the least hash:
-mergeable reservoirs whose size is bounded by the pool's target, so a pool holding a
-third of all rows is spread over ``salts`` tasks and merged from bounded parts. The
+mergeable reservoirs whose size is bounded by the pool's target; the salts grow with
+the records, so a pool holding a third of all rows is spread over many tasks. The
 final counts per stratum (a handful of numbers per pool) give feasible quotas by a
 minimum-cost flow: the domain targets hold first, then the minimums, then the shares,
 then other categories, last records without category. The merged reservoirs are
@@ -29,6 +29,7 @@ from ..session import materialise
 
 NONE = "(none)"
 RANGE_BITS = 12
+RESERVOIR_ROWS = 100_000  # rows per salt, were all in one stratum
 
 
 def flow_quotas(targets: dict[str, int], available: dict[tuple[str, str], int], shares: dict[str, tuple[float, int]]) -> dict[tuple[str, str], int]:
@@ -87,7 +88,7 @@ def flow_quotas(targets: dict[str, int], available: dict[tuple[str, str], int],
     return {k: edges[i ^ 1][2] for k, i in arcs.items()}
 
 
-def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame, seed: str = "42", salts: int = 16) -> tuple[DataFrame, DataFrame]:
+def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame, seed: str = "42", salts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(sample, report).
 
     sample: pool_id, custom_id, domain, category. report: pool_id, stratum, kind
@@ -99,11 +100,15 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
     usable = usable.groupBy("pool_id", "custom_id").agg(F.max("is_off_topic").alias("off"), F.min(category).alias("category"))
     targets = pools.where("pool_id is not null").groupBy("pool_id").agg(F.min("persona_id").alias("persona_id"), F.max(F.coalesce("target_in_domain", F.lit(0))).alias("t_in"), F.max(F.coalesce("target_off_topic", F.lit(0))).alias("t_off"))
     domain = F.when(F.col("off"), "off_topic").when(~F.col("off"), "in_domain").otherwise(NONE)
-    usable = usable.select("pool_id", "custom_id", domain.alias("domain"), F.coalesce("category", F.lit(NONE)).alias("category"))
+    # Categories that the persona does not list are one stratum, so a pool has a handful of strata whatever is written.
+    listed = targets.join(known, "persona_id").select("pool_id", "category", F.lit(True).alias("listed")).distinct()
+    usable = usable.join(listed, ["pool_id", "category"], "left")
+    usable = usable.select("pool_id", "custom_id", domain.alias("domain"), F.when(F.col("listed"), F.col("category")).otherwise(NONE).alias("category"))
     usable = usable.withColumn("rank_hash", F.xxhash64(F.lit(seed), "pool_id", "custom_id"))
 
     # Pass one: counts, and bounded reservoirs per stratum and salt.
     usable = materialise(usable, "usable")
+    salts = salts or max(16, usable.count() // RESERVOIR_ROWS)
     counts = usable.groupBy("pool_id", "domain", "category").agg(F.count("*").alias("n"))
     limited = usable.join(targets.select("pool_id", F.greatest("t_in", "t_off").alias("bound")), "pool_id").where("bound > 0")
     salt = F.expr(f"pmod(rank_hash, {salts})")
@@ -121,8 +126,7 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
                 listed = {x["category"]: (float(x["share"]), int(x["least"])) for x in (r.shares if r.shares is not None else [])}
                 available: dict[tuple[str, str], int] = {}
                 for x in r.counts if r.counts is not None else []:
-                    c = x["category"] if x["category"] in listed else NONE
-                    available[x["domain"], c] = available.get((x["domain"], c), 0) + int(x["n"])
+                    available[x["domain"], x["category"]] = int(x["n"])
                 goals = {"in_domain": int(r.t_in), "off_topic": int(r.t_off)}
                 quota = flow_quotas(goals, available, listed)
                 total = sum(quota.values())
@@ -140,12 +144,10 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
     solved = materialise(state.mapInPandas(solve, "pool_id string, stratum string, category string, kind string, wanted bigint, usable bigint, taken bigint"), "quotas")
     quotas = solved.where("kind = 'quota'").select("pool_id", F.col("stratum").alias("domain"), "category", F.col("taken").alias("quota"))
 
-    listed = targets.join(known, "persona_id").select("pool_id", "category", F.lit(True).alias("listed")).distinct()
-    merged = parts.join(listed, ["pool_id", "category"], "left").withColumn("category", F.when(F.col("listed"), F.col("category")).otherwise(F.lit(NONE)))
     # Trim: records by ranges of their hash. Whole ranges below the quota are taken; only the range in which the quota
     # falls is ranked, so no task holds a stratum, however large its pool and target are.
     stratum = ["pool_id", "domain", "category"]
-    merged = materialise(merged.withColumn("range", F.shiftright("rank_hash", 64 - RANGE_BITS)), "reservoirs")
+    merged = materialise(parts.withColumn("range", F.shiftright("rank_hash", 64 - RANGE_BITS)), "reservoirs")
     sizes = merged.groupBy(*stratum, "range").agg(F.count("*").alias("in_range"))
     before = sizes.withColumn("before", F.sum("in_range").over(W.Window.partitionBy(*stratum).orderBy("range")) - F.col("in_range")).join(quotas, stratum)
     wanted = before.where(F.col("before") < F.col("quota")).select(*stratum, "range", (F.col("quota") - F.col("before")).alias("left"), (F.col("before") + F.col("in_range") <= F.col("quota")).alias("whole"))
