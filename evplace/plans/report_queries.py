@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import text
-from ..operators import metrics, relational, reports, sampling
+from ..operators import metrics, relational, reports, rows, sampling
 from ..sources.tables import table
 from . import views as v
 
@@ -286,3 +287,35 @@ _CELLS = [(v_, f"agent_{a}") for v_ in ("memory_only", "document_only", "integra
 def block_design(spark, d):
     """Four of the twelve cells per question, every cell equally often."""
     return sampling.cyclic_block_design(v.questions(spark, d), "question_idx", _CELLS, 4)
+
+
+# Row shapes and derived numbers.
+
+
+@query(f"WITH {v.RUNS} SELECT question_idx, block_id, original_persona, eval_persona, variant, agent, prediction, gold_answer, coalesce(question_type, '') AS question_type FROM runs")
+def run_rows(spark, d):
+    return rows.run_rows(v.runs(spark, d, "question_idx", "block_id", "original_persona", "eval_persona", "variant", "agent", "prediction", "gold_answer", "question_type"))
+
+
+@query(f"WITH {v.QUESTIONS} SELECT question_idx, ('0x' || left(sha256('42:' || question_id), 8))::BIGINT AS seed, ('0x' || substr({v.hash_sql(42, "'coin'", 'question_id')}, 1, 8))::BIGINT % 2 AS coin FROM questions")
+def row_seeds(spark, d):
+    q = v.questions(spark, d, "question_id")
+    return q.select("question_idx", rows.row_seed(42, F.col("question_id")).alias("seed"), rows.coin(42, F.col("question_id")).alias("coin"))
+
+
+@query(f"""WITH {v.MANIFEST}, w AS (SELECT target_persona_id, turn_range[1] AS t, count(*)::DOUBLE AS weight FROM manifest GROUP BY ALL), n AS (SELECT turn_range[1] AS t, topic_drift, count(*)::DOUBLE AS c FROM manifest WHERE topic_drift IS NOT NULL GROUP BY ALL),
+    s AS (SELECT t, topic_drift, c / sum(c) OVER (PARTITION BY t) AS share FROM n), g AS (SELECT target_persona_id, topic_drift, sum(weight * share) AS raw FROM w JOIN s USING (t) GROUP BY ALL)
+    SELECT target_persona_id, topic_drift, round(raw / sum(raw) OVER (PARTITION BY target_persona_id), 6) AS share FROM g""")
+def drift_marginal(spark, d):
+    """Topic drift per persona: its turn ranges weighted with the drift seen at each."""
+    m = v.manifest(spark, d, "target_persona_id", "turn_range", "topic_drift").withColumn("t", F.get("turn_range", F.lit(0)))
+    weights = m.groupBy("target_persona_id", "t").agg(F.count("*").cast("double").alias("weight"))
+    n = m.where("topic_drift is not null").groupBy("t", "topic_drift").agg(F.count("*").cast("double").alias("c"))
+    shares = n.select("t", "topic_drift", (F.col("c") / F.sum("c").over(W.Window.partitionBy("t"))).alias("share"))
+    return rows.weighted_marginal(weights, shares, "target_persona_id", "t", "topic_drift")
+
+
+@query(f"""WITH {v.TURNS}, {v.MANIFEST} SELECT session_id, (count(*) // 2)::INT AS turns, count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0 AS complete FROM turns GROUP BY 1""")
+def actual_turns(spark, d):
+    t = v.turns(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.array_compact(F.collect_list(F.when(F.col("role") == "user", F.col("turn")))).alias("u"), F.array_compact(F.collect_list(F.when(F.col("role") == "assistant", F.col("turn")))).alias("a"))
+    return t.select("session_id", rows.actual_turns(F.col("n"), F.lit(0)).alias("turns"), rows.all_required_present(F.col("u"), F.col("a"), F.col("u"), F.lit(None).cast("array<int>"), F.lit(False)).alias("complete"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evplace.functions import ids, text
 from evplace.operators import evidence as ev
-from evplace.operators import metrics, relational, reports, sampling
+from evplace.operators import metrics, relational, reports, rows, sampling
 from evplace.operators.chunking import chunk_pair, chunk_recursive, chunk_session, chunk_turn, chunk_words, session_turns, split_recursive, transcript
 
 
@@ -213,3 +213,20 @@ def test_reports(spark):
     assert cube["All", "All"] == 3 and cube["a", "(null)"] == 1 and cube["All", "x"] == 2
     low, high = metrics.wilson(F.lit(10.0), F.lit(10.0))
     assert one(spark, low, z="") == 0.72246 and one(spark, high, z="") == 1.0
+
+
+def test_row_shapes(spark):
+    df = spark.createDataFrame([(1, "p", "x", None, "a")], "question_id int, persona string, dist string, question_type string, final_answer string")
+    r = rows.run_rows(df).first()
+    assert (r["question_idx"], r["eval_persona"], r["variant"], r["question_type"], r["prediction"], r["agent"]) == (1, "p", "x", "", "a", None)
+    assert df.select(rows.answer_of(df)).first()[0] == "a"
+    assert one(spark, rows.answer_fields(F.col("x"))["prediction"], x="plain") == "plain" and one(spark, rows.answer_fields(F.col("x"))["prediction"], x='{"final_answer": "f"}') == "f"
+    for bad in (rows.valid_variant(F.col("x")), rows.known_persona(F.col("x")), rows.required_query(F.lit(" "))):
+        with pytest.raises(Exception, match="unknown|empty"):
+            one(spark, bad, x="nope")
+    assert one(spark, rows.valid_variant(F.col("x")), x=" Integrated") == "integrated"
+    a = F.array(F.lit(1))
+    none = F.lit(None).cast("array<int>")
+    assert one(spark, rows.all_required_present(a, a, a, none, F.lit(False)), x="") and not one(spark, rows.all_required_present(a, a, a, none, F.lit(True)), x="")
+    assert one(spark, rows.actual_turns(F.lit(None).cast("int"), F.lit(4)), x="") == 4 and one(spark, rows.actual_turns(F.lit(7), F.lit(4)), x="") == 3
+    assert one(spark, rows.row_seed(42, F.col("x")), x="q") == int(hashlib.sha256(b"42:q").hexdigest()[:8], 16)
