@@ -121,6 +121,13 @@ class ItemIndex:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
+    @classmethod
+    def of(cls, state: dict) -> ItemIndex:
+        """The index of a state that was sent to an executor."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
     def search(self, texts: list[str | None]) -> list[tuple[int, int, np.ndarray]]:
         """(row, item, codes of the document) for every pair that shares a checked seed."""
         get = self.vocabulary.get
@@ -179,11 +186,11 @@ def find_leaks(
     out: DataFrame | None = None
     for block in range(blocks):
         rows = wanted.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {block}")).collect()
-        shared = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in rows], seed_words))
+        shared = spark.sparkContext.broadcast(vars(ItemIndex([(r[0], r[1]) for r in rows], seed_words)))
         item_type = pa.array([r[0] for r in rows]).type if rows else pa.int64()
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = ItemIndex.of(shared.value)
             for batch in batches:
                 # Slices of about a million words keep the arrays small whatever the batch holds.
                 column, start = batch.column(1), 0
