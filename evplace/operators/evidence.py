@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import category_key
 
-#: The topics each persona covers (fixed values of the domain).
+# The topics of each target persona. Any other persona has none, so it counts as unknown.
 PERSONA_DOMAINS = {
     "persona_1": ["technology"],
     "persona_2": ["business", "technology"],
     "persona_3": ["sports"],
-    "persona_4": ["business", "entertainment", "health", "science", "sports", "technology"],
 }
 PERSONA_ORDER = ["persona_1", "persona_2", "persona_3", "persona_4", "tbd"]
 VARIANTS = ("memory_only", "document_only", "integrated")

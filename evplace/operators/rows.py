@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions.ids import hash_rank
 from ..functions.text import strip
-from .evidence import PERSONA_DOMAINS, VARIANTS
+from .evidence import PERSONA_ORDER, VARIANTS
 from .relational import first_column
 
 
@@ -47,8 +47,8 @@ def valid_variant(variant: Column) -> Column:
 
 
 def known_persona(persona: Column) -> Column:
-    """The persona, or an error for one that has no profile."""
-    return F.when(persona.isin(*PERSONA_DOMAINS), persona).otherwise(F.raise_error(F.concat(F.lit("unknown persona "), F.coalesce(persona, F.lit("null")))))
+    """The persona, or an error for one that has no character text."""
+    return F.when(persona.isin(*PERSONA_ORDER[:4]), persona).otherwise(F.raise_error(F.concat(F.lit("unknown persona "), F.coalesce(persona, F.lit("null")))))
 
 
 def required_query(query: Column) -> Column:

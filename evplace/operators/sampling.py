@@ -96,17 +96,72 @@ def smoke_subset(df: DataFrame, key: str, kind: str, seed: int = 42) -> DataFram
     return rows.withColumn("__r", F.row_number().over(W.Window.partitionBy("role").orderBy("__o", key))).where("__r = 1").drop("__r", "__o")
 
 
-def diversity_draw(df: DataFrame, key: str, categories: dict[str, float], turns: dict[str, float], seed: int = 42) -> DataFrame:
-    """A weighted draw of category and turn range per record; transactional sessions take the shortest range."""
-    def pick(unit: Column, table: dict[str, float]) -> Column:
-        total, upper, out = sum(table.values()), 0.0, None
-        for name, weight in table.items():
-            upper += weight / total
-            out = F.when(unit < upper, name) if out is None else out.when(unit < upper, name)
-        return out.otherwise(list(table)[-1])
+# The turn ranges and topic drifts, and per persona the weights of categories, of turn ranges, and of
+# topic drift at each turn range.
+TURN_RANGES = ["4-4", "4-6", "6-10", "8-10"]
+TOPIC_DRIFTS = ["tight", "moderate", "wide"]
+PROFILES = {
+    "persona_1": {
+        "categories": {"professional": 0.55, "casual": 0.30, "transactional": 0.15},
+        "turns": [0.15, 0.30, 0.35, 0.20],
+        "drift": [[0.80, 0.15, 0.05], [0.70, 0.22, 0.08], [0.45, 0.42, 0.13], [0.40, 0.45, 0.15]],
+    },
+    "persona_2": {
+        "categories": {"professional": 0.50, "casual": 0.32, "transactional": 0.18},
+        "turns": [0.20, 0.30, 0.30, 0.20],
+        "drift": [[0.82, 0.14, 0.04], [0.72, 0.20, 0.08], [0.48, 0.40, 0.12], [0.42, 0.44, 0.14]],
+    },
+    "persona_3": {
+        "categories": {"professional": 0.30, "casual": 0.50, "transactional": 0.20},
+        "turns": [0.30, 0.30, 0.25, 0.15],
+        "drift": [[0.75, 0.18, 0.07], [0.65, 0.25, 0.10], [0.42, 0.42, 0.16], [0.38, 0.44, 0.18]],
+    },
+}
+TRANSACTIONAL = {"turns": [0.55, 0.45], "drift": [0.78, 0.22]}  # fixed values: over the first two turn ranges and drifts
+
+
+def drift_weights(profile: dict) -> dict[str, float]:
+    """Topic-drift weights of a profile, averaged over its turn ranges."""
+    raw = [sum(w * d[j] for w, d in zip(profile["turns"], profile["drift"])) for j in range(len(TOPIC_DRIFTS))]
+    return {name: x / sum(raw) for name, x in zip(TOPIC_DRIFTS, raw)}
+
+
+def weighted_pick(unit: Column, names: Sequence[str], weights: Sequence[float]) -> Column:
+    """The name whose share of [0, 1) holds the number."""
+    total, upper, out = sum(weights), 0.0, None
+    for name, weight in zip(names, weights):
+        upper += weight / total
+        out = F.when(unit < upper, name) if out is None else out.when(unit < upper, name)
+    return out.otherwise(names[-1])
+
+
+def diversity_draw(df: DataFrame, key: str, persona: str, seed: int = 42) -> DataFrame:
+    """Category, turn range and topic drift of each request, drawn by its persona's weights.
+
+    Each draw has its own hash, so none depends on the order of rows. Transactional sessions draw from the two shortest
+    turn ranges and the two narrowest drifts. A persona without profile draws evenly.
+    """
+    unit = lambda name: hash_unit(seed, F.lit(name), F.col(key), F.col(persona))
+
+    def by_persona(pick) -> Column:
+        out = None
+        for name, profile in PROFILES.items():
+            out = F.when(F.col(persona) == name, pick(profile)) if out is None else out.when(F.col(persona) == name, pick(profile))
+        even = {"categories": dict.fromkeys(PROFILES["persona_1"]["categories"], 1.0), "turns": [1.0] * 4, "drift": [[1.0] * 3] * 4}
+        return out.otherwise(pick(even))
+
+    rows = df.withColumn("category", by_persona(lambda p: weighted_pick(unit("category"), list(p["categories"]), list(p["categories"].values()))))
+    short = F.col("category") == "transactional"
+    rows = rows.withColumn("turns", F.when(short, weighted_pick(unit("turns"), TURN_RANGES[:2], TRANSACTIONAL["turns"])).otherwise(by_persona(lambda p: weighted_pick(unit("turns"), TURN_RANGES, p["turns"]))))
 
-    rows = df.withColumn("category", pick(hash_unit(seed, F.lit("category"), F.col(key)), categories))
-    return rows.withColumn("turns", F.when(F.col("category") == "transactional", F.lit(next(iter(turns)))).otherwise(pick(hash_unit(seed, F.lit("turns"), F.col(key)), turns)))
+    def drift(profile: dict) -> Column:
+        out = None
+        for name, weights in zip(TURN_RANGES, profile["drift"]):
+            pick = weighted_pick(unit("drift"), TOPIC_DRIFTS, weights)
+            out = F.when(F.col("turns") == name, pick) if out is None else out.when(F.col("turns") == name, pick)
+        return out
+
+    return rows.withColumn("drift", F.when(short, weighted_pick(unit("drift"), TOPIC_DRIFTS[:2], TRANSACTIONAL["drift"])).otherwise(by_persona(drift)))
 
 
 def _allocate(n: int, weights: list[float]) -> list[int]:
@@ -120,9 +175,11 @@ def _allocate(n: int, weights: list[float]) -> list[int]:
     return out
 
 
-def diversity_sample(df: DataFrame, group: str, key: str, levels: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+def diversity_sample(df: DataFrame, group: str, key: str, levels: Sequence[str], n: int, weights: dict | None = None, seed: int = 42) -> DataFrame:
     """n records per group, spread over nested levels by largest remainder, with fallback where a bin is empty.
 
+    ``weights`` gives, per group and level, the weight of each label; without it the labels of a level share evenly.
+
     Each bin (group x levels) first keeps its n least hashes, so a task gets at most n records per bin whatever the
     size of the group; the stateful allocation then runs per group.
     """
@@ -137,8 +194,10 @@ def diversity_sample(df: DataFrame, group: str, key: str, levels: Sequence[str],
             return pdf.iloc[:0]
         if depth == len(names):
             return pdf.head(want)
-        parts = [p for _, p in pdf.groupby(names[depth], sort=True)]
-        got = [take(p, q, depth + 1) for p, q in zip(parts, _allocate(want, [1.0] * len(parts)))]
+        parts = list(pdf.groupby(names[depth], sort=True))
+        shares = (weights or {}).get(pdf[group].iloc[0], {}).get(levels[depth])
+        each = [shares.get(label, 0.0) if shares else 1.0 for label, _ in parts]
+        got = [take(p, q, depth + 1) for (_, p), q in zip(parts, _allocate(want, each))]
         chosen = pd.concat(got)
         if len(chosen) < want:  # a bin was short: fill from what is left, by hash
             chosen = pd.concat([chosen, pdf.drop(chosen.index).head(want - len(chosen))])

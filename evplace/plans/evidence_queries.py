@@ -61,9 +61,17 @@ _SUBSET = "len(list_filter(categories, lambda x: NOT list_contains(known, x))) =
 _RELEVANCE = f"CASE WHEN len(categories) = 0 OR len(known) = 0 OR NOT list_has_any(categories, known) THEN 'out_of_domain' WHEN {_SUBSET} THEN 'in_domain' ELSE 'partial' END"
 
 
-@query(f"WITH {_RCATS} SELECT run_id, variant = 'document_only' OR len(categories) = 0 OR {_SUBSET} AS in_domain FROM rc")
+@query(f"""WITH {_GOLD}, {v.DOMAINS}, mc AS (SELECT g.run_id, list_distinct(list(nullif(lower({v.strip_sql('e.category')}), ''))) AS categories FROM gold g JOIN evidence e USING (url) WHERE g.variant <> 'integrated' OR g.side = 'memory' GROUP BY 1),
+    x AS (SELECT r.run_id, r.variant, list_filter(coalesce(mc.categories, []), lambda x: x IS NOT NULL) AS categories, coalesce(d.domains, []) AS known FROM runs r LEFT JOIN mc USING (run_id) LEFT JOIN domains d ON d.persona = r.eval_persona)
+    SELECT run_id, variant = 'document_only' OR len(categories) = 0 OR {_SUBSET} AS in_domain FROM x""")
 def in_domain_label(spark, d):
-    return v.run_categories(spark, d).select("run_id", ev.is_in_domain(F.col("variant"), F.col("categories"), F.col("eval_persona")).alias("in_domain"))
+    """Whether the evidence of the memory channel (all of it, or the memory half of integrated runs) is the persona's."""
+    g = _gold(spark, d).where("variant <> 'integrated' or side = 'memory'").select("run_id", "url")
+    e = v.evidence(spark, d, "url", "category").select("url", text.category_key(F.col("category")).alias("category"))
+    cats = g.join(e, "url").groupBy("run_id").agg(F.array_compact(F.collect_set("category")).alias("categories"))
+    r = v.runs(spark, d, "variant", "eval_persona").join(cats, "run_id", "left")
+    known = F.coalesce("categories", F.expr("cast(array() as array<string>)"))
+    return r.select("run_id", ev.is_in_domain(F.col("variant"), known, F.col("eval_persona")).alias("in_domain"))
 
 
 @query(f"WITH {_RCATS} SELECT run_id, {_RELEVANCE} AS relevance FROM rc")
@@ -309,7 +317,7 @@ def request_fanout(spark, d):
 
 
 @query(f"""WITH {v.EVIDENCE}, {v.MANIFEST}, {v.DOMAINS}, x AS (SELECT d.persona, e.evidence_id, {v.hash_sql(42, 'd.persona', 'e.evidence_id')} AS h FROM evidence e, domains d
-      WHERE d.persona <> 'persona_4' AND list_contains(d.domains, nullif(lower({v.strip_sql('e.category')}), '')) AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.target_persona_id = d.persona AND m.evidence_id = e.evidence_id))
+      WHERE list_contains(d.domains, nullif(lower({v.strip_sql('e.category')}), '')) AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.target_persona_id = d.persona AND m.evidence_id = e.evidence_id))
     SELECT persona, evidence_id FROM x QUALIFY row_number() OVER (PARTITION BY persona ORDER BY h, evidence_id) <= 25""")
 def supplement_candidates(spark, d):
     """In-domain evidence that a persona's pools do not hold yet, 25 per persona by least hash."""

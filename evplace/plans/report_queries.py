@@ -245,8 +245,10 @@ def tiered_fill(spark, d):
 
 @query()
 def diversity_sample(spark, d):
-    m = v.manifest(spark, d).where("session_parse_error is null")
-    return sampling.diversity_sample(m, "target_persona_id", "custom_id", ["scenario_category", "turn_range", "topic_drift"], 100)
+    m = v.manifest(spark, d, "session_parse_error", "target_persona_id", "scenario_category", "turn_range", "topic_drift").where("session_parse_error is null")
+    m = m.withColumn("turns", text.turn_range_label(F.col("turn_range")))
+    weights = {p: {"scenario_category": w["categories"], "turns": dict(zip(sampling.TURN_RANGES, w["turns"])), "topic_drift": sampling.drift_weights(w)} for p, w in sampling.PROFILES.items()}
+    return sampling.diversity_sample(m, "target_persona_id", "custom_id", ["scenario_category", "turns", "topic_drift"], 100, weights)
 
 
 @query(f"""WITH {v.QUESTIONS}, x AS (SELECT question_idx, CASE WHEN question_type IN ('null_query', 'temporal_query') THEN question_type ELSE 'other' END AS role, CASE WHEN question_type IN ('null_query', 'temporal_query') THEN lpad(question_idx::VARCHAR, 20, '0') ELSE {v.hash_sql(42, 'question_idx')} END AS o FROM questions)
@@ -255,22 +257,26 @@ def smoke_subset(spark, d):
     return sampling.smoke_subset(v.questions(spark, d), "question_idx", "question_type").select("question_idx", "role")
 
 
-_CATS = {"professional": 0.5, "casual": 0.3, "transactional": 0.2}
-_TURNS = {"4-6": 0.4, "6-8": 0.4, "8-10": 0.2}
-
-
-def _pick(unit: str, t: dict) -> str:
+def _pick(unit: str, names, weights) -> str:
     upper, out = 0.0, "CASE"
-    for k, w in t.items():
-        upper += w / sum(t.values())
+    for k, w in zip(names, weights):
+        upper += w / sum(weights)
         out += f" WHEN {unit} < {upper!r}::DOUBLE THEN '{k}'"
-    return f"{out} ELSE '{list(t)[-1]}' END"
+    return f"{out} ELSE '{names[-1]}' END"
+
 
+_U = {n: v.unit_sql(42, f"'{n}'", "evidence_id", "persona") for n in ("category", "turns", "drift")}
+_P = sampling.PROFILES
+_BY = lambda f: "CASE persona " + " ".join(f"WHEN '{p}' THEN {f(w)}" for p, w in _P.items()) + " END"
+_DRIFT = lambda w: "CASE turns " + " ".join(f"WHEN '{t}' THEN {_pick(_U['drift'], sampling.TOPIC_DRIFTS, x)}" for t, x in zip(sampling.TURN_RANGES, w["drift"])) + " END"
 
-@query(f"""WITH {v.EVIDENCE}, c AS (SELECT evidence_id, {_pick(v.unit_sql(42, "'category'", 'evidence_id'), _CATS)} AS category FROM evidence)
-    SELECT evidence_id, category, CASE WHEN category = 'transactional' THEN '4-6' ELSE {_pick(v.unit_sql(42, "'turns'", 'evidence_id'), _TURNS)} END AS turns FROM c""")
+
+@query(f"""WITH {v.EVIDENCE}, p AS (SELECT evidence_id, unnest({list(_P)}) AS persona FROM evidence), c AS (SELECT *, {_BY(lambda w: _pick(_U['category'], list(w['categories']), list(w['categories'].values())))} AS category FROM p),
+    t AS (SELECT *, CASE WHEN category = 'transactional' THEN {_pick(_U['turns'], sampling.TURN_RANGES[:2], sampling.TRANSACTIONAL['turns'])} ELSE {_BY(lambda w: _pick(_U['turns'], sampling.TURN_RANGES, w['turns']))} END AS turns FROM c)
+    SELECT evidence_id, persona, category, turns, CASE WHEN category = 'transactional' THEN {_pick(_U['drift'], sampling.TOPIC_DRIFTS[:2], sampling.TRANSACTIONAL['drift'])} ELSE {_BY(_DRIFT)} END AS drift FROM t""")
 def diversity_draw(spark, d):
-    return sampling.diversity_draw(v.evidence(spark, d).select("evidence_id"), "evidence_id", _CATS, _TURNS)
+    e = v.evidence(spark, d, "url").select("evidence_id", F.explode(F.array(*[F.lit(p) for p in _P])).alias("persona"))
+    return sampling.diversity_draw(e, "evidence_id", "persona")
 
 
 @query()
@@ -303,16 +309,16 @@ def row_seeds(spark, d):
     return q.select("question_idx", rows.row_seed(42, F.col("question_id")).alias("seed"), rows.coin(42, F.col("question_id")).alias("coin"))
 
 
-@query(f"""WITH {v.MANIFEST}, w AS (SELECT target_persona_id, turn_range[1] AS t, count(*)::DOUBLE AS weight FROM manifest GROUP BY ALL), n AS (SELECT turn_range[1] AS t, topic_drift, count(*)::DOUBLE AS c FROM manifest WHERE topic_drift IS NOT NULL GROUP BY ALL),
-    s AS (SELECT t, topic_drift, c / sum(c) OVER (PARTITION BY t) AS share FROM n), g AS (SELECT target_persona_id, topic_drift, sum(weight * share) AS raw FROM w JOIN s USING (t) GROUP BY ALL)
-    SELECT target_persona_id, topic_drift, round(raw / sum(raw) OVER (PARTITION BY target_persona_id), 6) AS share FROM g""")
+_MARGINAL = [(p, t, w["turns"][i], lvl, w["drift"][i][j]) for p, w in sampling.PROFILES.items() for i, t in enumerate(sampling.TURN_RANGES) for j, lvl in enumerate(sampling.TOPIC_DRIFTS)]
+
+
+@query(f"""WITH x AS (SELECT * FROM (VALUES {', '.join(f"('{p}', {w}::DOUBLE, '{lvl}', {s}::DOUBLE)" for p, _, w, lvl, s in _MARGINAL)}) AS t(persona, w, drift, s)), g AS (SELECT persona, drift, sum(w * s) AS raw FROM x GROUP BY ALL)
+    SELECT persona, drift, round(raw / sum(raw) OVER (PARTITION BY persona), 6) AS share FROM g""")
 def drift_marginal(spark, d):
-    """Topic drift per persona: its turn ranges weighted with the drift seen at each."""
-    m = v.manifest(spark, d, "target_persona_id", "turn_range", "topic_drift").withColumn("t", F.get("turn_range", F.lit(0)))
-    weights = m.groupBy("target_persona_id", "t").agg(F.count("*").cast("double").alias("weight"))
-    n = m.where("topic_drift is not null").groupBy("t", "topic_drift").agg(F.count("*").cast("double").alias("c"))
-    shares = n.select("t", "topic_drift", (F.col("c") / F.sum("c").over(W.Window.partitionBy("t"))).alias("share"))
-    return rows.weighted_marginal(weights, shares, "target_persona_id", "t", "topic_drift")
+    """Topic drift per persona: the drift weights of its turn ranges, averaged by the turn-range weights."""
+    rows_ = F.array(*[F.struct(F.lit(p).alias("persona"), F.concat(F.lit(p + " "), F.lit(t)).alias("k"), F.lit(w).alias("weight"), F.lit(lvl).alias("drift"), F.lit(s).alias("share")) for p, t, w, lvl, s in _MARGINAL])
+    x = spark.range(1).select(F.explode(rows_).alias("x")).select("x.*")
+    return rows.weighted_marginal(x.select("persona", "k", "weight").distinct(), x.select("k", "drift", "share"), "persona", "k", "drift")
 
 
 @query(f"""WITH {v.TURNS}, {v.MANIFEST} SELECT session_id, (count(*) // 2)::INT AS turns, count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0 AS complete FROM turns GROUP BY 1""")

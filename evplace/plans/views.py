@@ -69,8 +69,7 @@ CATEGORIES = f"""{QUESTIONS}, {EVIDENCE},
   cats AS (SELECT source_question_id AS question_id, list_sort(list_distinct(list(nullif(lower(regexp_replace(category, '^\\s+|\\s+$', '', 'g')), '')))) AS categories FROM evidence GROUP BY 1),
   qcats AS (SELECT q.question_idx, q.question_id, q.original_persona, q.question_type, list_filter(coalesce(categories, []), lambda x: x IS NOT NULL) AS categories
     FROM questions q LEFT JOIN cats USING (question_id))"""
-DOMAINS = """domains AS (SELECT * FROM (VALUES ('persona_1', ['technology']), ('persona_2', ['business', 'technology']), ('persona_3', ['sports']),
-    ('persona_4', ['business', 'entertainment', 'health', 'science', 'sports', 'technology'])) AS t(persona, domains))"""
+DOMAINS = "domains AS (SELECT * FROM (VALUES ('persona_1', ['technology']), ('persona_2', ['business', 'technology']), ('persona_3', ['sports'])) AS t(persona, domains))"
 
 
 def strip_sql(c: str) -> str:

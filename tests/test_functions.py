@@ -74,7 +74,7 @@ def test_personas_and_domains(spark):
     assert one(spark, ev.is_in_domain(F.lit("integrated"), d, F.lit("persona_1")), d=[]) and one(spark, ev.topical_relevance(d, F.lit("persona_1")), d=[]) == "out_of_domain"
     assert one(spark, ev.topical_relevance(d, F.lit("persona_1")), d=["sports", "technology"]) == "partial"
     c = F.col("c")
-    assert one(spark, ev.session_in_domain(c, F.lit("nobody")), c="x") and not one(spark, ev.session_in_domain(c, F.lit("persona_1")), c=None)
+    assert one(spark, ev.session_in_domain(c, F.lit("persona_4")), c="x") and not one(spark, ev.session_in_domain(c, F.lit("persona_1")), c=None)
     assert not one(spark, ev.is_off_topic(d, F.lit("nobody")), d=["x"]) and one(spark, ev.is_off_topic(d, F.lit("persona_1")), d=[])
     assert not one(spark, ev.matches_wanted_domain(c, F.lit("persona_1"), True), c=None) and one(spark, ev.matches_wanted_domain(c, F.lit("persona_1"), False), c=None)
     assert not one(spark, ev.evidence_in_domain(c, F.lit("nobody")), c="technology") and one(spark, ev.evidence_in_domain(c, F.lit("persona_1")), c=" Technology")
@@ -230,3 +230,13 @@ def test_row_shapes(spark):
     assert one(spark, rows.all_required_present(a, a, a, none, F.lit(False)), x="") and not one(spark, rows.all_required_present(a, a, a, none, F.lit(True)), x="")
     assert one(spark, rows.actual_turns(F.lit(None).cast("int"), F.lit(4)), x="") == 4 and one(spark, rows.actual_turns(F.lit(7), F.lit(4)), x="") == 3
     assert one(spark, rows.row_seed(42, F.col("x")), x="q") == int(hashlib.sha256(b"42:q").hexdigest()[:8], 16)
+
+
+def test_draws_follow_the_profile(spark):
+    df = spark.range(6000).select("id", F.lit("persona_3").alias("p"))
+    out = sampling.diversity_draw(df, "id", "p")
+    n = {r["category"]: r["count"] / 6000 for r in out.groupBy("category").count().collect()}
+    assert all(abs(n[c] - w) < 0.03 for c, w in sampling.PROFILES["persona_3"]["categories"].items())
+    assert {r["turns"] for r in out.where("category = 'transactional'").select("turns").distinct().collect()} == {"4-4", "4-6"}
+    assert out.where("drift is null or (category = 'transactional' and drift = 'wide')").count() == 0
+    assert abs(sum(sampling.drift_weights(sampling.PROFILES["persona_1"]).values()) - 1) < 1e-9
