@@ -144,7 +144,8 @@ def corrective_loop(
 
     ``retrieve(asked, seen, k)`` returns (query_id, chunk_id, rank, text) without the chunks of ``seen``. With
     ``accumulate`` relevant chunks are kept over rounds, chunks once seen are not fetched again and a run is done with
-    ``k`` kept; without, a round stands alone and one relevant chunk is enough. At most ``rewrites`` more rounds.
+    ``k`` kept; without, a round stands alone, one relevant chunk is enough, and the answer is asked for with the last
+    rewritten query. At most ``rewrites`` more rounds.
     """
     active = queries.select("query_id", F.col("query").alias("original"), "query")
     kept: DataFrame | None = None
@@ -158,7 +159,7 @@ def corrective_loop(
         kept = good if kept is None else (kept.unionByName(good) if accumulate else good.unionByName(kept.join(active, "query_id", "left_anti")))
         ids = graded.select("query_id", "chunk_id")
         seen = ids if seen is None else seen.unionByName(ids)
-        done_round = active.select("query_id", F.lit(no).alias("round_no"))
+        done_round = active.select("query_id", "query", F.lit(no).alias("round_no"))
         rounds = done_round if rounds is None else rounds.unionByName(done_round)
         have = kept.groupBy("query_id").agg(F.count("*").alias("n"))
         need = k if accumulate else 1
@@ -169,9 +170,9 @@ def corrective_loop(
     w = W.Window.partitionBy("query_id").orderBy("round_no", "rank", "chunk_id")
     use = kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     lists = use.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("l"))
-    counts = rounds.groupBy("query_id").agg(F.count("*").cast("int").alias("n_rounds"))
+    counts = rounds.groupBy("query_id").agg(F.count("*").cast("int").alias("n_rounds"), F.max_by("query", "round_no").alias("last_query"))
     ready = queries.select("query_id", "query").join(lists, "query_id", "left").join(counts, "query_id", "left")
-    ready = ready.withColumn("prompt", rag_prompt(passages_block(F.col("l.text"), F.lit(None)), F.col("query")))
+    ready = ready.withColumn("prompt", rag_prompt(passages_block(F.col("l.text"), F.lit(None)), F.col("query" if accumulate else "last_query")))
     ready = ready.select("query_id", "query", F.coalesce(F.size("l"), F.lit(0)).alias("n_kept"), "n_rounds", "prompt")
     return materialise(call_model(ready, "prompt", client), "answers").drop("prompt")
 

@@ -73,6 +73,20 @@ def match_pairs(retrieved: DataFrame, pairs: DataFrame) -> DataFrame:
     return g.select("key", F.when(F.col("n_eq") == 1, F.col("eq_index")).when(F.col("n_eq") > 1, None).when(unique, F.col("best_index")).alias("chunk_index"))
 
 
+def strict_memory_hits(retrieved: DataFrame, pairs: DataFrame, audit: DataFrame) -> DataFrame:
+    """Whether a retrieved text is an audited key turn of its session. audit: session_id, key_information (pair indexes).
+
+    A text that stands for no single pair, or a session without audit, is no hit.
+    """
+    at = match_pairs(retrieved, pairs).join(retrieved.select("key", "session_id"), "key").join(audit.select("session_id", "key_information"), "session_id", "left")
+    return at.select("key", "session_id", F.coalesce(F.array_contains("key_information", F.col("chunk_index").cast("int")), F.lit(False)).alias("hit"))
+
+
+def gold_document_hit(document_hit: Column, memory_hit: Column) -> Column:
+    """Memory gold that may also be met by the text of its article."""
+    return F.coalesce(document_hit, F.lit(False)) | F.coalesce(memory_hit, F.lit(False))
+
+
 def wilson(n: Column, k: Column) -> tuple[Column, Column]:
     """The 95 % Wilson interval of k of n, clamped to [0, 1]."""
     p = k / n

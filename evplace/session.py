@@ -60,9 +60,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_STAGES: dict[str, list[str]] = {}
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stage tables that this session wrote; call it when no result that reads them is needed any more."""
+    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(paths)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evplace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -95,11 +95,16 @@ def newest(spark: SparkSession, folder: str, pattern: str) -> str:
 
 
 def resume(todo: DataFrame, spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Rows of ``todo`` without a result in ``path``; a missing or unreadable file means nothing is done."""
+    """Rows of ``todo`` without a sound result in ``path``: rows with an error are tried again.
+
+    A missing or unreadable file means nothing is done.
+    """
     try:
         done = spark.read.json(path)
         if key not in done.columns:
             return todo
+        if "error" in done.columns:
+            done = done.where("error is null")
     except Exception:  # noqa: BLE001
         return todo
     return pending(todo, done, key)

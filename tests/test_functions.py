@@ -135,6 +135,9 @@ def test_pair_matching(spark):
     pairs = spark.createDataFrame([("s", 0, "user: aa"), ("s", 1, "user: aa"), ("s", 2, "user: bb\nassistant: long text"), ("s", 3, "user: cc")], "session_id string, chunk_index int, text string")
     got = spark.createDataFrame([("dup", "s", "user: aa"), ("part", "s", "assistant: long"), ("exact", "s", "USER: cc"), ("none", "s", "zz")], "key string, session_id string, text string")
     assert dict(map(tuple, metrics.match_pairs(got, pairs).collect())) == {"dup": None, "part": 2, "exact": 3, "none": None}
+    audit = spark.createDataFrame([("s", [2])], "session_id string, key_information array<int>")
+    assert {r["key"]: r["hit"] for r in metrics.strict_memory_hits(got, pairs, audit).collect()} == {"dup": False, "part": True, "exact": False, "none": False}
+    assert one(spark, metrics.gold_document_hit(F.lit(None).cast("boolean"), F.lit(True)), z="")
 
 
 def test_mixed_recall_ties_and_nulls(spark):

@@ -73,6 +73,8 @@ def test_audit_maps_runs_and_resume(spark, tmp_path):
     todo = spark.createDataFrame([(1,), (2,)], "question_idx int")
     assert readers.resume(todo, spark, str(folder / "agent_1.jsonl"), "question_idx").collect() == [(2,)]
     assert readers.resume(todo, spark, str(tmp_path / "nothing.jsonl"), "question_idx").count() == 2
+    failed = write(tmp_path / "f.jsonl", '{"question_idx": 1, "error": "x"}\n{"question_idx": 2, "error": null}')
+    assert readers.resume(todo, spark, failed, "question_idx").collect() == [(1,)]
     personas = spark.createDataFrame([("q", "p1"), (" q", "p1"), ("r", "p2")], "query string, persona string")
     assert readers.persona_by_query(personas).count() == 2
     with pytest.raises(ValueError, match="two personas"):
