@@ -33,15 +33,18 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", chunk: str = "chun
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "text", query_text: str = "query") -> DataFrame:
+def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "text", query_text: str = "query", exclude: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that shares a term with the query.
 
     Okapi BM25 with k1 = 1.5, b = 0.75 and idf ln(1 + (N - df + .5) / (df + .5)). Only postings of terms that some
     query has go through the join. Corpus size and average length are one row each.
+
+    ``exclude`` (query_id, chunk_id) takes chunks out of a query's corpus. The index is not rebuilt: the query's N, word
+    sum and document frequencies are the corpus's less those of its excluded chunks.
     """
     each = chunks.select("chunk_id", terms(F.col(text)).alias("t"))
     total = each.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("words")).first()
-    n, mean = total["n"] or 0, (total["words"] or 0) / max(1, total["n"] or 0)
+    n, all_words = total["n"] or 0, total["words"] or 0
     asked = materialise(queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")), "query-terms")
     # An outer explode: a plain one would make the optimizer tokenise once more, to test for empty arrays.
     words = each.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
@@ -49,10 +52,21 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "text", query
     # Written once: both the frequencies and the weights read it.
     tf = materialise(words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
     frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
-    weighted = tf.join(frequency, "term").select("chunk_id", "term", weight.alias("w"))
-    return asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    if exclude is None:
+        idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        mean = all_words / n if all_words else 1.0
+        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+        weighted = tf.join(frequency, "term").select("chunk_id", "term", weight.alias("w"))
+        return asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    out = materialise(exclude.select("query_id", "chunk_id").distinct(), "excluded")
+    gone = out.join(each.select("chunk_id", F.size("t").alias("dl")), "chunk_id").groupBy("query_id").agg(F.count("*").alias("n_out"), F.sum("dl").alias("words_out"))
+    gone_df = out.join(tf.select("chunk_id", "term"), "chunk_id").groupBy("query_id", "term").agg(F.count("*").alias("df_out"))
+    own = asked.join(frequency, "term").join(gone_df, ["query_id", "term"], "left").join(gone, "query_id", "left").na.fill(0, ["df_out", "n_out", "words_out"])
+    own = own.withColumns({"df": F.col("df") - F.col("df_out"), "n": F.lit(n) - F.col("n_out")}).withColumn("mean", (F.lit(all_words) - F.col("words_out")) / F.col("n"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    kept = own.select("query_id", "term", "df", "n", "mean").join(tf, "term").join(out, ["query_id", "chunk_id"], "left_anti")
+    return kept.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def best_of_partition(shared, keep: int, rows: int = 1024):

@@ -61,6 +61,20 @@ def bm25_recall_at_10(spark, d):
     return r.recall_at_k(_bm25_top(spark, d), gold)
 
 
+@query(f"""WITH {_BM25}, ex AS (SELECT DISTINCT q.query_id, e.evidence_id AS chunk_id FROM q JOIN evidence e ON e.source_question_id = q.question_id),
+    cq AS (SELECT * FROM (SELECT qs.query_id, c.chunk_id, len(c.t) AS dl FROM (SELECT DISTINCT query_id FROM q) qs CROSS JOIN c) z ANTI JOIN ex USING (query_id, chunk_id)),
+    sq AS (SELECT query_id, count(*) AS n, sum(dl) / count(*) AS mean FROM cq GROUP BY 1),
+    pq AS (SELECT q.query_id, p.chunk_id, term, tf, dl FROM q JOIN p USING (term) ANTI JOIN ex ON ex.query_id = q.query_id AND ex.chunk_id = p.chunk_id),
+    fq AS (SELECT query_id, term, count(*) AS df FROM pq GROUP BY ALL),
+    xs AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM pq JOIN fq USING (query_id, term) JOIN sq USING (query_id) GROUP BY ALL)
+    SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM xs QUALIFY rank <= 10""")
+def bm25_under_delta(spark, d):
+    """BM25 when a question's own evidence is taken out of its corpus, statistics and all."""
+    asked = _asked(spark, d)
+    own = asked.join(v.evidence(spark, d, "source_question_id").select(F.col("source_question_id").alias("question_id"), F.col("evidence_id").alias("chunk_id")), "question_id").select("query_id", "chunk_id")
+    return r.top_k(r.bm25_scores(_chunks(spark, d), asked, exclude=own), 10).select("query_id", "chunk_id", "score", "rank")
+
+
 def _vectors(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return e.withColumnRenamed("vec_id", "chunk_id"), e.where(F.col("vec_id") % v.SEARCH_STEP == 0).withColumnRenamed("vec_id", "query_id")

@@ -127,6 +127,10 @@ def test_bm25_and_fusion(spark):
     q = spark.createDataFrame([(1, "Red fox!"), (2, None)], "query_id long, query string")
     top = retrieval.top_k(retrieval.bm25_scores(chunks, q), 5).orderBy("rank").collect()
     assert [r["chunk_id"] for r in top] == ["a", "b"]
+    # Excluding chunks equals building the index without them.
+    out = spark.createDataFrame([(1, "b"), (1, "c")], "query_id long, chunk_id string")
+    less = retrieval.bm25_scores(chunks.where("chunk_id not in ('b', 'c')"), q).collect()
+    assert sorted(map(tuple, retrieval.bm25_scores(chunks, q, exclude=out).collect())) == sorted(map(tuple, less)) and less
     lists = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id long, chunk_id string, rank int")
     other = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "query_id long, chunk_id string, rank int")
     assert [r["chunk_id"] for r in retrieval.reciprocal_rank_fusion([(lists, 0.5), (other, 0.5)], 3).orderBy("rank").collect()] == ["b", "a", "c"]
