@@ -126,7 +126,8 @@ def language_of(text: str | None, least: int = 1) -> str | None:
 def copies(query: str, answer: str, answer_share: float = 0.8, query_share: float = 0.5) -> bool:
     """Tiles of two words or more cover the answer and a good part of the query."""
     q, a = words_of(query), words_of(answer)
-    if len(q) < 4 or len(a) < 4 or len(a) < len(q) * query_share:
+    # Tiles do not overlap in the query, so they cannot cover more words of an answer than the query has.
+    if len(q) < 4 or len(a) < 4 or len(a) < len(q) * query_share or len(a) * answer_share > len(q):
         return False
     codes: dict[str, int] = {}
     arrays = [np.array([codes.setdefault(w, len(codes) + 1) for w in ws], np.uint64) for ws in (a, q)]
@@ -145,7 +146,7 @@ def cut_reasoning(reasoning: str | None) -> bool:
     text = (reasoning or "").strip()
     if not text:
         return False
-    if re.search(r"(?:\.{3,}|…|\[\+?\d+ \w+\])$", text) or broken_end(text):
+    if re.search(r"(?:\.{3,}|…|\[\+?\d+ \w+\])$", text[-80:]) or broken_end(text):
         return True
     if text.rstrip("\"'”’»)]*_`")[-1:] not in tuple(".!?。！？"):
         return True
@@ -159,7 +160,7 @@ def cut_answer(answer: str, reasoning: str | None, gold: str | None, limit: int)
     bare = text.rstrip(".!?")
     if not bare or bare.lower() in _WHOLE:
         return False
-    if re.search(r"(?:\.{3,}|…)$", text) or broken_end(text):
+    if re.search(r"(?:\.{3}|…)$", text[-3:]) or broken_end(text):
         return True
     low, why = bare.lower(), (reasoning or "").lower()
     at = why.rfind(low)

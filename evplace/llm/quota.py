@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.text import category_key
 from ..session import materialise
 
 NONE = "(none)"
@@ -94,8 +95,8 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
     sample: pool_id, custom_id, domain, category. report: pool_id, stratum, kind
     (target, minimum, share), wanted, usable, taken, met.
     """
-    category = F.nullif(F.lower(F.regexp_replace(F.coalesce("scenario_category", F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), F.lit(""))
-    known = shares.select(F.lower(F.trim("scenario_category")).alias("category"), "persona_id", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("min_count", F.lit(0)).alias("least"))
+    category = category_key(F.col("scenario_category"))
+    known = shares.select(category_key(F.col("scenario_category")).alias("category"), "persona_id", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("min_count", F.lit(0)).alias("least"))
     usable = sessions.where(F.col("pool_id").isNotNull() & F.col("custom_id").isNotNull() & F.col("session_parse_error").isNull())
     usable = usable.groupBy("pool_id", "custom_id").agg(F.max("is_off_topic").alias("off"), F.min(category).alias("category"))
     targets = pools.where("pool_id is not null").groupBy("pool_id").agg(F.min("persona_id").alias("persona_id"), F.max(F.coalesce("target_in_domain", F.lit(0))).alias("t_in"), F.max(F.coalesce("target_off_topic", F.lit(0))).alias("t_off"))

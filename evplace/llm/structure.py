@@ -10,7 +10,8 @@ import re
 
 # Opening signs and what closes them.
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“”", "‹": "›"}
-_CLOSERS = {c for cs in PAIRS.values() for c in cs}
+_OPENERS = set(PAIRS)
+_OPENERS_OF = {c: tuple(o for o, cs in PAIRS.items() if c in cs) for cs in PAIRS.values() for c in cs}
 _EVENT = re.compile(r"```|~~~|</?[A-Za-z][\w-]*(?:\s[^<>]{0,300})?/?>|<!--|-->|[()\[\]{}“”«»„‹›]|\"")
 # Elements without an end tag.
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "col", "wbr", "source"}
@@ -35,45 +36,50 @@ def open_signs(text: str) -> list[tuple[str, int]]:
     one before (quotes over several paragraphs).
     """
     stack: list[tuple[str, int]] = []
+    depth: dict[str, int] = {}
+
+    def push(sign: str, at: int) -> None:
+        stack.append((sign, at))
+        depth[sign] = depth.get(sign, 0) + 1
+
+    def close(signs: tuple[str, ...]) -> bool:
+        """Close the last of these signs, and what was opened inside it; false if none is open."""
+        if not any(depth.get(x) for x in signs):
+            return False
+        while True:
+            top = stack.pop()[0]
+            depth[top] -= 1
+            if top in signs:
+                return True
+
     for m in _EVENT.finditer(text):
         s, at = m.group(), m.start()
         if s in ("```", "~~~"):
-            hit = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == s), None)
-            if hit is None:
-                stack.append((s, at))
-            else:
-                del stack[hit:]
+            if not close((s,)):
+                push(s, at)
         elif stack and stack[-1][0] in ("```", "~~~"):
             continue  # inside a fence nothing else counts
         elif s == '"':
             before, after = text[at - 1 : at], text[at + 1 : at + 2]
-            hit = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == '"'), None)
-            if hit is not None and (before.strip() and (not after or not after.isalnum())):
-                del stack[hit:]
-            elif (not before or not before.isalnum()) and after.strip():
-                if hit is not None:
-                    del stack[hit:]
-                stack.append((s, at))
+            if before.strip() and not after.isalnum() and depth.get('"'):
+                close(('"',))
+            elif not before.isalnum() and after.strip():
+                close(('"',))
+                push('"', at)
         elif s[0] == "<" and len(s) > 1:
             name = s.strip("</>!- ").split()[0].lower() if s.strip("</>!- ") else "!--"
-            if s == "<!--" or (not s.startswith("</") and not s.endswith("/>") and name not in _VOID):
-                stack.append((f"<{name}", at))
-            elif s.startswith("</"):
-                hit = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == f"<{name}"), None)
-                if hit is not None:
-                    del stack[hit:]
+            if s.startswith("</"):
+                close((f"<{name}",))
+            elif s == "<!--" or (not s.endswith("/>") and name not in _VOID):
+                push(f"<{name}", at)
         elif s == "-->":
-            hit = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "<!--"), None)
-            if hit is not None:
-                del stack[hit:]
-        elif s in _CLOSERS and not (s == "“" and not any(o == "„" for o, _ in stack)):
-            hit = next((i for i in range(len(stack) - 1, -1, -1) if s in PAIRS.get(stack[i][0], "")), None)
-            if hit is not None:
-                del stack[hit:]
-        elif s in PAIRS:
+            close(("<!--",))
+        elif s in _OPENERS and not (s == "“" and depth.get("„")):
             if s in "“«„" and stack and stack[-1][0] == s and (at == 0 or text[at - 1] == "\n"):
-                stack.pop()
-            stack.append((s, at))
+                close((s,))
+            push(s, at)
+        elif s in _OPENERS_OF:
+            close(_OPENERS_OF[s])
     return stack
 
 

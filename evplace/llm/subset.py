@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.text import category_key
 from ..session import materialise
 
 
@@ -86,7 +87,7 @@ def varied_subset(
     """
     bits = max(2, max(len(levels) + 2 for levels in features.values()).bit_length())
     names = list(features)
-    clean = {f: F.lower(F.regexp_replace(F.coalesce(F.col(f).cast("string"), F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")) for f in names}
+    clean = {f: F.coalesce(category_key(F.col(f).cast("string")), F.lit("")) for f in names}
     code = lambda f: F.when(clean[f] == "", 0).otherwise(F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in features[f]]), clean[f]).cast("int"), F.lit(0)), F.lit(len(features[f]) + 1)))
     bad = F.col(error).isNotNull().cast("int") if error else F.lit(0)
     each = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *[clean[f].alias(f"v{i}") for i, f in enumerate(names)], *[code(f).alias(f"c{i}") for i, f in enumerate(names)], bad.alias("bad"), (F.col(spread).cast("string") if spread else F.lit(None).cast("string")).alias("s"))

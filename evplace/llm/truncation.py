@@ -65,11 +65,12 @@ def judge(text: str | None) -> tuple[str, int]:
     body = text.rstrip()
     line = body.rsplit("\n", 1)[-1].strip()
     label = re.sub(r"^\w{2,12}: ", "", line)
-    if _CLOSING.match(line) or _CLOSING.match(last_clause(label)) and len(label) <= 60:
+    if _CLOSING.match(line) or (len(label) <= 60 and _CLOSING.match(last_clause(label))):
         return "", length
-    marked = _MARKER.search(body)
+    tail = body[-200:]  # a sign for lost text is short; patterns stay off the rest, so no text takes more than linear time
+    marked = _MARKER.search(tail)
     if marked:
-        left = body[: marked.start()].rstrip()
+        left = body[: len(body) - len(tail) + marked.start()].rstrip()
         return ("", length) if terminated(left) and not left.endswith("..") else ("marker", length)
     if broken_end(body):
         return "broken", length
@@ -79,7 +80,7 @@ def judge(text: str | None) -> tuple[str, int]:
         if any((s in ("```", "~~~")) or (at >= start and s in "(“«„[") for s, at in stack):
             return "open", length
         return "", length
-    if "\n" in body or len(line) <= 60:
+    if len(line) <= 200 and ("\n" in body or len(line) <= 60):
         if any(p.match(line) for p in _SIGN_OFF) and not _HEAD_LOWER.match(line):
             return "", length
         if _THANKS.match(line):

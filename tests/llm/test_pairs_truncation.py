@@ -123,3 +123,14 @@ def test_find_truncated_and_baseline(spark):
     rates = {r["source"]: r for r in source_rates(find_truncated(df)).collect()}
     assert rates["a"]["n_cut"] == 1 and rates["lists"]["usual_limit"] == 50 and rates[None]["n_docs"] == 2
     assert find_truncated(df.limit(0)).count() == 0
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a" + " " * 300_000 + "b", "." * 300_000 + "a", "(" * 100_000 + "]" * 100_000 + ".", '"' * 200_000 + "a.", "User: x\n" + "w " * 200_000, "<p" * 100_000, "“" * 100_000 + "x.", "# " * 100_000):
+        judge(text)
+        defect(Q, text, text, text, text, "x")
+    defect("a " * 300, "a " * 100_000, R, None, None, "x")
+    assert time.perf_counter() - began < 30
