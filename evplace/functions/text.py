@@ -12,9 +12,13 @@ ASCII_PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 UNICODE_PUNCTUATION = r"[^\p{L}\p{N}_\s]"
 
 
+#: White space of any kind, as Python's strip takes it.
+WHITE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def strip(c: Column) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without outer white space of any kind; linear in the text, whatever runs of blanks it holds."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def _tokens(c: Column, punctuation: str) -> Column:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # Month names and their abbreviations in en, de, fr, es (lower case).
 MONTHS = [
     ["january", "jan", "januar", "jänner", "janvier", "janv", "enero", "ene"],
@@ -82,7 +84,7 @@ CASCADE: list[tuple[str, str, str]] = [
 
 def canonical_text(value: Column) -> Column:
     """The canonical text of a value, null where no pattern of the cascade fits."""
-    text = F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    text = strip(value)
     out: Column | None = None
     for _, pattern, form in CASCADE:
         hit = text.rlike(pattern)
@@ -123,7 +125,7 @@ def normalise_timestamps(
     """
     lookup = (
         sources.where(F.col("source_name").isNotNull())
-        .groupBy(F.lower(F.trim("source_name")).alias("__key"))
+        .groupBy(F.lower(strip(F.col("source_name"))).alias("__key"))
         .agg(F.min("tz_name").alias("__tz"), F.min("date_order").alias("__order"))
     )
     minute, day = 60_000_000, 86_400_000_000
@@ -133,7 +135,7 @@ def normalise_timestamps(
     number = lambda c: c.try_cast("int")
     blank = F.col(value).isNull() | ~F.col(value).rlike(r"[^\s\p{Z}]")
 
-    out = df.withColumn("__key", F.lower(F.trim(F.col(source)))).join(lookup, "__key", "left")
+    out = df.withColumn("__key", F.lower(strip(F.col(source)))).join(lookup, "__key", "left")
     out = _step(out, {"__p": F.split(canonical_text(F.col(value)), r"\|")})
     numeric, first, second = part(0) == "N", number(part(2)), number(part(3))
     mdy = F.col("__order") == "mdy"

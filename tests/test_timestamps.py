@@ -83,7 +83,7 @@ def test_offsets_survive_both_sides_of_a_change(spark):
 
 
 def test_empty_table_and_long_text(spark):
-    assert run(spark, [("x" * 100_000, "Paris Post"), ("x", None)]) == [(None, "unreadable")] * 2
+    assert run(spark, [("x" * 100_000, "Paris Post"), ("x", None), ("a" + " " * 300_000 + "b", "Paris Post")]) == [(None, "unreadable")] * 3
     empty = spark.createDataFrame([], "row_id long, published_at string, source string, tz_name string")
     sources = spark.createDataFrame(SOURCES, "source_name string, tz_name string, date_order string")
     assert normalise_timestamps(empty, sources).columns == ["row_id", "published_at", "source", "tz_name", "instant_status", "instant_us"]
