@@ -194,3 +194,18 @@ def test_entry_and_oracles():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert {"p5_found", "p6_found", "bm25_recall_at_10"} <= set(e.queries())
+
+
+@pytest.mark.parametrize("partitions", ["1", "13"])
+def test_results_do_not_depend_on_partitions(spark, partitions):
+    import __spark_entry__ as e
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    names = ["bm25_topk", "prepare_spec", "coverage_sample", "tiered_fill", "p5_found", "p6_found"]
+    want = {n: sorted(map(str, e.queries()[n](spark, SMALL).collect())) for n in names}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for n in names:
+            assert sorted(map(str, e.queries()[n](spark, SMALL).collect())) == want[n], n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
