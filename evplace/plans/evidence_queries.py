@@ -85,8 +85,8 @@ def topical_relevance(spark, d):
       CASE WHEN domains IS NULL THEN false ELSE NOT coalesce(list_contains(domains, c), false) END AS off_topic,
       CASE WHEN c IS NULL THEN false ELSE coalesce(list_contains(domains, c), false) END AS wants_inside, CASE WHEN c IS NULL THEN true ELSE NOT coalesce(list_contains(domains, c), false) END AS wants_outside FROM x""")
 def domain_predicates(spark, d):
-    """The domain rules side by side; every seventh id length stands for an unknown persona."""
-    m = v.manifest(spark, d).withColumn("persona", F.when(F.length("custom_id") % 7 == 0, "persona_x").otherwise(F.col("target_persona_id"))).select("custom_id", "evidence_id", "persona")
+    """The domain rules side by side, for every session and its own persona."""
+    m = v.manifest(spark, d, "evidence_id", "target_persona_id").select("custom_id", "evidence_id", F.col("target_persona_id").alias("persona"))
     j = m.join(v.evidence(spark, d, "category").select("evidence_id", "category"), "evidence_id")
     c, p = F.col("category"), F.col("persona")
     key = F.array_compact(F.array(text.category_key(c)))
@@ -167,11 +167,11 @@ _STRICT = f"""{v.RUNS}, {v.EVIDENCE}, {v.QUESTIONS},
 
 
 def _strict_hits(spark, d):
-    """Hit per gold document of a run; every third run saw its documents cut to 60 characters of the fact."""
+    """Hit per gold document of a run, matched in the whole title and fact of the documents it retrieved."""
     e = v.evidence(spark, d, "source_question_id", "url", "title", "fact", "source")
     run = v.runs(spark, d, "question_idx", "variant", "retrieved_documents")
     got = run.select("run_id", F.explode(F.array_distinct(F.transform("retrieved_documents", lambda x: x.url))).alias("url"))
-    seen = F.concat("title", F.lit("\n"), F.when(F.col("run_id") % 3 == 0, F.substring("fact", 1, 60)).otherwise(F.col("fact")))
+    seen = F.concat("title", F.lit("\n"), "fact")
     pool = got.join(e.select("url", "title", "fact"), "url").select("run_id", "url", F.array(seen).alias("texts"))
     q = v.questions(spark, d, "question_id").select("question_idx", F.col("question_id").alias("source_question_id"))
     gold = run.where("variant <> 'memory_only'").select("run_id", "question_idx").join(q, "question_idx").join(e.select("source_question_id", "url", "title", "fact", "source"), "source_question_id")
@@ -200,9 +200,9 @@ _PAIRS = f"""{v.TURNS}, n AS (SELECT *, lead(role) OVER w AS nr, lead(content) O
   u AS (SELECT k.key, count(*) AS c, min(chunk_index) AS ci FROM k JOIN g ON g.key = k.key AND k.l = g.best GROUP BY 1)
   SELECT g.key, CASE WHEN n_eq = 1 THEN ei WHEN n_eq > 1 THEN NULL WHEN u.c = 1 THEN u.ci END AS chunk_index FROM g LEFT JOIN u USING (key)""")
 def pair_match(spark, d):
-    """Retrieved texts back to their pair; every second one was cut in half."""
+    """Every pair's whole text back to its pair; texts that repeat in a session stand for no single pair."""
     p = pair_chunks(v.turns(spark, d))
-    got = p.select(F.concat("session_id", F.lit("#"), "chunk_index").alias("key"), "session_id", F.when(F.col("chunk_index") % 2 == 0, F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))).alias("text"))
+    got = p.select(F.concat("session_id", F.lit("#"), "chunk_index").alias("key"), "session_id", "text")
     return metrics.match_pairs(got, p)
 
 
