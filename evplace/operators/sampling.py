@@ -211,6 +211,77 @@ def diversity_sample(df: DataFrame, group: str, key: str, levels: Sequence[str],
     return small.groupBy(group).applyInPandas(sample, types)
 
 
+def spread_over_levels(rows: list, n: int, weights: Sequence[dict[str, float]], used: set) -> list:
+    """Up to n rows (key, evidence, label per level), in order, spread by the weights of each level and topped up in order.
+
+    A label without rows left gives its share to the rows of the level above. No evidence in ``used`` is taken; what is taken is added.
+    """
+    chosen: list = []
+    keys: set = set()
+    free = lambda r: r[0] not in keys and (r[1] is None or r[1] not in used)
+
+    def pick(pool: list, want: int) -> None:
+        for r in pool:
+            if want <= 0:
+                return
+            if free(r):
+                want -= 1
+                chosen.append(r)
+                keys.add(r[0])
+                if r[1] is not None:
+                    used.add(r[1])
+
+    def take(pool: list, want: int, depth: int) -> None:
+        if depth == len(weights):
+            pick(pool, want)
+            return
+        for label, share in zip(weights[depth], _allocate(want, list(weights[depth].values()))):
+            left = [r for r in pool if r[2 + depth] == label and free(r)] if share else []
+            if not left and depth and share:
+                left = [r for r in pool if free(r)]
+            if left:
+                take(left, min(share, len(left)), depth + 1)
+
+    if sum(map(free, rows)) > n:
+        take(rows, n, 0)
+    pick(rows, n - len(chosen))
+    return chosen
+
+
+def corpus_fill(df: DataFrame, group: str, persona: str, side: str, key: str, evidence: str, tier: Column, needed: dict[bool, int], levels: Sequence[str], weights: dict[str, Sequence[dict[str, float]]], even: Sequence[dict[str, float]], seed: int = 42) -> DataFrame:
+    """Per group and side its number of records (false before true): tier 1 by least hash, then tier 2 spread over the levels.
+
+    No piece of evidence is taken twice in a group. A group takes at most ``total`` records, so the least ``total`` hashes
+    with different evidence per bin hold every possible choice; a task gets no more, whatever the size of the group.
+    """
+    total = sum(needed.values())
+    names = [f"__l{i}" for i in range(len(levels))]
+    rows = df.select("*", tier.alias("tier"), hash_rank(seed, F.col(key)).alias("__h"))
+    rows = rows.select("*", *[F.when(F.col("tier") > 1, F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))).otherwise("").alias(n) for c, n in zip(levels, names)])
+    strata = [group, side, "tier", *names]
+    once = rows.withColumn("__e", F.row_number().over(W.Window.partitionBy(*strata, F.coalesce(F.col(evidence), F.concat(F.lit("\0"), F.col(key)))).orderBy("__h", key))).where("__e = 1")
+    small = once.withColumn("__r", F.row_number().over(W.Window.partitionBy(*strata).orderBy("__h", key))).where(F.col("__r") <= total)
+    small = small.select(group, persona, side, key, evidence, "tier", "__h", *names)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__h", key], kind="stable")
+        by_level = weights.get(pdf[persona].iloc[0], even)
+        used: set = set()
+        out = []
+        for flag in sorted(needed):
+            left = needed[flag]
+            for t in (1, 2):
+                part = pdf[(pdf[side] == flag) & (pdf["tier"] == t)]
+                ordered = [(r[0], None if pd.isna(r[1]) else r[1], *r[2:]) for r in part[[key, evidence, *names]].itertuples(index=False, name=None)]
+                got = spread_over_levels(ordered, left, by_level if t > 1 else (), used)
+                left -= len(got)
+                out += [(pdf[group].iloc[0], r[0], t) for r in got]
+        return pd.DataFrame(out, columns=[group, key, "tier"])
+
+    types = f"{group} {df.schema[group].dataType.simpleString()}, {key} {df.schema[key].dataType.simpleString()}, tier int"
+    return small.groupBy(group).applyInPandas(fill, types)
+
+
 def session_times(df: DataFrame, key: str, published: Column, start: str, end: str, hours: tuple[int, int] = (8, 22), mean_days: float = 14.0, seed: int = 42) -> DataFrame:
     """A time in the window for each record, not before its publication, within the hours of the day.
 

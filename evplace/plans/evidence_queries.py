@@ -330,11 +330,17 @@ def supplement_candidates(spark, d):
 
 @query()
 def persona_corpus(spark, d):
-    """The memory corpus of each pool: three quarters in domain, one quarter off topic, tiers in order, dated and sorted in time."""
-    m = v.manifest(spark, d).where("session_parse_error is null and is_off_topic is not null")
-    need = F.when(F.col("is_off_topic"), 25).otherwise(75)
+    """The memory corpus of each pool: 375 sessions in domain and 125 off topic, tiers in order, dated and sorted in time.
+
+    A pool that holds fewer usable sessions gives all of them, none twice.
+    """
+    m = v.manifest(spark, d).where("session_parse_error is null and is_off_topic is not null").withColumn("turns", text.turn_range_label(F.col("turn_range")))
+    levels = ["scenario_category", "turns", "topic_drift"]
+    weights = {p: [w["categories"], dict(zip(sampling.TURN_RANGES, w["turns"])), sampling.drift_weights(w)] for p, w in sampling.PROFILES.items()}
+    even = [dict.fromkeys(labels, 1.0) for labels in weights["persona_1"]]
     tier = F.when(F.col("pool_tier") == "primary", 1).otherwise(2)
-    kept = sampling.tiered_fill(m, ["pool_id", "is_off_topic"], "custom_id", "evidence_id", tier, need)
+    chosen = sampling.corpus_fill(m, "pool_id", "target_persona_id", "is_off_topic", "custom_id", "evidence_id", tier, {False: 375, True: 125}, levels, weights, even)
+    kept = chosen.join(m, ["pool_id", "custom_id"])
     dated = sampling.session_times(kept, "custom_id", F.to_timestamp(F.substring("session_date", 1, 10), "yyyy/MM/dd"), "2023-07-01", "2024-02-29")
     return dated.select("pool_id", "custom_id", "is_off_topic", "tier", "session_time").sortWithinPartitions("pool_id", "session_time", "custom_id")
 

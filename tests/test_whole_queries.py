@@ -5,7 +5,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from evplace.operators import evidence as ev
-from evplace.operators import metrics
+from evplace.operators import metrics, sampling
 from evplace.operators.chunking import chunk_pair
 from evplace.plans import evidence_queries as eq
 from evplace.plans import views as v
@@ -61,3 +61,29 @@ def test_domain_rules_of_an_unknown_persona(spark, persona, want):
     c, p = F.lit("technology"), F.lit(persona)
     row = spark.range(1).select(ev.evidence_in_domain(c, p), ev.session_in_domain(c, p), ev.is_off_topic(F.array(c), p)).first()
     assert tuple(row) == want
+
+
+def test_persona_corpus_is_filled_to_its_size(spark, tmp_path):
+    n = F.col("id")
+    m = spark.range(1200).select(
+        F.concat(F.lit("c"), n).alias("custom_id"), F.lit("pool").alias("pool_id"), F.when(n % 4 == 0, "primary").otherwise("supplement").alias("pool_tier"), F.lit("persona_1").alias("target_persona_id"),
+        F.concat(F.lit("e"), n % 1000).alias("evidence_id"), F.when(n % 40 == 1, "professional").otherwise("casual").alias("scenario_category"), F.array(F.lit(4), F.lit(4)).alias("turn_range"),
+        F.lit("tight").alias("topic_drift"), (n % 3 == 0).alias("is_off_topic"), F.lit(None).cast("string").alias("session_parse_error"), F.lit("2023/08/01 (Tue) 10:00").alias("session_date"), F.current_timestamp().alias("arrived_at"),
+    )
+    m.write.parquet(f"{tmp_path}/session_manifest.parquet")
+    got = eq.persona_corpus(spark, str(tmp_path)).join(m.select("custom_id", "evidence_id", "pool_tier", "scenario_category"), "custom_id").collect()
+    assert sum(not r["is_off_topic"] for r in got) == 375 and sum(r["is_off_topic"] for r in got) == 125
+    assert len({r["evidence_id"] for r in got}) == 500
+    # Tier 1 is used up first; then every rare professional session comes, as its share asks for more than there are.
+    inside = [r for r in got if not r["is_off_topic"]]
+    assert sum(r["tier"] == 1 for r in inside) == m.where("pool_tier = 'primary' and not is_off_topic").select("evidence_id").distinct().count()
+    free = m.where("pool_tier = 'supplement' and not is_off_topic and scenario_category = 'professional'").join(m.where("pool_tier = 'primary' and not is_off_topic").select("evidence_id"), "evidence_id", "left_anti")
+    assert sum(r["tier"] == 2 and r["scenario_category"] == "professional" for r in inside) == free.select("evidence_id").distinct().count() > 0
+
+
+def test_spread_over_levels_follows_weights_and_evidence():
+    rows = [(i, f"e{i % 50}", "a" if i < 40 else "b") for i in range(60)]
+    used = {"e0"}
+    got = sampling.spread_over_levels(rows, 10, [{"a": 0.5, "b": 0.5}], used)
+    assert len(got) == 10 and sum(r[2] == "b" for r in got) == 5 and "e0" not in {r[1] for r in got} and len({r[1] for r in got}) == 10
+    assert len(sampling.spread_over_levels(rows, 100, [{"a": 1.0}], set())) == 50
