@@ -9,12 +9,18 @@ A pushdown parser and the end of the text decide, per document:
 * ``bare``    the last line neither ends a sentence nor is a sign-off, tag line, link
   or informal closing.
 
-The baseline of a source is the share of its texts that end without a terminator and
-show nothing else; where that share is ``baseline`` or more, a missing terminator is
-the custom of the source and says nothing, unless the length is one at which
-``limit_share`` of the source's bare texts pile up (a field limit). The baseline is
-computed over all documents (a source needs ``least_texts`` bare texts to have a custom);
-only sources and lengths are joined back.
+A bare end is a cut unless it could be whole, the source has the custom of omitting stops and no limit shows:
+
+* an end could be whole if the text itself does without stops there: the last line holds no sentence that ended before,
+  the other lines do not end in stops as a rule, and the end is no comma, dash or word that must go on. An end inside a
+  sentence, a clause or a word of a text with stops is a cut whatever its source does;
+* a source has the custom if the share of its texts whose ends could be whole is ``baseline`` or more, at the lower end
+  of the 95 % interval, so few texts show no custom and no count is fixed;
+* a limit shows where at least ``limit_share`` of the source's ends that could be whole pile up within ``spread`` below a
+  length (limits in bytes or words spread), four times as dense as the lengths around and beyond chance.
+
+The custom and the limits are computed over all documents; only sources and lengths are joined back. Not told: a stopless
+line cut inside a word, in a source of such lines, away from any limit.
 
 Defined results: null and blank texts are whole; a null source is a source of its own;
 repeated rows are each judged; texts are read whole, whatever their length.
@@ -28,8 +34,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from ..operators.metrics import wilson
 from ..session import materialise
+from .pairs import _DANGLING
 from .structure import broken_end, last_sentence_start, open_signs, terminated
 
 _MARKER = re.compile(r"\s*(?:[\[(<{]\s*(?:\.{2,}|…|\+?\s?\d[\d,. ]*\s*(?:more )?(?:chars?|characters|words|bytes|lines|more)[^\])>}]{0,20}|(?:text |message |article )?(?:truncated|cut|snip(?:ped)?|more|continued|read more)[^\])>}]{0,20})\s*[\])>}]|…|\.{3,})\s*$", re.I)
@@ -55,6 +64,7 @@ _SIGN_OFF = [
     re.compile(r"^(?:.{0,40}[ :])?(?:https?://|www\.)\S+$"),
     re.compile(r"^\S+@\S+\.\w+$"),
 ]
+_ENDED = re.compile(r"(?<=[^\W\d_]{3})[.!?][\"'”’»)\]]{0,3}\s+[^\sa-z]|[。！？؟।]\s*\S")  # a sentence that ended, and the next
 _HEAD_LOWER = re.compile(r"^By (?:the|a|an|this|that|its|their|then|now)\b", re.I)
 
 def judge(text: str | None) -> tuple[str, int]:
@@ -94,31 +104,50 @@ def last_clause(line: str) -> str:
     return cut[-1]
 
 
-def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05, least_texts: int = 20) -> DataFrame:
+def could_be_whole(text: str) -> bool:
+    """A bare end that may be the end of a line or phrase, as the text does without stops."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    last = lines[-1]
+    if not (last[-1].isalnum() or last[-1] in "\"'”’»)]}*_%€$£°") or _ENDED.search(last):
+        return False
+    word = last.rsplit(None, 1)[-1].lower()
+    if word in _DANGLING:
+        return False
+    stopped = sum(terminated(x) for x in lines[:-1])
+    return 2 * stopped <= len(lines) - 1
+
+
+def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05, spread: float = 0.03) -> DataFrame:
     """One row per document: doc_id, source, n_chars, kind and is_cut."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, lengths = [], []
+            kinds, lengths, phrases = [], [], []
             for value in batch.column(2):
-                kind, length = judge(value.as_py())
+                t = value.as_py()
+                kind, length = judge(t)
                 kinds.append(kind)
                 lengths.append(length)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(lengths, pa.int64())], ["doc_id", "source", "kind", "n_chars"])
+                phrases.append(kind == "bare" and could_be_whole(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(lengths, pa.int64()), pa.array(phrases, pa.bool_())], ["doc_id", "source", "kind", "n_chars", "phrase"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    judged = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")).mapInArrow(look, f"doc_id {id_type}, source string, kind string, n_chars bigint")
+    judged = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")).mapInArrow(look, f"doc_id {id_type}, source string, kind string, n_chars bigint, phrase boolean")
     judged = materialise(judged, "judged")
-    bare = F.col("kind") == "bare"
-    custom = judged.groupBy("source").agg(F.count("*").alias("n"), F.count_if(bare).alias("n_bare")).where((F.col("n_bare") >= F.col("n") * baseline) & (F.col("n_bare") >= least_texts))
-    # Lengths at which the bare texts of such a source pile up.
-    limits = judged.where(bare).groupBy("source", "n_chars").agg(F.count("*").alias("at_length")).join(custom.select(F.col("source").alias("s"), "n_bare"), F.col("source").eqNullSafe(F.col("s")))
-    limits = limits.where((F.col("at_length") >= 3) & (F.col("at_length") >= F.col("n_bare") * limit_share)).select("source", "n_chars", F.lit(True).alias("at_limit"))
-    custom = custom.select(F.col("source").alias("custom_source"), F.lit(True).alias("is_custom"))
+    custom = judged.where("n_chars > 0").groupBy("source").agg(F.count("*").alias("n"), F.count_if("phrase").alias("n_phrase")).where(wilson(F.col("n"), F.col("n_phrase"))[0] >= baseline)
+    custom = custom.select(F.col("source").alias("custom_source"), "n_phrase", F.lit(True).alias("is_custom"))
+    # Lengths below which the ends of such a source pile up, against the lengths around (four spreads on either side).
+    at = judged.where("phrase").groupBy("source", "n_chars").agg(F.count("*").alias("k")).join(custom, F.col("source").eqNullSafe(F.col("custom_source")))
+    by_length = W.Window.partitionBy("source").orderBy(F.round(F.ln("n_chars") * 1_000_000).cast("long"))
+    wide = round(spread * 1_000_000)
+    at = at.withColumns({"k_near": F.sum("k").over(by_length.rangeBetween(-wide, 0)), "k_around": F.sum("k").over(by_length.rangeBetween(-5 * wide, 4 * wide))})
+    chance = (F.col("k_around") - F.col("k_near")) / 8
+    pile = (F.col("k_near") >= F.col("n_phrase") * limit_share) & (F.col("k_near") >= 4 * chance) & (F.col("k_near") - chance >= 3 * F.sqrt(chance + 1))
+    at = at.withColumn("at_limit", F.max(pile).over(by_length.rangeBetween(0, wide)))
+    limits = at.where("at_limit").select(F.col("source").alias("limit_source"), F.col("n_chars").alias("limit_chars"), "at_limit")
     out = judged.join(custom, F.col("source").eqNullSafe(F.col("custom_source")), "left")
-    limits = limits.withColumnsRenamed({"source": "limit_source", "n_chars": "limit_chars"})
     out = out.join(limits, F.col("source").eqNullSafe(F.col("limit_source")) & (F.col("n_chars") == F.col("limit_chars")), "left")
-    cut = (F.col("kind") != "") & ~(bare & F.coalesce("is_custom", F.lit(False)) & ~F.coalesce("at_limit", F.lit(False)))
+    cut = (F.col("kind") != "") & ~(F.col("phrase") & F.coalesce("is_custom", F.lit(False)) & ~F.coalesce("at_limit", F.lit(False)))
     return out.select("doc_id", "source", "n_chars", "kind", cut.alias("is_cut"))
 
 
