@@ -82,6 +82,22 @@ def strict_memory_hits(retrieved: DataFrame, pairs: DataFrame, audit: DataFrame)
     return at.select("key", "session_id", F.coalesce(F.array_contains("key_information", F.col("chunk_index").cast("int")), F.lit(False)).alias("hit"))
 
 
+def strict_recall(document_hits: DataFrame, memory_gold: DataFrame, memory_hits: DataFrame | None = None) -> DataFrame:
+    """Share of all gold of a run, documents and sessions, that is hit.
+
+    document_hits: run_id, hit, one row per gold document. memory_gold: run_id, session_id (repeats count). memory_hits:
+    run_id, session_id, hit, one row per retrieved text; without it, or for sessions not in it, there is no hit.
+    """
+    gold = memory_gold.select("run_id", "session_id")
+    if memory_hits is None:
+        mem = gold.select("run_id", F.lit(False).alias("hit"))
+    else:
+        best = memory_hits.groupBy("run_id", "session_id").agg(F.max("hit").alias("hit"))
+        mem = gold.join(best, ["run_id", "session_id"], "left").select("run_id", "hit")
+    both = document_hits.select("run_id", "hit").unionByName(mem).select("run_id", F.coalesce("hit", F.lit(False)).cast("int").alias("hit"))
+    return both.groupBy("run_id").agg(F.count("*").alias("n_gold"), F.round(F.avg("hit"), 6).alias("strict_recall"))
+
+
 def gold_document_hit(document_hit: Column, memory_hit: Column) -> Column:
     """Memory gold that may also be met by the text of its article."""
     return F.coalesce(document_hit, F.lit(False)) | F.coalesce(memory_hit, F.lit(False))

@@ -186,7 +186,9 @@ def strict_doc_hit(spark, d):
 
 @query(f"WITH {_STRICT} SELECT run_id, count(*) AS n_gold, round(avg(hit::INT), 6) AS strict_recall FROM hit GROUP BY 1")
 def strict_recall(spark, d):
-    return _strict_hits(spark, d).groupBy("run_id").agg(F.count("*").alias("n_gold"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("strict_recall"))
+    """Over document and memory gold. The tables hold neither audits nor retrieved texts, so memory gold is never hit (a session without audit is no hit)."""
+    memory = _gold(spark, d).where("variant <> 'document_only'").select("run_id", "session_id")
+    return metrics.strict_recall(_strict_hits(spark, d), memory)
 
 
 _PAIRS = f"""{v.TURNS}, n AS (SELECT *, lead(role) OVER w AS nr, lead(content) OVER w AS nc FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn)),

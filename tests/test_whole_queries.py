@@ -87,3 +87,16 @@ def test_spread_over_levels_follows_weights_and_evidence():
     got = sampling.spread_over_levels(rows, 10, [{"a": 0.5, "b": 0.5}], used)
     assert len(got) == 10 and sum(r[2] == "b" for r in got) == 5 and "e0" not in {r[1] for r in got} and len({r[1] for r in got}) == 10
     assert len(sampling.spread_over_levels(rows, 100, [{"a": 1.0}], set())) == 50
+
+
+def test_strict_recall_counts_document_and_memory_gold(spark):
+    docs = spark.createDataFrame([(1, True), (1, False), (2, True)], "run_id long, hit boolean")
+    gold = spark.createDataFrame([(1, "s"), (1, "t"), (3, "s"), (3, "u")], "run_id long, session_id string")
+    hits = spark.createDataFrame([(1, "s", False), (1, "s", True), (3, "x", True)], "run_id long, session_id string, hit boolean")
+    got = lambda *h: {r["run_id"]: (r["n_gold"], r["strict_recall"]) for r in metrics.strict_recall(docs, gold, *h).collect()}
+    assert got(hits) == {1: (4, 0.5), 2: (1, 1.0), 3: (2, 0.0)} and got() == {1: (4, 0.25), 2: (1, 1.0), 3: (2, 0.0)}
+
+
+def test_strict_recall_has_every_run_with_gold(spark):
+    want = {r["run_id"]: r["n_gold"] for r in eq.recall_at_k_mixed(spark, SMALL).where("n_gold > 0").collect()}
+    assert {r["run_id"]: r["n_gold"] for r in eq.strict_recall(spark, SMALL).collect()} == want
