@@ -150,7 +150,7 @@ def cut_reasoning(reasoning: str | None) -> bool:
         return True
     if text.rstrip("\"'”’»)]*_`")[-1:] not in tuple(".!?。！？"):
         return True
-    return any(s in ("(", "[", "“", "```") and at > len(text) - 200 for s, at in open_signs(text))
+    return bool(open_signs(text))
 
 
 def cut_answer(answer: str, reasoning: str | None, gold: str | None, limit: int) -> bool:

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from evplace.llm.pairs import cut_reasoning
 from evplace.llm.truncation import could_be_whole, find_truncated, source_rates
 
 WORDS = "the bank sold its bond before town had heard of any loss from Norwick".split()
@@ -47,3 +50,9 @@ def test_could_be_whole():
     assert could_be_whole("Bank sells its bond") and could_be_whole("One line\nAnother line\nThird line 35")
     assert not could_be_whole("All is said. But the ba") and not could_be_whole("Bank sells the") and not could_be_whole("Bank sells,")
     assert not could_be_whole("A title\nAll is said.\nThat too.\nBut the ba") and could_be_whole("By Dr. Lee in Rome")
+
+
+@pytest.mark.parametrize("sign,closer", [("```\n", "\n```"), ("(", ")"), ("“", "”"), ('"', '"'), ("{", "}"), ("«", "»"), ("„", "“"), ("<quote>", "</quote>")])
+def test_a_sign_opened_long_before_the_end_of_a_reasoning(sign, closer):
+    body = "The harbour was sold to the city. " * 20
+    assert cut_reasoning(f"First {sign}{body.strip()}") and not cut_reasoning(f"First {sign}{body.strip()}{closer} Then all is said.")
