@@ -12,6 +12,7 @@ from ..operators.chunking import transcript
 from ..operators.chunking import chunk_pair as pair_chunks
 from ..sources.tables import table
 from . import views as v
+from .report_queries import pool_inventory_counts
 from .retrieval_queries import _GOLD, _gold
 
 QUERIES = {}
@@ -322,12 +323,16 @@ def request_fanout(spark, d):
       WHERE list_contains(d.domains, nullif(lower({v.strip_sql('e.category')}), '')) AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.target_persona_id = d.persona AND m.evidence_id = e.evidence_id))
     SELECT persona, evidence_id FROM x QUALIFY row_number() OVER (PARTITION BY persona ORDER BY h, evidence_id) <= 25""")
 def supplement_candidates(spark, d):
-    """In-domain evidence that a persona's pools do not hold yet, 25 per persona by least hash."""
+    """Evidence that a persona's pools do not hold yet, in domain and off topic, by least hash: three times what the pools of the persona lack of each."""
+    short = pool_inventory_counts(spark, d).join(table(spark, d, "pool_inventory").select("pool_id", F.col("persona_id").alias("persona")), "pool_id")
+    sides = F.explode(F.array(F.struct(F.lit("in_domain").alias("domain"), F.col("short_in").alias("n")), F.struct(F.lit("off_topic").alias("domain"), F.col("short_off").alias("n"))))
+    need = short.select("persona", sides.alias("x")).groupBy("persona", "x.domain").agg((3 * F.sum("x.n")).alias("n")).where("n > 0")
     e = v.evidence(spark, d, "category").select("evidence_id", "category", F.explode(F.array(*[F.lit(p) for p in _EVAL])).alias("persona"))
-    fit = e.where(ev.matches_wanted_domain(F.col("category"), F.col("persona"), True))
+    e = e.withColumn("domain", F.when(ev.matches_wanted_domain(F.col("category"), F.col("persona"), True), "in_domain").otherwise("off_topic"))
     have = v.manifest(spark, d, "target_persona_id", "evidence_id").select(F.col("target_persona_id").alias("persona"), "evidence_id").distinct()
-    w = W.Window.partitionBy("persona").orderBy(ids.hash_rank(42, F.col("persona"), F.col("evidence_id")), "evidence_id")
-    return fit.join(have, ["persona", "evidence_id"], "left_anti").withColumn("r", F.row_number().over(w)).where("r <= 25").select("persona", "evidence_id")
+    w = W.Window.partitionBy("persona", "domain").orderBy(ids.hash_rank(42, F.col("persona"), F.col("evidence_id")), "evidence_id")
+    ranked = e.join(have, ["persona", "evidence_id"], "left_anti").withColumn("r", F.row_number().over(w))
+    return ranked.join(F.broadcast(need), ["persona", "domain"]).where("r <= n").select("persona", "evidence_id", "domain")
 
 
 @query()

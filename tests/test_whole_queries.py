@@ -8,6 +8,7 @@ from evplace.operators import evidence as ev
 from evplace.operators import metrics, sampling
 from evplace.operators.chunking import chunk_pair
 from evplace.plans import evidence_queries as eq
+from evplace.plans import report_queries
 from evplace.plans import views as v
 
 
@@ -100,3 +101,23 @@ def test_strict_recall_counts_document_and_memory_gold(spark):
 def test_strict_recall_has_every_run_with_gold(spark):
     want = {r["run_id"]: r["n_gold"] for r in eq.recall_at_k_mixed(spark, SMALL).where("n_gold > 0").collect()}
     assert {r["run_id"]: r["n_gold"] for r in eq.strict_recall(spark, SMALL).collect()} == want
+
+
+def test_supplement_candidates_follow_the_shortfall(spark):
+    short = spark.read.parquet(f"{SMALL}/pool_inventory.parquet").select("pool_id", "persona_id").join(report_queries.pool_inventory_counts(spark, SMALL), "pool_id")
+    need = {}
+    for r in short.collect():
+        for domain, n in (("in_domain", r["short_in"]), ("off_topic", r["short_off"])):
+            need[r["persona_id"], domain] = need.get((r["persona_id"], domain), 0) + 3 * n
+    have = {(r["target_persona_id"], r["evidence_id"]) for r in v.manifest(spark, SMALL).collect()}
+    free = {}
+    for r in v.evidence(spark, SMALL, "category").collect():
+        for p in ("persona_1", "persona_2", "persona_3"):
+            inside = (r["category"] or "").strip().lower() in ev.PERSONA_DOMAINS[p]
+            if (p, r["evidence_id"]) not in have:
+                free.setdefault((p, "in_domain" if inside else "off_topic"), set()).add(r["evidence_id"])
+    got = {}
+    for r in eq.supplement_candidates(spark, SMALL).collect():
+        got.setdefault((r["persona"], r["domain"]), set()).add(r["evidence_id"])
+    assert {k: len(x) for k, x in got.items()} == {k: min(n, len(free.get(k, ()))) for k, n in need.items() if min(n, len(free.get(k, ())))}
+    assert all(x <= free[k] for k, x in got.items()) and {d for _, d in got} == {"in_domain", "off_topic"}
