@@ -115,6 +115,11 @@ def language_scores(text: str | None) -> dict[str, int]:
     return out if first else dict.fromkeys(_OWN, 0)
 
 
+def plain_words(text: str) -> int:
+    """Words of a text, capitalised ones (names) set aside."""
+    return sum(w[0].islower() for w in _TOKEN.findall(text))
+
+
 def language_of(text: str | None, least: int = 1) -> str | None:
     """The language with most words, if it has ``least`` and twice as many as any other."""
     scores = language_scores(text)
@@ -204,6 +209,8 @@ def defect(query: str | None, answer: str | None, reasoning: str | None, error:
     if q:
         if script_of(q) not in (script_of(a), "") and any(ch.isalpha() for ch in a):
             return "other_language"
+        if any(ch.isalpha() for ch in r) and script_of(r) != script_of(q) and not PLACEHOLDER.match(r):
+            return "other_language"
         asked = language_of(q, 2)
         if asked:
             said = language_scores(a)
@@ -214,6 +221,9 @@ def defect(query: str | None, answer: str | None, reasoning: str | None, error:
             thought = language_of(r, 3)
             if thought and thought != asked:
                 return "other_language"
+            # Many plain words and none of the query's language: a language without a word list.
+            if not language_scores(r)[asked] and plain_words(r) >= 12:
+                return "other_language"
     if cut_reasoning(r) and not PLACEHOLDER.match(r):
         return "truncated"
     if cut_answer(a, r, gold, limit):

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evplace.llm.pairs import cut_reasoning
+from evplace.llm.pairs import cut_reasoning, defect
 from evplace.llm.truncation import could_be_whole, find_truncated, source_rates
 
 WORDS = "the bank sold its bond before town had heard of any loss from Norwick".split()
@@ -56,3 +56,19 @@ def test_could_be_whole():
 def test_a_sign_opened_long_before_the_end_of_a_reasoning(sign, closer):
     body = "The harbour was sold to the city. " * 20
     assert cut_reasoning(f"First {sign}{body.strip()}") and not cut_reasoning(f"First {sign}{body.strip()}{closer} Then all is said.")
+
+
+@pytest.mark.parametrize(
+    "reasoning,want",
+    [
+        ("Порт был продан городу после долгого спора. Значит, ответ: Zorba Works.", "other_language"),
+        ("تم بيع الميناء إلى المدينة بعد نزاع طويل.", "other_language"),
+        ("港口在长期争议之后被卖给了这座城市。", "other_language"),
+        ("Kwanza bandari iliuzwa kwa mji baada ya mgogoro mrefu kuhusu madeni ambayo hakuna mtu aliyesikia hapo awali.", "other_language"),
+        ("The harbour was sold to the city. The answer is Zorba Works.", None),
+        ("Zorba Works.", None),
+    ],
+)
+def test_language_of_the_reasoning(reasoning, want):
+    q = "Which organisation bought the harbour, according to the report of the Harbour Post?"
+    assert defect(q, "Zorba Works", reasoning, None, None, "inference_query") == want
