@@ -3,12 +3,15 @@
 Sizes are counted in the JVM; texts never leave the scan. Items are spread over
 groups of about ``group_items`` by a hash of their id (so the result depends on
 the data alone, not on how files were split), and each group is packed best-fit,
-largest first. Containers filled to ``full_share`` are final. The others become
+largest first. Containers filled to ``full_share`` are final. All others become
 items of a coarser group (``fan_in`` groups each) and are packed again, up a tree,
-until one group is left. Only ids and sizes move; what a task holds is bounded by
-``group_items`` and by ``fan_in * carry`` containers: of the underfull containers
-of a group, those more than half full that a round could not combine are final,
-and the ``carry`` emptiest of the rest go on (the others are kept as they are).
+until one group is left. Only ids and sizes move.
+
+What a task holds is bounded by splitting, never by ending the merge: a group with
+more than ``2 * group_items`` items is cut into parts by a hash that is drawn anew
+each round, and if the last group still has several parts, rounds go on until one
+combines nothing. After best fit at most one container of a part is half empty or
+more, so few containers can still be combined and the rounds end soon.
 
 A text longer than the capacity is cut into full pieces, each a container of its
 own, and a rest that is packed like any item. No other text is ever split.
@@ -23,7 +26,6 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,33 +67,35 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return placed, fills
 
 
-def merge_round(level: int, full_share: float, carry: int):
-    """The function that packs the containers of one group of round ``level``."""
+def merge_round(level: int, full_share: float):
+    """The function that packs the containers of one part of round ``level``."""
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fill", "container_id"], ascending=[False, True], kind="stable")
-        capacity, group = int(pdf["capacity"].iloc[0]), key[1]
-        placed, fills = best_fit(pdf["fill"].tolist(), capacity)
+    def merge(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("fill", "descending"), ("container_id", "ascending")])
+        capacity, no, part = (group[c][0].as_py() for c in ("capacity", "grp", "part"))
+        placed, fills = best_fit(group["fill"].to_pylist(), capacity)
         members = [0] * len(fills)
-        for no in placed:
-            members[no] += 1
-        emptiest = sorted((f, no) for no, f in enumerate(fills) if f < capacity * full_share and (members[no] > 1 or f * 2 <= capacity))
-        open_ = {no for _, no in emptiest[:carry]}
-        return pd.DataFrame(
-            {
-                "limit_name": pdf["limit_name"].to_numpy(),
-                "capacity": capacity,
-                "child": pdf["container_id"].to_numpy(),
-                "container_id": [f"{level}.{group}.{no}" for no in placed],
-                "fill": [fills[no] for no in placed],
-                "grp": group,
-                "open": [no in open_ for no in placed],
-            }
-        )
+        for x in placed:
+            members[x] += 1
+        made = [
+            pa.array([f"{level}.{no}.{part}.{x}" for x in placed], pa.string()),
+            pa.array([fills[x] for x in placed], pa.int64()),
+            group["grp"],
+            pa.array([members[x] > 1 for x in placed], pa.bool_()),
+            pa.array([fills[x] < capacity * full_share for x in placed], pa.bool_()),
+        ]
+        return pa.Table.from_arrays([group["limit_name"], group["capacity"], group["container_id"], *made], ["limit_name", "capacity", "child", "container_id", "fill", "grp", "combined", "open"])
 
     return merge
 
 
+def in_parts(df: DataFrame, most: int, salt: Column) -> DataFrame:
+    """``df`` with the part of its (limit_name, grp): groups of more than ``most`` rows are cut by the salt."""
+    parts = df.groupBy("limit_name", "grp").agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1")
+    out = df.join(parts, ["limit_name", "grp"], "left")
+    return out.withColumn("part", F.when(F.col("parts") > 1, F.pmod(salt, F.col("parts"))).otherwise(F.lit(0)).cast("long")).drop("parts")
+
+
 def pack_texts(
     docs: DataFrame,
     limits: DataFrame,
@@ -100,7 +104,6 @@ def pack_texts(
     group_items: int = 20_000,
     fan_in: int = 8,
     full_share: float = 0.98,
-    carry: int = 2_500,
 ) -> DataFrame:
     """The contents of every container, one row per text or piece of a text.
 
@@ -126,8 +129,7 @@ def pack_texts(
     whole = whole.withColumns({"container_id": F.concat_ws(".", F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece"), "fill": F.col("capacity"), "level": F.lit(-1), "grp": F.lit(0).cast("long")})
     loose = items.where("n_pieces > n_full").select("limit_name", "capacity", "doc_id", F.col("n_full").alias("piece"), "n_pieces", F.col("rest").alias("n_tokens"), F.expr(f"pmod(xxhash64(doc_id), {groups})").alias("grp"), "place")
     # An id that repeats over and over would fill its group; such a group is cut into parts of bounded size.
-    parts = loose.groupBy("limit_name", "grp").agg(F.ceil(F.count("*") / (2 * group_items)).alias("parts")).where("parts > 1")
-    loose = loose.join(parts, ["limit_name", "grp"], "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod("place", "parts")).otherwise(F.lit(0))).drop("parts", "place")
+    loose = in_parts(loose, 2 * group_items, F.col("place")).drop("place")
 
     order = ["limit_name", "capacity", "doc_id", "piece", "n_pieces", "n_tokens", "container_id", "fill", "level", "grp"]
 
@@ -145,15 +147,15 @@ def pack_texts(
 
     # The tree: underfull containers are the items of the next round.
     fresh = contents.where((F.col("level") == 0) & (F.col("fill") < F.col("capacity") * full_share)).select("limit_name", "capacity", "container_id", "fill", "grp").distinct()
-    schema = "limit_name string, capacity bigint, child string, container_id string, fill bigint, grp bigint, open boolean"
+    schema = "limit_name string, capacity bigint, child string, container_id string, fill bigint, grp bigint, combined boolean, open boolean"
     chain: DataFrame | None = None
-    level = 0
-    while groups > 1:
+    level, again = 0, groups > 1
+    while again:
         level += 1
+        crowded = groups <= fan_in and fresh.groupBy("limit_name").count().where(F.col("count") > 2 * group_items).head() is not None
         groups = math.ceil(groups / fan_in)
-
-        step = fresh.withColumn("grp", F.floor(F.col("grp") / fan_in).cast("long"))
-        moved = materialise(step.groupBy("limit_name", "grp").applyInPandas(merge_round(level, full_share, carry), schema), f"round{level}")
+        step = in_parts(fresh.withColumn("grp", F.floor(F.col("grp") / fan_in).cast("long")), 2 * group_items, F.xxhash64(F.lit(level), "container_id"))
+        moved = materialise(step.groupBy("limit_name", "grp", "part").applyInArrow(merge_round(level, full_share), schema), f"round{level}")
         link = moved.select("limit_name", "child", F.col("container_id").alias("parent"), F.col("fill").alias("parent_fill"))
         if chain is None:
             chain = link
@@ -164,6 +166,8 @@ def pack_texts(
                 f"chain{level}",
             )
         fresh = moved.where("open").select("limit_name", "capacity", "container_id", "fill", "grp").distinct()
+        # The root is one group; only if it had several parts, another round may combine what they kept.
+        again = groups > 1 or (crowded and not moved.where("combined").isEmpty())
     if chain is not None:
         contents = contents.join(chain.withColumnRenamed("child", "container_id"), ["limit_name", "container_id"], "left")
         contents = contents.withColumns({"container_id": F.coalesce("parent", "container_id"), "fill": F.coalesce("parent_fill", "fill")})

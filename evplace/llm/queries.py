@@ -54,7 +54,7 @@ def _quota(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _quota(spark, d)[1].where("kind <> 'share' and not met").select("pool_id", "stratum")
+    return _quota(spark, d)[1].where("kind <> 'share' and exhausted").select("pool_id", "stratum")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -65,18 +65,37 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _quota(spark, d)[1]
 
 
+def p4_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Per pool and domain: sessions drawn, different ones, and drawn ones that were not usable."""
+    sessions = table(spark, d, "session_manifest").where("session_parse_error is null").select("pool_id", "custom_id", F.lit(1).alias("ok")).distinct()
+    drawn = p4_sample(spark, d).join(sessions, ["pool_id", "custom_id"], "left")
+    return drawn.groupBy("pool_id", "domain").agg(F.count("*").alias("n_drawn"), F.count_distinct("custom_id").alias("n_different"), F.count_if(F.col("ok").isNull()).alias("n_not_usable"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), table(spark, d, "pack_limits"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("piece = 0 and n_pieces > 1").select("limit_name", "doc_id")
+    """Documents that the packer placed in several pieces."""
+    return _packed(spark, d).where("piece = 1").select("limit_name", "doc_id").distinct()
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: what was placed, that nothing overflows or is torn, and that few containers were used.
+
+    The lower bound is the total size over the capacity; ``near_bound`` allows 2 % and one container above it.
+    """
+    rows = _packed(spark, d)
+    each = rows.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("fill"), F.max("container_tokens").alias("said"), F.count("*").alias("n"), F.count_if(F.col("piece") == 0).alias("docs"), F.sum(F.when(F.col("piece") == 0, F.col("n_pieces")).otherwise(0)).alias("pieces"))
+    g = each.groupBy("limit_name", "capacity_tokens").agg(F.sum("docs").alias("n_docs"), F.sum("fill").alias("n_tokens"), F.sum("n").alias("n_rows"), F.sum("pieces").alias("n_pieces"), F.count_if((F.col("fill") > F.col("capacity_tokens")) | (F.col("fill") != F.col("said"))).alias("n_wrong"), F.count("*").alias("n_containers"))
+    return g.select("limit_name", "n_docs", "n_tokens", "n_rows", "n_pieces", "n_wrong", (F.col("n_containers") <= F.ceil(F.col("n_tokens") / F.col("capacity_tokens")) * 1.02 + 1).alias("near_bound"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_passages")).where("longest_run >= 12").select("doc_id", "item_id")
 
@@ -95,7 +114,7 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return source_rates(find_truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p3_subset, p4_found, p4_sample, p4_report, p7_found, p7_containers, p8_found, p8_report, p9_found, p9_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p3_subset, p4_found, p4_sample, p4_report, p4_drawn, p7_found, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_source_rates)}
 
 _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -125,10 +144,21 @@ SQL = {
         SELECT p.pool_id, s.scenario_category FROM pool_inventory p JOIN target_shares s USING (persona_id)
           LEFT JOIN k ON k.pool_id = p.pool_id AND k.cat = s.scenario_category WHERE s.min_count > coalesce(k.n, 0)
     """,
+    "p4_drawn": r"""
+        WITH u AS (SELECT pool_id, custom_id, max(is_off_topic) AS off FROM session_manifest WHERE session_parse_error IS NULL AND custom_id IS NOT NULL GROUP BY ALL),
+        x AS (SELECT p.pool_id, 'in_domain' AS domain, least(coalesce(p.target_in_domain, 0), count(u.custom_id)) AS n FROM pool_inventory p LEFT JOIN u ON u.pool_id = p.pool_id AND NOT off GROUP BY p.pool_id, p.target_in_domain
+          UNION ALL SELECT p.pool_id, 'off_topic', least(coalesce(p.target_off_topic, 0), count(u.custom_id)) FROM pool_inventory p LEFT JOIN u ON u.pool_id = p.pool_id AND off GROUP BY p.pool_id, p.target_off_topic)
+        SELECT pool_id, domain, n AS n_drawn, n AS n_different, 0::BIGINT AS n_not_usable FROM x WHERE n > 0
+    """,
     "p7_found": rf"""
         SELECT limit_name, doc_id FROM (SELECT doc_id, len(regexp_extract_all(text, '{_TOKENS}')) AS n FROM documents) d
         JOIN pack_limits ON n > capacity_tokens
     """,
+    "p7_fill": rf"""
+        WITH d AS (SELECT len(regexp_extract_all(coalesce(text, ''), '{_TOKENS}')) AS n FROM documents),
+        x AS (SELECT limit_name, n, greatest(1, (n + capacity_tokens - 1) // capacity_tokens) AS pieces FROM d, (SELECT DISTINCT limit_name, capacity_tokens FROM pack_limits WHERE capacity_tokens > 0) l)
+        SELECT limit_name, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, sum(pieces)::BIGINT AS n_rows, sum(pieces)::BIGINT AS n_pieces, 0::BIGINT AS n_wrong, true AS near_bound FROM x GROUP BY 1
+    """,
     "p8_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_passages),

@@ -1,13 +1,14 @@
 """Samples that match target counts, category shares and minimums, with a report.
 
-Usable records are pre-aggregated to one row per (pool, record), then one pass keeps,
-per stratum (pool x domain x category) and salt, the records with the least hash:
-mergeable reservoirs whose size is bounded by the pool's target; the salts grow with
-the records, so a pool holding a third of all rows is spread over many tasks. The
-final counts per stratum (a handful of numbers per pool) give feasible quotas by a
-minimum-cost flow: the domain targets hold first, then the minimums, then the shares,
-then other categories, last records without category. The merged reservoirs are
-trimmed to the quotas by hash, which is a uniform choice within each stratum.
+Usable records are pre-aggregated to one row per (pool, record). One pass over them then
+feeds a reservoir per stratum (pool x domain x category) in every task: the number of its
+records and those with the least hashes, at most as many as the pool can take. Reservoirs
+are mergeable (add the numbers, keep the least hashes), so a pool holding a third of all
+rows is spread over many tasks and only bounded reservoirs are shuffled. The merged
+numbers (a handful per pool) give feasible quotas by a minimum-cost flow: the domain
+targets hold first, then the minimums, then the shares, then other categories, last
+records without category. The merged reservoirs are trimmed to the quotas by hash, which
+is a uniform choice within each stratum.
 
 Defined results: records with a null id, null pool or non-null error are not usable;
 records sent again count once (differing copies: the least category, off-topic if any
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -30,7 +32,39 @@ from ..session import materialise
 
 NONE = "(none)"
 RANGE_BITS = 12
-RESERVOIR_ROWS = 100_000  # rows per salt, were all in one stratum
+
+
+def reservoirs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per stratum of a task: one row with the number of its records, and one for each of its ``bound`` least hashes.
+
+    Columns in: pool_id, domain, category, custom_id, rank_hash, bound. A reservoir is cut back whenever it is twice
+    its bound, so a task holds no more than that whatever the size of a stratum.
+    """
+    seen: dict[tuple, int] = {}
+    kept: dict[tuple, list[tuple]] = {}
+    bounds: dict[tuple, int] = {}
+    for batch in batches:
+        for pool, domain, category, record, rank, bound in zip(*[c.to_pylist() for c in batch.columns]):
+            stratum = (pool, domain, category)
+            seen[stratum] = seen.get(stratum, 0) + 1
+            bounds[stratum] = bound
+            if bound <= 0:
+                continue
+            mine = kept.setdefault(stratum, [])
+            mine.append((rank, record))
+            if len(mine) >= 2 * bound + 64:
+                mine.sort()
+                del mine[bound:]
+    for stratum, n in seen.items():
+        rows = sorted(kept.get(stratum, []))
+        yield reservoir_batch(stratum, n, rows[: bounds[stratum]])
+
+
+def reservoir_batch(stratum: tuple, n: int, rows: list[tuple]) -> pa.RecordBatch:
+    size = len(rows) + 1
+    columns = [pa.array([x] * size, pa.string()) for x in stratum]
+    columns += [pa.array([n] + [None] * len(rows), pa.int64()), pa.array([None, *[r for _, r in rows]], pa.string()), pa.array([None, *[h for h, _ in rows]], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["pool_id", "domain", "category", "n", "custom_id", "rank_hash"])
 
 
 def flow_quotas(targets: dict[str, int], available: dict[tuple[str, str], int], shares: dict[str, tuple[float, int]]) -> dict[tuple[str, str], int]:
@@ -89,11 +123,12 @@ def flow_quotas(targets: dict[str, int], available: dict[tuple[str, str], int],
     return {k: edges[i ^ 1][2] for k, i in arcs.items()}
 
 
-def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame, seed: str = "42", salts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame, seed: str = "42") -> tuple[DataFrame, DataFrame]:
     """(sample, report).
 
     sample: pool_id, custom_id, domain, category. report: pool_id, stratum, kind
-    (target, minimum, share), wanted, usable, taken, met.
+    (target, minimum, share), wanted, usable, taken, met (by what the sample takes; a share
+    within one record) and exhausted (there are fewer usable records than wanted).
     """
     category = category_key(F.col("scenario_category"))
     known = shares.select(category_key(F.col("scenario_category")).alias("category"), "persona_id", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("min_count", F.lit(0)).alias("least"))
@@ -107,14 +142,12 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
     usable = usable.select("pool_id", "custom_id", domain.alias("domain"), F.when(F.col("listed"), F.col("category")).otherwise(NONE).alias("category"))
     usable = usable.withColumn("rank_hash", F.xxhash64(F.lit(seed), "pool_id", "custom_id"))
 
-    # Pass one: counts, and bounded reservoirs per stratum and salt.
-    usable = materialise(usable, "usable")
-    salts = salts or max(16, usable.count() // RESERVOIR_ROWS)
-    counts = usable.groupBy("pool_id", "domain", "category").agg(F.count("*").alias("n"))
-    limited = usable.join(targets.select("pool_id", F.greatest("t_in", "t_off").alias("bound")), "pool_id").where("bound > 0")
-    salt = F.expr(f"pmod(rank_hash, {salts})")
-    first = W.Window.partitionBy("pool_id", "domain", "category", salt).orderBy("rank_hash", "custom_id")
-    parts = limited.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= F.col("bound")).drop("rn")
+    # One pass: the numbers and the bounded reservoirs of every stratum.
+    usable = usable.join(targets.select("pool_id", F.greatest("t_in", "t_off").cast("long").alias("bound")), "pool_id")
+    usable = usable.select("pool_id", "domain", "category", F.col("custom_id").cast("string").alias("custom_id"), "rank_hash", "bound")
+    held = materialise(usable.mapInArrow(reservoirs, "pool_id string, domain string, category string, n bigint, custom_id string, rank_hash bigint"), "reservoirs")
+    counts = held.where("n is not null").groupBy("pool_id", "domain", "category").agg(F.sum("n").alias("n"))
+    parts = held.where("n is null").drop("n")
 
     per_pool = counts.groupBy("pool_id").agg(F.collect_list(F.struct("domain", "category", "n")).alias("counts"))
     per_persona = known.groupBy("persona_id").agg(F.collect_list(F.struct("category", "share", "least")).alias("shares"))
@@ -148,7 +181,7 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
     # Trim: records by ranges of their hash. Whole ranges below the quota are taken; only the range in which the quota
     # falls is ranked, so no task holds a stratum, however large its pool and target are.
     stratum = ["pool_id", "domain", "category"]
-    merged = materialise(parts.withColumn("range", F.shiftright("rank_hash", 64 - RANGE_BITS)), "reservoirs")
+    merged = parts.withColumn("range", F.shiftright("rank_hash", 64 - RANGE_BITS))
     sizes = merged.groupBy(*stratum, "range").agg(F.count("*").alias("in_range"))
     before = sizes.withColumn("before", F.sum("in_range").over(W.Window.partitionBy(*stratum).orderBy("range")) - F.col("in_range")).join(quotas, stratum)
     wanted = before.where(F.col("before") < F.col("quota")).select(*stratum, "range", (F.col("quota") - F.col("before")).alias("left"), (F.col("before") + F.col("in_range") <= F.col("quota")).alias("whole"))
@@ -156,7 +189,7 @@ def sample_to_targets(sessions: DataFrame, pools: DataFrame, shares: DataFrame,
     last = W.Window.partitionBy(*stratum, "range").orderBy("rank_hash", "custom_id")
     ranked = near.where("not whole").withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= F.col("left")).drop("rn")
     sample = near.where("whole").unionByName(ranked)
-    sample = sample.select("pool_id", "custom_id", "domain", F.nullif("category", F.lit(NONE)).alias("category"))
-    met = F.when(F.col("kind") == "share", F.abs(F.col("taken") - F.col("wanted")) <= 1).when(F.col("kind") == "minimum", F.col("usable") >= F.col("wanted")).otherwise(F.col("usable") >= F.col("wanted"))
-    report = solved.where("kind <> 'quota'").select("pool_id", "stratum", "kind", "wanted", "usable", "taken", met.alias("met"))
+    sample = sample.select("pool_id", F.col("custom_id").cast(sessions.schema["custom_id"].dataType).alias("custom_id"), "domain", F.nullif("category", F.lit(NONE)).alias("category"))
+    met = F.when(F.col("kind") == "share", F.abs(F.col("taken") - F.col("wanted")) <= 1).otherwise(F.col("taken") >= F.col("wanted"))
+    report = solved.where("kind <> 'quota'").select("pool_id", "stratum", "kind", "wanted", "usable", "taken", met.alias("met"), (F.col("usable") < F.col("wanted")).alias("exhausted"))
     return sample, report

@@ -61,6 +61,34 @@ def test_an_id_that_holds_most_rows(spark):
     assert len(rows) == 1000 and max(fill.values()) <= 10 and sum(fill.values()) == 2900 and len(fill) <= 340
 
 
+def containers(rows):
+    fill = {}
+    for r in rows:
+        fill[r["container_id"]] = fill.get(r["container_id"], 0) + r["n_tokens"]
+        assert r["container_tokens"] <= r["capacity_tokens"]
+    return fill
+
+
+def test_no_underfull_container_leaves_the_tree(spark):
+    # 3,001 containers of two thirds after the first round, and small items that fill them up later.
+    docs = [(i, "w " * 34) for i in range(6001)] + [(10_000 + i, "w " * 32) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lf = spark.createDataFrame([("s", 100)], "limit_name string, capacity_tokens int")
+    fill = containers(pack_texts(df, lf, group_items=300, fan_in=4).collect())
+    assert sum(fill.values()) == 6001 * 34 + 3000 * 32 and len(fill) <= 3001 * 1.02
+    # Only items of two thirds: nothing can be combined, every item is placed, and the rounds end.
+    fill = containers(pack_texts(spark.createDataFrame([(i, "w " * 67) for i in range(2000)], "doc_id long, text string"), lf, group_items=100, fan_in=4).collect())
+    assert len(fill) == 2000
+
+
+def test_waste_is_small(spark):
+    docs = [(i, "w " * (1 + i * 7919 % 61)) for i in range(5000)]
+    total = sum(1 + i * 7919 % 61 for i in range(5000))
+    lf = spark.createDataFrame([("s", 128)], "limit_name string, capacity_tokens int")
+    fill = containers(pack_texts(spark.createDataFrame(docs, "doc_id long, text string"), lf, group_items=200, fan_in=4).collect())
+    assert sum(fill.values()) == total and len(fill) <= math.ceil(total / 128) * 1.01 + 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, capacity int")
     lf = spark.createDataFrame([("s", 5)], "limit_name string, capacity_tokens int")

@@ -3,10 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evplace.llm.quota import flow_quotas, sample_to_targets
+from evplace.llm.quota import flow_quotas, reservoirs, sample_to_targets
 from evplace.llm.subset import hilbert_keys, varied_subset
 
 CATS = {"casual": (0.3, 3), "professional": (0.5, 2), "transactional": (0.2, 4)}
@@ -45,7 +46,7 @@ def test_sample_and_report(spark):
     rows, df = sessions(spark)
     pools = spark.createDataFrame([("p1", "a", 100, 80), ("p2", "a", 5, 0), ("p3", "b", 1, None)], "pool_id string, persona_id string, target_in_domain int, target_off_topic int")
     shares = spark.createDataFrame([("a", c, s, m) for c, (s, m) in CATS.items()], "persona_id string, scenario_category string, target_share double, min_count int")
-    sample, report = sample_to_targets(df, pools, shares, salts=3)
+    sample, report = sample_to_targets(df, pools, shares)
     s = sample.collect()
     assert len({(r["pool_id"], r["custom_id"]) for r in s}) == len(s)
     ok = {r[0]: r for r in rows if r[0] and r[4] is None}
@@ -53,13 +54,28 @@ def test_sample_and_report(spark):
     n_off = len({r[0] for r in rows if r[0] and r[1] == "p1" and r[4] is None and r[3]})
     got = Counter((r["pool_id"], r["domain"]) for r in s)
     assert got[("p1", "in_domain")] == 100 and got[("p1", "off_topic")] == min(80, n_off) and got[("p2", "in_domain")] == 3
-    unmet = {(r["pool_id"], r["stratum"]) for r in report.collect() if not r["met"] and r["kind"] != "share"}
+    unmet = {(r["pool_id"], r["stratum"]) for r in report.collect() if r["exhausted"] and r["kind"] != "share"}
     assert unmet == {("p1", "off_topic"), ("p2", "in_domain"), ("p2", "professional"), ("p2", "transactional"), ("p3", "in_domain")}
-    assert sorted(map(tuple, s), key=str) == sorted(map(tuple, sample_to_targets(df.repartition(5), pools, shares, salts=3)[0].collect()), key=str)
+    assert sorted(map(tuple, s), key=str) == sorted(map(tuple, sample_to_targets(df.repartition(5), pools, shares)[0].collect()), key=str)
     empty, rep = sample_to_targets(df.limit(0), pools, shares)
+    # A minimum that the target leaves no room for is not met, though there are records enough.
+    tight = spark.createDataFrame([("p1", "a", 2, 0)], "pool_id string, persona_id string, target_in_domain int, target_off_topic int")
+    least = spark.createDataFrame([("a", "casual", 1.0, 10)], "persona_id string, scenario_category string, target_share double, min_count int")
+    row = sample_to_targets(df, tight, least)[1].where("kind = 'minimum'").collect()[0]
+    assert (row["taken"], row["wanted"], row["met"], row["exhausted"]) == (2, 10, False, False) and row["usable"] > 10
     assert empty.count() == 0 and rep.where("kind = 'target' and not met").count() == 4
 
 
+def test_reservoirs_merge_and_keep_the_least_hashes():
+    rng = np.random.default_rng(5)
+    ranks = rng.permutation(5000) - 2500
+    rows = [("p", "in_domain", "casual", f"r{i}", int(h), 20) for i, h in enumerate(ranks)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["pool_id", "domain", "category", "custom_id", "rank_hash", "bound"])
+    out = [r for i in range(0, 5000, 1000) for b in reservoirs(iter([batch(rows[i : i + 500]), batch(rows[i + 500 : i + 1000])])) for r in b.to_pylist()]
+    assert sum(r["n"] or 0 for r in out) == 5000 and len(out) == 5 * 21
+    assert sorted(r["rank_hash"] for r in out if r["n"] is None)[:20] == list(range(-2500, -2480))
+
+
 def test_hilbert_curve_visits_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         pts = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
