@@ -7,16 +7,18 @@ the similarity of the two bags (sum of lesser counts over sum of greater counts)
 1. Records of one bag are one class; all later steps see each class once, so a
    third of all rows being copies costs one row.
 2. HyperMinHash: per hash function the least hash of a class's elements is stored
-   as its leading-zero count (6 bits) and the next 10 bits: 2 bytes per bucket.
-3. ``bands`` x ``rows`` registers are cut into bands; classes that agree on all
-   registers of a band are candidates (one equi-join on the band's hash, skewed
-   keys split by AQE), kept only if their sizes allow the threshold.
-4. The similarity of a candidate is estimated from its registers, corrected for
+   as its leading-zero count and the next 10 bits: 2 bytes per bucket.
+3. Each band is a set of ``rows`` registers; classes that agree on all of them are
+   candidates. ``rows`` grows with the logarithm of the classes, so that unlike
+   classes meet by chance about as often per class at any size, and the number of
+   bands follows from it: the least that misses a pair at the threshold with
+   probability ``miss`` at most (``bands_for``). Band keys travel in columnar blocks,
+   one per part of the key space, and are sorted part by part; keys that very many
+   classes share are spread over tasks by a join instead (``hot``).
+4. The similarity of a candidate is estimated from its sketch, corrected for
    registers that agree by chance; candidates more than four standard errors
-   below the threshold are dropped, the rest are verified on the bags themselves.
-
-With 100 bands of 6 rows a pair at similarity 0.7 is missed with probability
-(1 - 0.7**6)**100 = 4e-6, one at 0.8 with less than 1e-13.
+   below the threshold are dropped. Bags are fetched for the rest only, which are
+   verified on them.
 
 Defined results: null texts count as empty; records without any word are similar
 to nothing; a record id with several texts keeps all of them; rows sent again
@@ -25,6 +27,7 @@ count once; null ids are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .components import components
 
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
+SLICE = 4096  # classes whose registers are in memory at once
+PART_KEYS = 4_000_000  # band keys of one part of the key space
 
 
 def bag_text(*columns: Column) -> Column:
@@ -44,11 +48,6 @@ def bag_text(*columns: Column) -> Column:
     return F.array_join(F.array_sort(F.regexp_extract_all(joined, F.lit(r"([\p{L}\p{N}]+)"))), " ")
 
 
-def _hashes(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    return rng.integers(0, 2**64, count, np.uint64), rng.integers(0, 2**64, count, np.uint64) | np.uint64(1)
-
-
 def elements(bag: str) -> list[str]:
     """The elements of a bag: each word with the number of its repeat."""
     out, last, k = [], None, 0
@@ -59,16 +58,34 @@ def elements(bag: str) -> list[str]:
     return out
 
 
-def registers(hashed: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of one set of 64-bit element hashes."""
-    h = (hashed[:, None] ^ xor[None, :]) * mul[None, :]
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    least = h.min(axis=0)
-    bits = np.frexp(least.astype(np.float64))[1].astype(np.uint64)  # bit length of the least hash
-    zeros = np.uint64(64) - np.minimum(bits, np.uint64(64))
-    tail = np.where(zeros < 63, (least << np.minimum(zeros + np.uint64(1), np.uint64(63))) >> np.uint64(54), np.uint64(0))
-    return ((np.minimum(zeros, np.uint64(63)) << np.uint64(10)) | tail).astype(np.uint16)
+def least_hashes(hashed: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
+    """Per hash function the least hash of one set; a very large set is folded block by block."""
+    least = np.full(len(xor), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(hashed), 4096):
+        least = np.minimum(least, ((hashed[at : at + 4096, None] ^ xor[None, :]) * mul[None, :]).min(axis=0))
+    return least
+
+
+def registers(least: np.ndarray) -> np.ndarray:
+    """HyperMinHash registers: leading zeros of the least hash, and the 10 bits after its first one."""
+    bits = np.frexp(least.astype(np.float64))[1].astype(np.uint32)  # bit length
+    shifted = least.astype(np.uint64) << (np.uint64(33) - bits.astype(np.uint64))  # the first one falls out of 32 bits
+    tail = ((shifted & np.uint64(0xFFFFFFFF)) >> np.uint64(22)).astype(np.uint16)
+    return ((np.uint16(32) - bits.astype(np.uint16)) << np.uint16(10)) | tail
+
+
+def signatures(bags: list[str], count: int, stream: int) -> tuple[np.ndarray, np.ndarray]:
+    """Registers (one line per bag) and sizes. Streams have independent hash functions."""
+    from xxhash import xxh3_64_intdigest as h64
+
+    rng = np.random.Generator(np.random.PCG64(20240229 + stream))
+    xor, mul = rng.integers(0, 2**32, count, np.uint32), rng.integers(0, 2**32, count, np.uint32) | np.uint32(1)
+    least, sizes = np.empty((len(bags), count), np.uint32), np.empty(len(bags), np.int64)
+    for i, bag in enumerate(bags):
+        el = elements(bag)
+        sizes[i] = len(el)
+        least[i] = least_hashes(np.fromiter((h64(e) >> 32 for e in el), np.uint32, len(el)), xor, mul)
+    return registers(least), sizes
 
 
 def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -77,84 +94,187 @@ def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     Within one leading-zero count the hashes of the two minima are near uniform over
     2**10 cells, so it is the probability of equal counts divided by 2**10.
     """
-    z = np.arange(0, 40)[:, None]
+    z = np.arange(0, 32)[:, None]
     upper, lower = 2.0**-z, 2.0 ** -(z + 1)
     p = (1 - lower) ** n - (1 - upper) ** n
     q = (1 - lower) ** m - (1 - upper) ** m
     return (p * q).sum(axis=0) / 1024
 
 
+def miss_probability(threshold: float, rows: int, bands: int, count: int) -> float:
+    """Probability that a pair at the threshold shares no band, over how many of ``count`` registers agree."""
+    k = np.arange(count + 1)
+    log = np.array([math.lgamma(count + 1) - math.lgamma(i + 1) - math.lgamma(count - i + 1) for i in k])
+    weight = np.exp(log + k * math.log(threshold) + (count - k) * math.log1p(-threshold))
+    agree = np.ones(count + 1)
+    for i in range(rows):
+        agree *= np.maximum(k - i, 0) / (count - i)
+    return float((weight * (1 - agree) ** bands).sum())
+
+
+def bands_for(threshold: float, rows: int, count: int, miss: float) -> int:
+    """The least number of bands whose miss probability at the threshold is ``miss`` at most."""
+    high = 1
+    while miss_probability(threshold, rows, high, count) > miss:
+        high *= 2
+    low = high // 2
+    while low + 1 < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if miss_probability(threshold, rows, mid, count) <= miss else (mid, high)
+    return high
+
+
+def rows_for(classes: int) -> int:
+    """Registers per band: unlike classes (similarity about a quarter) share a band with one class by chance at most."""
+    return max(6, round(math.log(max(classes, 2)) / math.log(4)))
+
+
+def banding(rows: int, bands: int, count: int) -> np.ndarray:
+    """The registers of each band: different ones within a band, drawn evenly."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    return np.argsort(rng.random((bands, count)), axis=1)[:, :rows]
+
+
+def band_keys(reg: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """One 64-bit key per line of registers and band."""
+    bands, rows = chosen.shape
+    weight = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, (rows, bands), np.uint64) | np.uint64(1)
+    key = np.broadcast_to((np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), (len(reg), bands)).copy()
+    for j in range(rows):
+        key += reg[:, chosen[:, j]].astype(np.uint64) * weight[j]
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xFF51AFD7ED558CCD)
+    return key ^ (key >> np.uint64(32))
+
+
+def meet(keys: np.ndarray, ids: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids (lesser first) with equal keys, each once; and (key, id) of keys that more than ``hot`` ids share."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[start, len(keys)])
+    many = length > hot
+    at_hot = np.repeat(start[many], length[many]) + (np.arange(length[many].sum()) - np.repeat(np.cumsum(length[many]) - length[many], length[many]))
+    a, b = [], []
+    start, length = start[(length > 1) & ~many], length[(length > 1) & ~many]
+    for gap in range(1, int(length.max()) if len(length) else 0):
+        runs = length > gap
+        start, length = start[runs], length[runs]
+        first = np.repeat(start, length - gap) + (np.arange((length - gap).sum()) - np.repeat(np.cumsum(length - gap) - (length - gap), length - gap))
+        a.append(ids[first])
+        b.append(ids[first + gap])
+    x = np.concatenate(a) if a else np.zeros(0, np.int64)
+    y = np.concatenate(b) if b else np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+    return pairs[:, 0], pairs[:, 1], keys[at_hot], ids[at_hot]
+
+
 def near_duplicates(
     df: DataFrame,
     key: str,
     texts: list[str],
     threshold: float = 0.8,
-    bands: int = 100,
-    rows: int = 6,
+    miss: float = 1e-3,
+    rows: int | None = None,
     sketch: int = 128,
+    hot: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): member (record_id, class_id) and links between classes (a, b, similarity), a < b."""
     import xxhash  # noqa: F401  (needed on the executors; fail early)
 
+    spark = df.sparkSession
     named = df.where(F.col(key).isNotNull()).select(F.col(key).alias("record_id"), bag_text(*[F.col(c) for c in texts]).alias("bag")).where("bag <> ''")
-    members_raw = materialise(named.select("record_id", F.unhex(F.md5("bag")).alias("class_id"), "bag").distinct(), "bags")
-    members = members_raw.select("record_id", "class_id")
-    classes = members_raw.groupBy("class_id").agg(F.min("bag").alias("bag"))
-    xor, mul = _hashes(bands * rows)
+    named = materialise(named.select("record_id", F.unhex(F.md5("bag")).alias("class_id"), "bag"), "bags")
+    members = materialise(named.select("record_id", "class_id").distinct(), "members")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest as h64
-
-        weights = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(rows)], np.uint64)
-        salt = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                reg, sizes = signatures(part.column(1).to_pylist(), sketch, 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes.astype(np.int32)), pa.array([r.tobytes() for r in reg], pa.binary())], ["class_id", "bag", "n", "sketch"])
+
+    # The bag follows from its hash, so this is one row per class, without an aggregate of strings.
+    classes = named.select("class_id", "bag").distinct().mapInArrow(sketched, "class_id binary, bag string, n int, sketch binary")
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    total = classes.count()
+    rows = rows or rows_for(total)
+    count = 64 * rows
+    chosen = banding(rows, bands_for(threshold, rows, count, miss), count)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * len(chosen) / PART_KEYS))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per run of ids and part of the key space: the first id, and key and offset of every band key."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                block = batch.slice(at, SLICE)
+                ids = block.column(0).to_numpy()
+                all_keys = band_keys(signatures(block.column(1).to_pylist(), count, 1)[0], chosen)
+                breaks = np.r_[0, np.flatnonzero(np.diff(ids) != 1) + 1, len(ids)]
+                made = []
+                for i, j in zip(breaks[:-1], breaks[1:]):
+                    keys = all_keys[i:j].ravel()
+                    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                    offset = np.repeat(np.arange(j - i, dtype=np.uint16), len(chosen))
+                    order = np.argsort(part, kind="stable")
+                    keys, part, offset = keys[order].astype(np.uint32), part[order], offset[order]
+                    cuts = np.searchsorted(part, np.arange(parts + 1))
+                    made += [(p, int(ids[i]), keys[lo:hi].tobytes(), offset[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if hi > lo]
+                if made:
+                    columns = list(zip(*made))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["part", "base", "keys", "offsets"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of one part after another (its blocks come one after another); members of hot keys as they are."""
+
+        def done(part: int, keys: list, ids: list) -> pa.RecordBatch:
+            a, b, hot_keys, hot_ids = meet(np.concatenate(keys), np.concatenate(ids), hot)
+            code = (np.int64(part) << np.int64(32)) | hot_keys.astype(np.int64)
+            one = pa.array(np.r_[a, hot_ids], pa.int64())
+            two = pa.array(np.r_[b, code], pa.int64())
+            return pa.RecordBatch.from_arrays([one, two, pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(code), bool)])], ["a", "b", "is_hot"])
+
+        now, keys, ids = -1, [], []
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                size, sketches, keys = [], [], []
-                for bag in part.column(1).to_pylist():
-                    el = elements(bag)
-                    hashed = np.fromiter((h64(e) for e in el), np.uint64, len(el))
-                    reg = None
-                    for at in range(0, len(hashed), 4096):  # a very long record is folded block by block
-                        block = registers(hashed[at : at + 4096], xor, mul)
-                        # More leading zeros, then a smaller tail, is the lesser hash.
-                        order = block ^ np.uint16(0xFC00)
-                        reg = order if reg is None else np.minimum(reg, order)
-                    reg = reg ^ np.uint16(0xFC00)
-                    size.append(len(el))
-                    sketches.append(reg[:sketch].tobytes())
-                    mixed = (reg.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * weights
-                    mixed ^= mixed >> np.uint64(31)
-                    mixed = (mixed * _MIX).sum(axis=1, dtype=np.uint64) + salt
-                    keys.append(((mixed ^ (mixed >> np.uint64(29))) * _MIX).view(np.int64))
-                flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(keys) + 1, bands), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int32()), pa.array(sketches, pa.binary()), lists], ["class_id", "bag", "n", "sketch", "keys"])
-
-    signed = materialise(classes.select("class_id", "bag").mapInArrow(sign, "class_id binary, bag string, n int, sketch binary, keys array<bigint>"), "signed")
-    banded = signed.select("class_id", "n", F.explode("keys").alias("band"))
-    a = banded.select("band", F.col("class_id").alias("a"), F.col("n").alias("na"))
-    b = banded.select("band", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)
-    pairs = materialise(a.join(b, "band").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "pairs")
-    sides = signed.select("class_id", "bag", "sketch", "n")
-    left = sides.select(F.col("class_id").alias("a"), F.col("bag").alias("bag_a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("na"))
-    right = sides.select(F.col("class_id").alias("b"), F.col("bag").alias("bag_b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("nb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b", "na", "nb", "bag_a", "bag_b")
+            for part, base, k, o in zip(*[batch.column(i) for i in range(4)]):
+                if part.as_py() != now:
+                    if keys:
+                        yield done(now, keys, ids)
+                    now, keys, ids = part.as_py(), [], []
+                keys.append(np.frombuffer(k.as_buffer(), np.uint32))
+                ids.append(np.frombuffer(o.as_buffer(), np.uint16).astype(np.int64) + base.as_py())
+        if keys:
+            yield done(now, keys, ids)
+
+    blocks = classes.select("id", "bag").mapInArrow(keyed, "part int, base bigint, keys binary, offsets binary").repartition(parts, "part").sortWithinPartitions("part")
+    found = materialise(blocks.mapInArrow(met, "a bigint, b bigint, is_hot boolean"), "met")
+    spread = found.where("is_hot").select(F.col("a").alias("id"), F.col("b").alias("hot_key"))
+    spread = spread.alias("x").join(spread.alias("y"), "hot_key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = found.where("not is_hot").select("a", "b").unionByName(spread).distinct()
     margin = 4 * (threshold * (1 - threshold) / sketch) ** 0.5
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, sketch)
-            v = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, sketch)
-            chance = chance_agreement(batch.column(4).to_numpy(zero_copy_only=False).astype(float), batch.column(5).to_numpy(zero_copy_only=False).astype(float))
+            u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, sketch) for i in (2, 3))
+            n, m = (batch.column(i).to_numpy().astype(float) for i in (4, 5))
+            chance = chance_agreement(n, m)
             estimate = ((u == v).mean(axis=1) - chance) / (1 - chance)
+            keep = pa.array(np.flatnonzero((estimate >= threshold - margin) & (np.minimum(n, m) >= np.maximum(n, m) * threshold)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return classes.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    joined = pairs.join(side("a", "sketch", "n"), "a").join(side("b", "sketch", "n"), "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
+    likely = materialise(joined.mapInArrow(estimated, "a bigint, b bigint"), "likely")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             keep, exact = [], []
-            bag_a, bag_b = batch.column(6), batch.column(7)
-            for i in np.nonzero(estimate >= threshold - margin)[0].tolist():
-                s, t = set(elements(bag_a[i].as_py())), set(elements(bag_b[i].as_py()))
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                s, t = set(elements(x)), set(elements(y))
                 shared = len(s & t)
                 if shared >= threshold * (len(s) + len(t) - shared) - 1e-9:
                     keep.append(i)
@@ -162,12 +282,17 @@ def near_duplicates(
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(exact, pa.float64())], ["a", "b", "similarity"])
 
-    links = materialise(joined.mapInArrow(verify, "a binary, b binary, similarity double"), "verified")
-    return members, links
+    bags = likely.join(side("a", "class_id", "bag"), "a").join(side("b", "class_id", "bag"), "b").select("class_id_a", "class_id_b", "bag_a", "bag_b")
+    links = bags.mapInArrow(verified, "a binary, b binary, similarity double")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return members, materialise(links, "verified")
 
 
 def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of different record ids (record_id_a < record_id_b), copies included, with their similarity."""
+    """All pairs of different record ids (record_id_a < record_id_b), copies included, with their similarity.
+
+    The result grows with the square of a group of copies; ``duplicate_groups`` is the form for scale.
+    """
     m1 = members.select(F.col("record_id").alias("r1"), F.col("class_id").alias("a"))
     m2 = members.select(F.col("record_id").alias("r2"), F.col("class_id").alias("b"))
     between = links.join(m1, "a").join(m2, "b").select("r1", "r2", "similarity")
