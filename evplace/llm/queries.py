@@ -101,9 +101,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per leaked item: documents that hold it, and how much of it the fullest one holds."""
+    """Per leaked item: documents that hold a long run of it, and the longest."""
+    leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_passages")).where("longest_run >= 12")
+    return leaks.groupBy("item_id").agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_docs"), F.max("item_words").alias("item_words"))
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with a long run or with tiles over most of the item, reordered passages among them."""
     leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"))
-    return leaks.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("longest_run").alias("longest_run"), F.round(F.max("coverage"), 6).alias("coverage"))
+    return leaks.select("doc_id", "item_id", "longest_run", "n_tiles", F.round("coverage", 6).alias("coverage"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +120,7 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return source_rates(find_truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p3_subset, p4_found, p4_sample, p4_report, p4_drawn, p7_found, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p3_subset, p4_found, p4_sample, p4_report, p4_drawn, p7_found, p7_containers, p7_fill, p8_found, p8_report, p8_coverage, p9_found, p9_source_rates)}
 
 _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -166,4 +172,12 @@ SQL = {
         eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
     """,
+    "p8_report": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_passages),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+        eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12)),
+        x AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
+        SELECT item_id, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, any_value(len(w)) AS item_words FROM x JOIN e USING (item_id) GROUP BY 1
+    """,
 }
