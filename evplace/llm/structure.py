@@ -12,17 +12,24 @@ import re
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“”", "‹": "›"}
 _OPENERS = set(PAIRS)
 _OPENERS_OF = {c: tuple(o for o, cs in PAIRS.items() if c in cs) for cs in PAIRS.values() for c in cs}
-_EVENT = re.compile(r"```|~~~|</?[A-Za-z][\w-]*(?:\s[^<>]{0,300})?/?>|<!--|-->|[()\[\]{}“”«»„‹›]|\"")
-# Elements without an end tag.
+_EVENT = re.compile(r"```|~~~|</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>|<!--|-->|[()\[\]{}“”«»„‹›]|\"")
+# Elements without an end tag, elements whose end tag may be left out, and other usual elements.
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "col", "wbr", "source"}
+_OPTIONAL = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "colgroup", "html", "body", "head"}
+_ELEMENTS = set(
+    "a abbr article aside b blockquote button caption center cite code del details div em fieldset figcaption figure font footer form"
+    " h1 h2 h3 h4 h5 h6 header i iframe ins kbd label main mark nav ol pre q quote s script section select small span strong style sub summary sup table textarea title u ul video".split()
+)
+# A line that holds nothing but the sign of a list item.
+_LIST_MARK = re.compile(r"(?:^|\n)[ \t]*(?:\(?\d{1,3}[.)]|\(?[a-z]\)|[-*•‣◦])[ \t]*$")
+_LIST_ITEM = re.compile(r"(?:^|[\n:])[ \t]*(?:\(?\d{1,3}[.)]|\(?[a-z]\)|[-*•‣◦])[ \t]+\S")
 _BROKEN = re.compile(
     r"(?:\ufffd|[\ud800-\udfff]"  # bytes of a character lost
     r"|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?"  # an escape begun
     r"|&(?:#x?[0-9a-fA-F]{0,6}|[a-zA-Z]{2,7})"  # an entity without its end
-    r"|%(?:[0-9A-Fa-f])?"  # half a percent escape
-    r"|</?[A-Za-z][\w-]*(?:\s[^<>]*)?"  # a tag without its end
-    r"|<!--[^>]*)$"
+    r"|%[0-9A-Fa-f]?)$"  # half a percent escape
 )
+_TAG_BEGUN = re.compile(r"(?:</?[A-Za-z][\w-]*(?:\s[^<>]*)?|<!--.*|</?)$", re.S)
 TERMINATORS = ".!?。！？؟।"
 _CLOSING = "\"'”’»)]}*_`›"
 _SENTENCE = re.compile(r"[.!?。！？][\"'”’»)\]*_]*(?:\s|$)|\n")
@@ -85,19 +92,54 @@ def open_signs(text: str) -> list[tuple[str, int]]:
 
 def broken_end(text: str) -> bool:
     """The text stops inside a character, an escape, an entity or a tag."""
-    return bool(_BROKEN.search(text[-320:]))
+    if _BROKEN.search(text[-16:]):  # no form of these is longer
+        return True
+    at = text.rfind("<")
+    return at > text.rfind(">") and bool(_TAG_BEGUN.match(text, at)) and text[at + 1 :].strip() != ""
+
+
+def list_mark_end(text: str) -> bool:
+    """The last line is the sign of a list item without its item, in a text with such items."""
+    body = text.rstrip()
+    m = _LIST_MARK.search(body, max(body.rfind("\n"), 0))
+    return bool(m) and bool(_LIST_ITEM.search(body, 0, m.start() + 1))
 
 
 def terminated(text: str) -> bool:
-    """The last sign, closing quotes and brackets aside, ends a sentence."""
-    core = text.rstrip().rstrip(_CLOSING)
+    """The last sign, closing quotes, brackets and end tags aside, ends a sentence; so does a line that closes a fence."""
+    core = text.rstrip()
+    while core.endswith(">") and core.startswith("</", at := core.rfind("<")):
+        core = core[:at].rstrip()
+    if core.endswith(("\n```", "\n~~~")):
+        return True
+    core = core.rstrip(_CLOSING)
     return bool(core) and core[-1] in TERMINATORS
 
 
 def last_sentence_start(text: str) -> int:
-    """Where the last sentence begins."""
+    """Where the last sentence begins: looked for backwards in windows that double, so it takes linear time."""
     body = text.rstrip().rstrip(_CLOSING).rstrip(TERMINATORS)
-    at = 0
-    for m in _SENTENCE.finditer(body, max(0, len(body) - 3000)):
-        at = m.end()
-    return at
+    span = 1000
+    while True:
+        low = max(0, len(body) - span)
+        at = 0
+        for m in _SENTENCE.finditer(body, low):
+            at = m.end()
+        if at or not low:
+            return at
+        span *= 2
+
+
+def left_open(text: str) -> bool:
+    """What is open at the end shows that something is missing.
+
+    Fences and elements count wherever they were opened, quotes and brackets in the last sentence, and a list item
+    of which only the sign is there. Elements whose end tag may be left out, and names that are no elements, do not count.
+    """
+    if list_mark_end(text):
+        return True
+    stack = open_signs(text)
+    if not stack:
+        return False
+    start = last_sentence_start(text)
+    return any(s in ("```", "~~~", "<!--") or (s[0] == "<" and s[1:] in _ELEMENTS) or (s[0] != "<" and at >= start) for s, at in stack)

@@ -5,12 +5,16 @@ A pushdown parser and the end of the text decide, per document:
 * ``marker``  a sign stands for lost text (``…``, ``[...]``, ``[+623 chars]``) and what
   is left before it does not end a sentence;
 * ``broken``  the end lies inside a character, an escape, an entity or a tag;
-* ``open``    a quote or bracket of the last sentence, or a fence, is not closed;
+* ``open``    the stack is not empty at the end: a fence or an element, a quote or bracket
+  of the last sentence, or a list item of which only the sign is there;
 * ``bare``    the last line neither ends a sentence nor is a sign-off, tag line, link
   or informal closing.
 
-A bare end is a cut unless it could be whole, the source has the custom of omitting stops and no limit shows:
+A bare end is a cut unless it is a closing that is learned, or it could be whole, the source has the custom of omitting
+stops and no limit shows:
 
+* a closing is learned: a last line of its own that ends at least ``closing_texts`` texts after different lines
+  (a copied text repeats the line before it as well, so copies of one cut text teach nothing);
 * an end could be whole if the text itself does without stops there: the last line holds no sentence that ended before,
   the other lines do not end in stops as a rule, and the end is no comma, dash or word that must go on. An end inside a
   sentence, a clause or a word of a text with stops is a cut whatever its source does;
@@ -19,9 +23,11 @@ A bare end is a cut unless it could be whole, the source has the custom of omitt
 * a limit shows where at least ``limit_share`` of the source's ends that could be whole pile up within ``spread`` below a
   length (limits in bytes or words spread), four times as dense as the lengths around and beyond chance.
 
-The custom and the limits are computed over all documents; only sources and lengths are joined back. Not told: a stopless
+Closings, customs and limits are computed over all documents; only their keys are joined back. Not told: a stopless
 line cut inside a word, in a source of such lines, away from any limit.
 
+Bounds of the grammar: a sign for lost text has at most 200 characters, a dash line 60, a by-line six names.
+
 Defined results: null and blank texts are whole; a null source is a source of its own;
 repeated rows are each judged; texts are read whole, whatever their length.
 """
@@ -39,7 +45,7 @@ from pyspark.sql import window as W
 from ..operators.metrics import wilson
 from ..session import materialise
 from .pairs import _DANGLING
-from .structure import broken_end, last_sentence_start, open_signs, terminated
+from .structure import broken_end, left_open, list_mark_end, terminated
 
 _MARKER = re.compile(r"\s*(?:[\[(<{]\s*(?:\.{2,}|…|\+?\s?\d[\d,. ]*\s*(?:more )?(?:chars?|characters|words|bytes|lines|more)[^\])>}]{0,20}|(?:text |message |article )?(?:truncated|cut|snip(?:ped)?|more|continued|read more)[^\])>}]{0,20})\s*[\])>}]|…|\.{3,})\s*$", re.I)
 # Informal closings that may end in an ellipsis or without a stop.
@@ -50,9 +56,11 @@ _CLOSING = re.compile(
     r"(?: \w+){0,2}\s*(?:\.{3,}|…)?$",
     re.I,
 )
-# Words of thanks and assent that close a chat without a stop.
+# Words of thanks and assent; a line made of them alone closes a chat without a stop.
 _THANKS = re.compile(
-    r"^(?:\w+: )?(?=.{1,60}$)(?:.*\b(?:thanks?|thank you|thx|cheers|that helps|got it|will do|sounds good|all good|no worries|perfect|great|bye|goodbye|good night|ok|okay|danke(?: dir| schön)?|alles klar|tschüss|merci(?: beaucoup)?|d'accord|parfait|salut|gracias|vale|perfecto|adiós)\b.{0,24})$",
+    r"^(?:\w+: )?(?:(?:thanks?|thank you|thx|cheers|that helps|got it|will do|sounds good|all good|no worries|perfect|great|bye|goodbye|good night|ok|okay|yes|no|cool|nice|fine"
+    r"|danke|danke dir|danke schön|alles klar|tschüss|merci|merci beaucoup|d'accord|parfait|salut|gracias|vale|perfecto|adiós"
+    r"|so much|very much|a lot|again|then|for now|everyone|all|too)\b[,;!.]* ?(?:and |y |et |und )?)+$",
     re.I,
 )
 _NAME = r"\w[\w'’.-]*"
@@ -84,18 +92,21 @@ def judge(text: str | None) -> tuple[str, int]:
         return ("", length) if terminated(left) and not left.endswith("..") else ("marker", length)
     if broken_end(body):
         return "broken", length
-    if terminated(body):
-        start = last_sentence_start(body)
-        stack = open_signs(text)
-        if any((s in ("```", "~~~")) or (at >= start and s in "(“«„[") for s, at in stack):
-            return "open", length
+    if terminated(body) or list_mark_end(body):
+        return ("open" if left_open(body) else ""), length
+    # A sign-off is a line of its own.
+    if ("\n" in body or len(line.split()) <= 8) and ((any(p.match(line) for p in _SIGN_OFF) and not _HEAD_LOWER.match(line)) or _THANKS.match(line)):
         return "", length
-    if len(line) <= 200 and ("\n" in body or len(line) <= 60):
-        if any(p.match(line) for p in _SIGN_OFF) and not _HEAD_LOWER.match(line):
-            return "", length
-        if _THANKS.match(line):
-            return "", length
-    return "bare", length
+    return ("open" if left_open(body) else "bare"), length
+
+
+def closing_keys(text: str) -> tuple[str | None, str | None]:
+    """The last line, without its speaker, case and outer signs, and the line before it; nulls if there is only one line."""
+    head, _, line = text.rstrip().rpartition("\n")
+    if not head.strip():
+        return None, None
+    label = re.sub(r"^\w{2,12}: ", "", line.strip()).lower().strip(" .!?…")
+    return label, head.rstrip().rpartition("\n")[2][-200:]
 
 
 def last_clause(line: str) -> str:
@@ -117,23 +128,29 @@ def could_be_whole(text: str) -> bool:
     return 2 * stopped <= len(lines) - 1
 
 
-def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05, spread: float = 0.03) -> DataFrame:
+def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05, spread: float = 0.03, closing_texts: int = 3) -> DataFrame:
     """One row per document: doc_id, source, n_chars, kind and is_cut."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, lengths, phrases = [], [], []
+            kinds, lengths, phrases, closings, befores = [], [], [], [], []
             for value in batch.column(2):
                 t = value.as_py()
                 kind, length = judge(t)
                 kinds.append(kind)
                 lengths.append(length)
                 phrases.append(kind == "bare" and could_be_whole(t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(lengths, pa.int64()), pa.array(phrases, pa.bool_())], ["doc_id", "source", "kind", "n_chars", "phrase"])
+                closing, before = closing_keys(t) if kind == "bare" else (None, None)
+                closings.append(closing)
+                befores.append(before)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(lengths, pa.int64()), pa.array(phrases, pa.bool_()), pa.array(closings, pa.string()), pa.array(befores, pa.string())], ["doc_id", "source", "kind", "n_chars", "phrase", "closing", "before"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    judged = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")).mapInArrow(look, f"doc_id {id_type}, source string, kind string, n_chars bigint, phrase boolean")
-    judged = materialise(judged, "judged")
+    judged = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")).mapInArrow(look, f"doc_id {id_type}, source string, kind string, n_chars bigint, phrase boolean, closing string, before string")
+    judged = materialise(judged.withColumns({"closing": F.md5("closing"), "before": F.md5("before")}), "judged")
+    learned = judged.where("closing is not null").select("closing", "before").distinct().groupBy("closing").count().where(F.col("count") >= closing_texts)
+    judged = judged.join(learned.select("closing", F.lit(True).alias("is_closing")), "closing", "left")
+    judged = judged.withColumn("kind", F.when(F.coalesce("is_closing", F.lit(False)), "").otherwise(F.col("kind"))).withColumn("phrase", F.col("phrase") & (F.col("kind") != ""))
     custom = judged.where("n_chars > 0").groupBy("source").agg(F.count("*").alias("n"), F.count_if("phrase").alias("n_phrase")).where(wilson(F.col("n"), F.col("n_phrase"))[0] >= baseline)
     custom = custom.select(F.col("source").alias("custom_source"), "n_phrase", F.lit(True).alias("is_custom"))
     # Lengths below which the ends of such a source pile up, against the lengths around (four spreads on either side).

@@ -85,6 +85,16 @@ def test_find_defects(spark):
         ("All is said. But the [...]", "marker"), ("All is said. But the [+623 chars]", "marker"), ("All is said. Caf�", "broken"), ("All is said. Tom &am", "broken"), ("All is said. A \\u00", "broken"),
         ("All is said. See Bridge 35.", ""), ("All is said. (It was late.", "open"), ("```\ncode.", "open"), ("User: Hi.\nUser: I saw a piece in Ha", "bare"),
         ("By the end of May, the bank in Nor", "bare"), ("x " * 50_000 + "end.", ""),
+        # The stack decides: straight quotes, elements, braces, corner quotes, lists.
+        ('He said "we will go there tomorrow.', "open"), ('He said "we will go there tomorrow."', ""), ("<div><p>One. Two.", "open"), ("<div><p>One. Two.</div>", ""), ("One <name>. Two.", ""),
+        ("The set {a, b is here.", "open"), ("One. ‹open one.", "open"), ("Items:\n1. one\n2. two\n3.", "open"), ("Items:\n1. one\n2. two\n3. three.", ""), ("It was 3.", ""),
+        # Words of thanks inside a sentence close nothing.
+        ("Bank of America will do", "bare"), ("The mayor said all good", "bare"), ("All is said.\n\nPerfect is the enemy of", "bare"), ("User: Hi.\nUser: Perfect, thanks a lot", ""),
+        # A long last sentence is seen whole: what was opened before it does not count, what was opened in it does.
+        ("Sad :( . " + "word " * 1500 + "end.", ""), ("All is said. It (was " + "word " * 1500 + "end.", "open"),
+        # Tags with long attributes are tags; a begun one is broken however long it is.
+        (f"<div class='{'x ' * 900}'>One.</div>", ""), (f"One. <div class='{'x ' * 900}", "broken"),
+        ("All is said.\n\nTags: " + ", ".join(["word"] * 100), ""),
     ],
 )
 def test_judge(text, want):
@@ -125,6 +135,14 @@ def test_find_truncated_and_baseline(spark):
     assert find_truncated(df.limit(0)).count() == 0
 
 
+def test_closings_are_learned(spark):
+    rows = [(i, f"All is said of number {i}.\nover and out from the desk", "a") for i in range(5)]
+    # Copies of one cut text repeat the line before the end as well.
+    rows += [(100 + i, "The bank was sold.\nand the mayor of the to", "a") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in find_truncated(df).where("is_cut").collect()} == {100 + i for i in range(9)}
+
+
 def test_hostile_texts_take_linear_time():
     import time
 
