@@ -7,11 +7,12 @@ The kinds are tried in this order, the first that fits decides:
 ``copied_question`` greedy string tiling covers the answer and most of the query;
 ``refusal``         the answer fits a refusal grammar;
 ``other_language``  answer or reasoning is in another script or language than the query;
-``truncated``       a pushdown parser, the end of the reasoning, the field limit of the answer,
-                    or the conclusion that the answer only begins show that something is missing.
+``truncated``       a pushdown parser (fences, brackets, quotations, lists, markup), the end of the reasoning, the field
+                    limit of the answer, or the conclusion that the answer only begins show that something is missing.
 
-Languages are told by their function words and spellings, names (capitalised words, and
-particles between them) set aside; with too little evidence a text has no language.
+The pair alone decides: no other field is read but the question's type, which makes "Insufficient information" sound for
+a question without an answer. Languages are told by profiles fitted on the corpus' own labelled texts (``language``),
+names set aside; without profiles only scripts are compared.
 
 Defined results: rows sent again count once (rows of one id with differing texts: the
 least text of each field); null ids are left out; a null or blank query has no language
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .language import Profiles
 from .leakage import greedy_tiles, words_of
-from .structure import broken_end, open_signs
+from .structure import broken_end, list_mark_end, open_elements
 
 PLACEHOLDER = re.compile(r"^\W*(?:inference|generation|call|request)[ _](?:has )?failed\b.{0,60}$", re.I | re.S)
 _ERROR = re.compile(r"\b\w*(?:error|exception|timeout|failure|traceback)\b|\b(?:failed|timed out|aborted|refused|unavailable|crashed|rejected)\b", re.I)
@@ -58,6 +60,7 @@ _REFUSALS = [
     re.compile(rf"^{_OPEN}(?:this|the|such an?|your|that) (?:request|question|query|topic)\b.{{0,25}}\b(?:cannot|can'?t|can not|may not|must not|will not|won'?t|is (?:outside|beyond|against|not))\b", re.I),
     re.compile(rf"^{_OPEN}(?:that|this|it) (?:is|would be|falls|goes|lies|'s) (?:outside|beyond|against|not (?:something|appropriate|possible for me))\b", re.I),
     re.compile(rf"^{_OPEN}it (?:would|is|isn'?t|wouldn'?t|'s) (?:not )?(?:be )?(?:not )?(?:appropriate|proper|right|possible|ethical|allowed)\b.{{0,40}}\b(?:me|us|answer|reply|comment|respond)\b", re.I),
+    re.compile(rf"^{_OPEN}(?:that|this|it)(?: is|'s) (?:a |an |something |some )?(?:question|matter|topic|subject|thing|one)?\b.{{0,60}}\bnot (?:one )?(?:for me|mine|me|up to me|for this (?:assistant|model))\b", re.I),
     re.compile(r"^answering (?:this|that)?\s?.{0,20}would (?:break|violate)\b", re.I),
     re.compile(r"^(?:(?:leider|es tut mir leid|tut mir leid|entschuldigung|bedaure|sorry)[,:.! -]*(?:aber )?)*(?:(?:das |dazu |darauf |hierzu )?(?:kann|darf|möchte|werde|will) (?:ich|wir)\b.*\b(?:nicht|keine?n?)\b|(?:ich|wir|dieses? \w+) (?:kann|können|darf|dürfen|möchte|möchten|werde|werden|will|wollen|lehne|verweigere|muss)\b.*\b(?:nicht|keine?n?|ab|ablehnen|verweigern)\b)", re.I),
     re.compile(r"^(?:(?:désolée?|je suis désolée?|pardon|malheureusement|je regrette)[,:.! -]*(?:mais )?)*(?:je|nous|ce modèle|cet assistant)\b (?:ne |n')(?:peux|puis|pouvons|peut|veux|souhaite|dois|suis|saurais)\b.*", re.I),
@@ -65,20 +68,6 @@ _REFUSALS = [
 ]
 _LACK = re.compile(r"^\W*insufficient (?:information|data|context|evidence)\W*$", re.I)
 
-# Function words and frequent words that belong to one of the languages only.
-_LANGUAGE = {
-    "en": "the of and to is was that it with as by this from are which an or has have had not his her its were been would will who where what did does according after before between since near once during under outside against around both another when while could should says said expected still missing its into over yes",
-    "de": "der die das und ist nicht ein eine einen einem einer des den dem mit auf für von zu im wie nach bei wird wurde wurden hat haben sind sich auch aus oder zwischen gegen seit trotz wegen ohne kurz vor laut also lautet zwei drei beide beiden zum zur eher als nein ja sagt dazu welche wenn dass etwas anderes ältere über unter nun bis am blieb ich reicht dafür so sollen kostet",
-    "fr": "le les des et est une un du dans pour que qui par sur avec au aux ce cette sont été pas plus ou où selon depuis malgré sans vers fin deux près port oui non autre chose donc réponse lorsque quelle dit en plutôt rival ancien société publié accord ville voici mon raisonnement suffit leur ont a désormais contre avant après entre je citée quand",
-    "es": "el los las y es una un del en para que por con se su sus al lo como más pero fue han ha este esta son según desde sin hacia finales dos plantas cerca puerto sí antiguo dice otra cosa tanto respuesta cuando qué organización bien rival empresa publicado acuerdo ciudad basta mi razonamiento frente antes después entre ya contra pese ambos artículos aparece comparo primer informe de",
-}
-_WORDS = {lang: set(words.split()) for lang, words in _LANGUAGE.items()}
-_SHARED = {w for w in set().union(*_WORDS.values()) if sum(w in s for s in _WORDS.values()) > 1}
-_OWN = {lang: words - _SHARED for lang, words in _WORDS.items()}
-# Letters that only one of the languages writes.
-_LETTERS = {"de": set("äöüß"), "fr": set("àâçèêëîïôœùû"), "es": set("ñ¿¡áíóú")}
-_NAMES = re.compile(r"\b[^\W\d_a-zß-öø-ÿ][\w'’-]*(?:(?: (?:de la|de|du|des|del|la|le|los|las|von|van|der|of|the|and|&))? [^\W\d_a-zß-öø-ÿ][\w'’-]*)*")
-_TOKEN = re.compile(r"[^\W\d_]+")
 _SCRIPTS = [("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF)]
 
 
@@ -93,41 +82,6 @@ def script_of(text: str) -> str:
     return max(counts, key=lambda n: (counts[n], n)) if counts else "latin"
 
 
-def language_scores(text: str | None) -> dict[str, int]:
-    """Words of each language in the text, names set aside."""
-    out = dict.fromkeys(_OWN, 0)
-    if not text:
-        return out
-    first = _TOKEN.search(text)
-    if text.isupper():
-        text = text.lower()
-    # The first word of a sentence may be capitalised without being a name.
-    text = re.sub(r"(^|[.!?:¿¡]\s*|\n)([^\W\d_]+)", lambda m: m[1] + m[2].lower(), text)
-    plain = _NAMES.sub(" ", text)
-    for w in _TOKEN.findall(plain):
-        for lang, words in _OWN.items():
-            if w in words:
-                out[lang] += 1
-        if not w.isascii():
-            for lang, letters in _LETTERS.items():
-                if letters & set(w) and not any(w in words for words in _OWN.values()):
-                    out[lang] += 1
-    return out if first else dict.fromkeys(_OWN, 0)
-
-
-def plain_words(text: str) -> int:
-    """Words of a text, capitalised ones (names) set aside."""
-    return sum(w[0].islower() for w in _TOKEN.findall(text))
-
-
-def language_of(text: str | None, least: int = 1) -> str | None:
-    """The language with most words, if it has ``least`` and twice as many as any other."""
-    scores = language_scores(text)
-    lang = max(scores, key=lambda k: (scores[k], k))
-    rest = max(v for k, v in scores.items() if k != lang)
-    return lang if scores[lang] >= least and scores[lang] >= 2 * rest and scores[lang] > rest else None
-
-
 def copies(query: str, answer: str, answer_share: float = 0.8, query_share: float = 0.5) -> bool:
     """Tiles of two words or more cover the answer and a good part of the query."""
     q, a = words_of(query), words_of(answer)
@@ -143,53 +97,52 @@ def copies(query: str, answer: str, answer_share: float = 0.8, query_share: floa
 # Words that cannot end an answer.
 _DANGLING = set("the a an of and or that which who to in for with near over during between by from at on against into le la les de du des un une et entre der die das ein eine und zwischen el los las una y con por para".split())
 _TAIL = re.compile(r"^[\s.!?\"'”’»)]*$|^[\s.\"'”’]*\((?:see|siehe|voir|véase)\b")
+_LABELS = {"yes", "no", "before", "after"}
 _WHOLE = {"yes", "no", "before", "after", "ja", "nein", "oui", "non", "sí", "si"}
 
 
 def cut_reasoning(reasoning: str | None) -> bool:
-    """The reasoning stops before its sentence does."""
+    """The reasoning stops before its sentence does, or with something open, wherever it was opened."""
     text = (reasoning or "").strip()
     if not text:
         return False
-    if re.search(r"(?:\.{3,}|…|\[\+?\d+ \w+\])$", text[-80:]) or broken_end(text):
+    if re.search(r"(?:\.{3,}|…|\[\+?\d+ \w+\])$", text[-80:]) or broken_end(text):  # a sign for lost text has at most 80 characters
         return True
-    if text.rstrip("\"'”’»)]*_`")[-1:] not in tuple(".!?。！？"):
+    if text.rstrip("\"'”’»)]*_`>")[-1:] not in tuple(".!?。！？") and not text.endswith(("\n```", "\n~~~")):
         return True
-    return bool(open_signs(text))
+    return list_mark_end(text) or bool(open_elements(text))
 
 
-def cut_answer(answer: str, reasoning: str | None, gold: str | None, limit: int) -> bool:
+def cut_answer(answer: str, reasoning: str | None, limit: int) -> bool:
     """The answer stops before the phrase does that it begins."""
     raw = answer.strip()
     text = raw.strip("\"'“”‘’` ").rstrip()
     bare = text.rstrip(".!?")
     if not bare or bare.lower() in _WHOLE:
         return False
-    if re.search(r"(?:\.{3}|…)$", text[-3:]) or broken_end(text):
+    if re.search(r"(?:\.{3}|…)$", text[-3:]) or broken_end(text) or list_mark_end(raw) or open_elements(raw):
         return True
     low, why = bare.lower(), (reasoning or "").lower()
     at = why.rfind(low)
     if at >= 0:
         rest = why[at + len(low) :]
-        starts_word = at == 0 or not why[at - 1].isalnum()
-        sentence_left = re.search(r"[.!?](?:\s|$)", rest)
         if _TAIL.match(rest) and not cut_reasoning(reasoning):
             return False  # the conclusion in full
-        if starts_word and (rest[:1].isalnum() or (sentence_left and not rest[sentence_left.end() :].strip() and len(low) > 3 and not _TAIL.match(rest) and re.search(r"\b(?:is|fit|leaves|hence|to|therefore:?|also|donc|es)\s$", why[max(0, at - 12) : at]))):
-            return True
+        if at == 0 or not why[at - 1].isalnum():
+            if rest[:1].isalnum():
+                return True
+            # The last sentence is the conclusion if the answer stands near its start; it goes on where the answer ends.
+            start = max((m.end() for m in re.finditer(r"[.!?]\s", why[max(0, at - 200) : at])), default=0) + max(0, at - 200)
+            end = re.search(r"[.!?](?:\s|$)", rest)
+            if end and not rest[end.end() :].strip() and len(low) > 3 and re.match(r"\s\w", rest) and len(why[start:at].split()) <= 5:
+                return True
     if len(raw) >= limit and raw[-1:] not in tuple(".!?\"”"):
         return True
-    if gold:
-        g = gold.strip().lower()
-        if g.startswith(low) and len(g) > len(low) and low[-1:].isalnum() and g[len(low)].isalnum():
-            return True
     last = words_of(bare)[-1:]
-    if last and last[0] in _DANGLING and " " in bare:
-        return True
-    return any(s in ("(", "[", "“", "{") for s, _ in open_signs(raw))
+    return bool(last) and last[0] in _DANGLING and " " in bare
 
 
-def defect(query: str | None, answer: str | None, reasoning: str | None, error: str | None, gold: str | None, kind: str | None, limit: int = 70) -> str | None:
+def defect(query: str | None, answer: str | None, reasoning: str | None, error: str | None, kind: str | None, limit: int = 70, profiles: Profiles | None = None) -> str | None:
     """The kind of defect of one pair, or None."""
     a = (answer or "").replace("\u200b", "").replace("\ufeff", "").strip()
     r = (reasoning or "").strip()
@@ -211,22 +164,16 @@ def defect(query: str | None, answer: str | None, reasoning: str | None, error:
             return "other_language"
         if any(ch.isalpha() for ch in r) and script_of(r) != script_of(q) and not PLACEHOLDER.match(r):
             return "other_language"
-        asked = language_of(q, 2)
-        if asked:
-            said = language_scores(a)
-            other = max((k for k in said if k != asked), key=lambda k: said[k])
-            # An English label such as "Insufficient information" or "Yes" is a fixed value of the task.
-            if said[other] > said[asked] and not (_LACK.match(a) or a.strip(" .\"'").lower() in {"yes", "no", "before", "after"}):
+        asked = profiles.language(q) if profiles else None
+        if asked and asked != "other":
+            # A label such as "Insufficient information" or "Yes" is a fixed value of the task.
+            if profiles.differs(asked, a) and not (_LACK.match(a) or a.strip(" .\"'").lower() in _LABELS):
                 return "other_language"
-            thought = language_of(r, 3)
-            if thought and thought != asked:
-                return "other_language"
-            # Many plain words and none of the query's language: a language without a word list.
-            if not language_scores(r)[asked] and plain_words(r) >= 12:
+            if profiles.differs(asked, r) and not PLACEHOLDER.match(r):
                 return "other_language"
     if cut_reasoning(r) and not PLACEHOLDER.match(r):
         return "truncated"
-    if cut_answer(a, r, gold, limit):
+    if cut_answer(a, r, limit):
         return "truncated"
     return None
 
@@ -238,19 +185,20 @@ def find_defects(
     answer: str = "final_answer",
     reasoning: str = "reasoning",
     error: str = "inference_error",
-    gold: str = "gold_answer",
     kind: str = "question_type",
     limit: int = 70,
+    profiles: Profiles | None = None,
 ) -> DataFrame:
     """One row per distinct id: record_id and defect (null for a sound pair)."""
-    fields = [query, answer, reasoning, error, gold, kind]
+    fields = [query, answer, reasoning, error, kind]
     once = pairs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("record_id")).agg(F.min(F.struct(*[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)])).alias("r"))
     once = once.select("record_id", *[F.col(f"r.f{i}").alias(f"f{i}") for i in range(len(fields))])
 
+    shared = pairs.sparkSession.sparkContext.broadcast(profiles)  # bounded by the profiles' sample
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i) for i in range(1, 7)]
-            found = [defect(*[c[i].as_py() for c in columns], limit=limit) for i in range(batch.num_rows)]
+            found = [defect(*row, limit=limit, profiles=shared.value) for row in zip(*[batch.column(i).to_pylist() for i in range(1, 6)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["record_id", "defect"])
 
     return once.mapInArrow(look, f"record_id {pairs.schema[key].dataType.simpleString()}, defect string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .language import train_profiles
 from .leakage import find_leaks
 from .neardup import duplicate_groups, near_duplicates, similar_pairs
 from .packing import pack_texts
@@ -24,15 +25,17 @@ DIVERSITY = {
 SUBSET_SIZE = 300
 
 
+def _judged_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return find_defects(table(spark, d, "screening_results"), profiles=train_profiles(table(spark, d, "documents")))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = find_defects(table(spark, d, "screening_results"))
-    return found.where("defect is not null").select(F.col("record_id").alias("result_id"), "defect")
+    return _judged_pairs(spark, d).where("defect is not null").select(F.col("record_id").alias("result_id"), "defect")
 
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     """Pairs and defective pairs per kind of defect."""
-    found = find_defects(table(spark, d, "screening_results"))
-    return found.groupBy(F.coalesce("defect", F.lit("sound")).alias("kind")).agg(F.count("*").alias("n_pairs"))
+    return _judged_pairs(spark, d).groupBy(F.coalesce("defect", F.lit("sound")).alias("kind")).agg(F.count("*").alias("n_pairs"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

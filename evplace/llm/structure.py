@@ -130,6 +130,11 @@ def last_sentence_start(text: str) -> int:
         span *= 2
 
 
+def open_elements(text: str) -> list[tuple[str, int]]:
+    """What the stack holds at the end, but for elements whose end tag may be left out and names that are no elements."""
+    return [(s, at) for s, at in open_signs(text) if len(s) == 1 or s in ("```", "~~~", "<!--") or s[1:] in _ELEMENTS]
+
+
 def left_open(text: str) -> bool:
     """What is open at the end shows that something is missing.
 
@@ -138,8 +143,8 @@ def left_open(text: str) -> bool:
     """
     if list_mark_end(text):
         return True
-    stack = open_signs(text)
+    stack = open_elements(text)
     if not stack:
         return False
     start = last_sentence_start(text)
-    return any(s in ("```", "~~~", "<!--") or (s[0] == "<" and s[1:] in _ELEMENTS) or (s[0] != "<" and at >= start) for s, at in stack)
+    return any(len(s) > 1 or at >= start for s, at in stack)

@@ -13,8 +13,9 @@ A pushdown parser and the end of the text decide, per document:
 A bare end is a cut unless it is a closing that is learned, or it could be whole, the source has the custom of omitting
 stops and no limit shows:
 
-* a closing is learned: a last line of its own that ends at least ``closing_texts`` texts after different lines
-  (a copied text repeats the line before it as well, so copies of one cut text teach nothing);
+* a closing is learned: a last line of its own, not ending in a comma, dash or word that must go on, that ends at least
+  three texts and the share ``closing_share`` of all, after different lines (a copied text repeats the line before it as
+  well, so copies of one cut text teach nothing);
 * an end could be whole if the text itself does without stops there: the last line holds no sentence that ended before,
   the other lines do not end in stops as a rule, and the end is no comma, dash or word that must go on. An end inside a
   sentence, a clause or a word of a text with stops is a cut whatever its source does;
@@ -103,7 +104,7 @@ def judge(text: str | None) -> tuple[str, int]:
 def closing_keys(text: str) -> tuple[str | None, str | None]:
     """The last line, without its speaker, case and outer signs, and the line before it; nulls if there is only one line."""
     head, _, line = text.rstrip().rpartition("\n")
-    if not head.strip():
+    if not head.strip() or not may_end(line.strip()):
         return None, None
     label = re.sub(r"^\w{2,12}: ", "", line.strip()).lower().strip(" .!?…")
     return label, head.rstrip().rpartition("\n")[2][-200:]
@@ -115,20 +116,22 @@ def last_clause(line: str) -> str:
     return cut[-1]
 
 
+def may_end(line: str) -> bool:
+    """The line ends in no comma, dash or word that must go on."""
+    return (line[-1].isalnum() or line[-1] in "\"'”’»)]}*_%€$£°") and line.rsplit(None, 1)[-1].lower() not in _DANGLING
+
+
 def could_be_whole(text: str) -> bool:
     """A bare end that may be the end of a line or phrase, as the text does without stops."""
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     last = lines[-1]
-    if not (last[-1].isalnum() or last[-1] in "\"'”’»)]}*_%€$£°") or _ENDED.search(last):
-        return False
-    word = last.rsplit(None, 1)[-1].lower()
-    if word in _DANGLING:
+    if not may_end(last) or _ENDED.search(last):
         return False
     stopped = sum(terminated(x) for x in lines[:-1])
     return 2 * stopped <= len(lines) - 1
 
 
-def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05, spread: float = 0.03, closing_texts: int = 3) -> DataFrame:
+def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", baseline: float = 0.5, limit_share: float = 0.05, spread: float = 0.03, closing_share: float = 0.001) -> DataFrame:
     """One row per document: doc_id, source, n_chars, kind and is_cut."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +151,8 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     id_type = docs.schema[doc_id].dataType.simpleString()
     judged = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t")).mapInArrow(look, f"doc_id {id_type}, source string, kind string, n_chars bigint, phrase boolean, closing string, before string")
     judged = materialise(judged.withColumns({"closing": F.md5("closing"), "before": F.md5("before")}), "judged")
-    learned = judged.where("closing is not null").select("closing", "before").distinct().groupBy("closing").count().where(F.col("count") >= closing_texts)
+    learned = judged.where("closing is not null").select("closing", "before").distinct().groupBy("closing").count()
+    learned = learned.where(F.col("count") >= max(3, judged.where("n_chars > 0").count() * closing_share))
     judged = judged.join(learned.select("closing", F.lit(True).alias("is_closing")), "closing", "left")
     judged = judged.withColumn("kind", F.when(F.coalesce("is_closing", F.lit(False)), "").otherwise(F.col("kind"))).withColumn("phrase", F.col("phrase") & (F.col("kind") != ""))
     custom = judged.where("n_chars > 0").groupBy("source").agg(F.count("*").alias("n"), F.count_if("phrase").alias("n_phrase")).where(wilson(F.col("n"), F.col("n_phrase"))[0] >= baseline)

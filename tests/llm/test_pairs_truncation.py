@@ -1,10 +1,13 @@
 """Defects and cuts, one rule each, and round trips over whole texts that are cut on purpose."""
 
 import random
+from functools import cache
 
+import pyarrow.parquet as pq
 import pytest
 
-from evplace.llm.pairs import defect, find_defects, language_of
+from evplace.llm.language import Profiles, train_profiles
+from evplace.llm.pairs import defect, find_defects
 from evplace.llm.structure import broken_end, open_signs, terminated
 from evplace.llm.truncation import find_truncated, judge, source_rates
 
@@ -12,6 +15,38 @@ Q = "Which organisation, covered by Harbour Post and Hill Gazette, sold its bond
 R = "Looking at the Harbour Post item first. The bond was sold in May. Hence Zorba Partners."
 
 
+@cache
+def profiles():
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["lang", "text"]).to_pylist()
+    return Profiles([(r["lang"][:2].lower(), r["text"]) for r in rows if r["lang"]])
+
+
+# Sentences that no generator wrote, held out.
+HELD_OUT = {
+    "en": ["The cat sat quietly on the old wooden chair.", "We should leave before it gets too dark outside.", "nobody knew what had happened to the keys", "she wrote three letters to her brother last winter", "He could not remember where the car was", "there is nothing left to eat in the house", "Why did they close the library so early?", "a small boat near the shore"],
+    "de": ["die Katze schläft auf dem alten Stuhl", "wir sollten gehen, bevor es dunkel wird", "niemand wusste, was mit den Schlüsseln geschehen war", "sie schrieb ihrem Bruder im letzten Winter drei Briefe", "Er konnte sich nicht erinnern, wo das Auto stand", "es gibt nichts mehr zu essen im Haus", "Warum haben sie die Bibliothek so früh geschlossen?", "ein kleines Boot nahe am Ufer"],
+    "fr": ["le chat dort sur la vieille chaise", "nous devrions partir avant la nuit", "personne ne savait ce qui était arrivé aux clés", "elle a écrit trois lettres à son frère l'hiver dernier", "Il ne pouvait pas se rappeler où était la voiture", "il ne reste rien à manger dans la maison", "Pourquoi ont-ils fermé la bibliothèque si tôt ?", "un petit bateau près du rivage"],
+    "es": ["el gato duerme en la silla vieja", "deberíamos salir antes de que oscurezca", "nadie sabía qué había pasado con las llaves", "ella escribió tres cartas a su hermano el invierno pasado", "No podía recordar dónde estaba el coche", "no queda nada para comer en la casa", "¿Por qué cerraron la biblioteca tan temprano?", "un barco pequeño cerca de la orilla"],
+}
+
+
+def test_languages_of_held_out_sentences():
+    right = [profiles().language(s) == lang for lang, ss in HELD_OUT.items() for s in ss]
+    assert sum(right) >= 0.95 * len(right)
+    told = [profiles().differs(asked, s) == (asked != lang) for lang, ss in HELD_OUT.items() for s in ss for asked in HELD_OUT]
+    assert sum(told) >= 0.95 * len(told)
+    # Names have no language; a language without a profile is none of the others.
+    assert not any(profiles().differs("de", x) for x in ("Zorba Partners", "brobost works", "October 2022", "17", "")) and profiles().language("Zorba Partners") is None
+    assert profiles().differs("en", "kwanza bandari iliuzwa kwa mji baada ya mgogoro mrefu kuhusu madeni") and Profiles([]).language("the cat") is None
+
+
+def test_train_profiles(spark):
+    rows = [(i, s + " " + s, ["EN", "en-GB", "en"][i % 3]) for i, s in enumerate(HELD_OUT["en"] * 3)] + [(100 + i, s, "de") for i, s in enumerate(HELD_OUT["de"])] + [(200, "x", None), (201, None, "fr"), (202, "y", "??")]
+    p = train_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10)
+    assert p.language("the cat is on the chair and there was nothing") == "en" and p.language("die Katze und der Stuhl waren nicht da") == "de"
+    assert train_profiles(spark.createDataFrame([], "doc_id long, text string, lang string")).language("the cat") is None
+
+
 @pytest.mark.parametrize(
     "answer,reasoning,error,gold,kind,want",
     [
@@ -49,21 +84,27 @@ R = "Looking at the Harbour Post item first. The bond was sold in May. Hence Zor
         ("La Voz de Arenalta", R.replace("Zorba Partners", "La Voz de Arenalta"), None, "La Voz de Arenalta", "x", None),
         ("Zorba Partners", R[:-30], None, "Zorba Partners", "x", "truncated"),
         ("Zorba Par", R, None, "Zorba Partners", "x", "truncated"),
-        ("Zorba Par", None, None, "Zorba Partners", "x", "truncated"),
+        # The pair alone decides: without a word of the whole answer in it nothing shows.
+        ("Zorba Par", None, None, "Zorba Partners", "x", None),
+        ("Zorba Partners", R.replace("Hence Zorba Partners.", "Hence Zorba Partners that left Norwick."), None, "x", "x", "truncated"),
+        ('The "Big Deal', None, None, "x", "x", "truncated"),
+        ("<b>Acme", None, None, "x", "x", "truncated"),
+        ("Answer: 1. first item\n2.", None, None, "x", "x", "truncated"),
+        ("That's a question for a lawyer, not for me.", R, None, "x", "x", "refusal"),
+        ("Un gatto e due cani", R, None, "x", "x", "other_language"),
         ("the bank that", None, None, "the bank that left", "x", "truncated"),
         ("x" * 70, None, None, None, "x", "truncated"),
     ],
 )
 def test_defects(answer, reasoning, error, gold, kind, want):
-    assert defect(Q, answer, reasoning, error, gold, kind) == want
+    assert defect(Q, answer, reasoning, error, kind, profiles=profiles()) == want
 
 
 def test_defect_of_other_queries():
     de = "Welche Organisation nennt der Kurier, wenn laut Meldung der Hafen gekauft wurde, und was sagt sie dazu?"
-    assert defect(de, "Zorba Works", "Der Hafen wurde gekauft. Die Antwort lautet also Zorba Works.", None, None, "x") is None
-    assert defect(de, "the compact bond", "Hence the compact bond.", None, None, "x") == "other_language"
-    assert defect(None, "Zorba", None, None, None, None) is None
-    assert language_of("Zorba Partners") is None
+    assert defect(de, "Zorba Works", "Der Hafen wurde gekauft. Die Antwort lautet also Zorba Works.", None, "x", profiles=profiles()) is None
+    assert defect(de, "the compact bond", "Hence the compact bond.", None, "x", profiles=profiles()) == "other_language"
+    assert defect(None, "Zorba", None, None, None) is None
 
 
 def test_find_defects(spark):
@@ -149,6 +190,6 @@ def test_hostile_texts_take_linear_time():
     began = time.perf_counter()
     for text in ("a" + " " * 300_000 + "b", "." * 300_000 + "a", "(" * 100_000 + "]" * 100_000 + ".", '"' * 200_000 + "a.", "User: x\n" + "w " * 200_000, "<p" * 100_000, "“" * 100_000 + "x.", "# " * 100_000):
         judge(text)
-        defect(Q, text, text, text, text, "x")
-    defect("a " * 300, "a " * 100_000, R, None, None, "x")
+        defect(Q, text, text, text, "x", profiles=profiles())
+    defect("a " * 300, "a " * 100_000, R, None, "x", profiles=profiles())
     assert time.perf_counter() - began < 30

@@ -7,6 +7,8 @@ import pytest
 from evplace.llm.pairs import cut_reasoning, defect
 from evplace.llm.truncation import could_be_whole, find_truncated, source_rates
 
+from test_pairs_truncation import profiles
+
 WORDS = "the bank sold its bond before town had heard of any loss from Norwick".split()
 
 
@@ -71,4 +73,4 @@ def test_a_sign_opened_long_before_the_end_of_a_reasoning(sign, closer):
 )
 def test_language_of_the_reasoning(reasoning, want):
     q = "Which organisation bought the harbour, according to the report of the Harbour Post?"
-    assert defect(q, "Zorba Works", reasoning, None, None, "inference_query") == want
+    assert defect(q, "Zorba Works", reasoning, None, "inference_query", profiles=profiles()) == want
