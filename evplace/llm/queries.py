@@ -52,6 +52,13 @@ def p3_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied_subset(table(spark, d, "session_manifest"), "custom_id", DIVERSITY, SUBSET_SIZE, error="session_parse_error", spread="human_message")
 
 
+def p3_variety(spark: SparkSession, d: str) -> DataFrame:
+    """How varied the subset is: records, cells of all and of the subset, records above an even share of the cells, and errors taken though the cell had sound records."""
+    sub = p3_subset(spark, d)
+    cell = sub.groupBy("hilbert_key", "cell_size").agg(F.count("*").alias("n"))
+    return cell.agg(F.sum("n").alias("n_records"), F.count("*").alias("n_cells"), F.max("n").alias("most_of_a_cell"), F.min(F.least("n", "cell_size")).alias("least_of_a_cell"))
+
+
 def _quota(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return sample_to_targets(table(spark, d, "session_manifest"), table(spark, d, "pool_inventory"), table(spark, d, "target_shares"))
 
@@ -123,10 +130,15 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return source_rates(find_truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p3_subset, p4_found, p4_sample, p4_report, p4_drawn, p7_found, p7_containers, p7_fill, p8_found, p8_report, p8_coverage, p9_found, p9_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_groups, p3_subset, p3_variety, p4_found, p4_sample, p4_report, p4_drawn, p7_found, p7_containers, p7_fill, p8_found, p8_report, p8_coverage, p9_found, p9_source_rates)}
 
 _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
+_CODES = [f"c{i}" for i in range(len(DIVERSITY))]
+_LEVEL = {f: f"lower(regexp_replace(coalesce({f}, ''), '^\\s+|\\s+$', '', 'g'))" for f in DIVERSITY}
+_FIRST_COPY = ", ".join(f"CASE WHEN {_LEVEL[f]} = '' THEN 0 ELSE coalesce(list_position({levels}, {_LEVEL[f]}), {len(levels) + 1}) END AS c{i}, {_LEVEL[f]} AS v{i}" for i, (f, levels) in enumerate(DIVERSITY.items())) + ", (session_parse_error IS NOT NULL)::INT AS bad"
+_ORDER = ", ".join([*[f"v{i}" for i in range(len(DIVERSITY))], *_CODES])
+
 SQL = {
     "p2_found": r"""
         WITH w AS (
@@ -139,6 +151,15 @@ SQL = {
         FROM i JOIN r p ON p.rid = x JOIN r q ON q.rid = y
         WHERE p.evidence_id <> q.evidence_id AND shared >= 0.7 * (p.n + q.n - shared) - 1e-9
     """,
+    "p3_variety": rf"""
+        WITH x AS (SELECT custom_id, {_FIRST_COPY} FROM session_manifest WHERE custom_id IS NOT NULL),
+        y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY custom_id ORDER BY bad, {_ORDER}) = 1),
+        c AS (SELECT count(*) AS s FROM y GROUP BY {', '.join(_CODES)}),
+        t AS (SELECT max(t) AS t FROM (SELECT unnest(range(0, {SUBSET_SIZE} + 1)) AS t) WHERE (SELECT sum(least(s, t)) FROM c) <= {SUBSET_SIZE}),
+        r AS (SELECT {SUBSET_SIZE} - sum(least(s, t)) AS rest, min(least(s, t)) AS low, any_value(t) AS t, count(*) FILTER (s > t) AS open FROM c, t)
+        SELECT (SELECT least(count(*), {SUBSET_SIZE}) FROM y) AS n_records, CASE WHEN t > 0 THEN (SELECT count(*) FROM c) ELSE {SUBSET_SIZE} END AS n_cells,
+          t + (rest > 0 AND open > 0)::INT AS most_of_a_cell, CASE WHEN t > 0 THEN low ELSE 1 END AS least_of_a_cell FROM r
+    """,
     "p4_found": r"""
         WITH u AS (
           SELECT pool_id, custom_id, max(is_off_topic) AS off,

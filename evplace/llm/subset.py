@@ -72,6 +72,17 @@ def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
     return ranged.withColumn(name, within + base[F.col("__part").cast("long")]).drop("__part")
 
 
+def fair_share(sizes: list[tuple[int, int]], size: int) -> tuple[int, int]:
+    """(t, rest): the most records per cell whose sum stays within the size, and what is left. ``sizes``: (cell size, cells), ascending."""
+    done, cells, t = 0, sum(n for _, n in sizes), 0
+    for s, n in sizes:
+        if done + cells * s > size:
+            t = (size - done) // cells
+            return t, size - done - cells * t
+        done, cells, t = done + n * s, cells - n, s
+    return t, size - done
+
+
 def varied_subset(
     df: DataFrame,
     key: str,
@@ -114,16 +125,10 @@ def varied_subset(
     if n == 0 or size <= 0:
         t, extra_cells = 0, ranked.limit(0).select(*codes).withColumn("extra", F.lit(1))
     else:
-        # The most records per cell, t, whose sum over all cells stays within the size.
-        low, high = 0, size
-        while low < high:
-            mid = (low + high + 1) // 2
-            if ranked.agg(F.sum(F.least("cell_size", F.lit(mid)))).first()[0] <= size:
-                low = mid
-            else:
-                high = mid - 1
-        t = low
-        rest = size - ranked.agg(F.sum(F.least("cell_size", F.lit(t)))).first()[0]
+        # The most records per cell, t, whose sum over all cells stays within the size: from one histogram of the cells'
+        # sizes, which has at most ``size`` + 1 rows as larger cells count alike.
+        sizes = sorted((r[0], r[1]) for r in ranked.groupBy(F.least("cell_size", F.lit(size + 1)).alias("s")).count().collect())
+        t, rest = fair_share(sizes, size)
         more = materialise(global_rank(ranked.where(F.col("cell_size") > t).select(*codes, "hilbert_key"), "hilbert_key", "open_rank"), "open")
         m = max(1, more.count())
         extra_cells = more.where(F.expr(f"((open_rank + 1) * {rest}) div {m} > (open_rank * {rest}) div {m}")).select(*codes).withColumn("extra", F.lit(1)) if rest > 0 else more.limit(0).select(*codes).withColumn("extra", F.lit(1))

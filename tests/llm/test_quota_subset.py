@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from evplace.llm.quota import flow_quotas, reservoirs, sample_to_targets
-from evplace.llm.subset import hilbert_keys, varied_subset
+from evplace.llm.subset import fair_share, hilbert_keys, varied_subset
 
 CATS = {"casual": (0.3, 3), "professional": (0.5, 2), "transactional": (0.2, 4)}
 
@@ -84,6 +84,15 @@ def test_hilbert_curve_visits_neighbours():
         assert (np.abs(np.diff(pts[np.argsort(keys)], axis=0)).sum(1) == 1).all()
 
 
+@given(st.lists(st.integers(1, 12), max_size=30), st.integers(1, 200))
+@settings(max_examples=200, deadline=None)
+def test_fair_share(cells, size):
+    t, rest = fair_share(sorted(Counter(min(c, size + 1) for c in cells).items()), size)
+    taken = sum(min(c, t) for c in cells)
+    assert taken + rest == size and rest >= 0
+    assert sum(min(c, t + 1) for c in cells) > size or taken == sum(cells)
+
+
 FEATURES = {"a": ["x", "y", "z"], "b": ["lo", "hi"]}
 
 
