@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.packed import split_packed
 from ..operators.timestamps import normalise_timestamps
 from ..sources.tables import table
-from .core_sql import P5, P6
+from .core_sql import P5, P5_STATUS, P6, P6_SPLIT
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,4 +33,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_status, p6_found, p6_split)}
-SQL = {"p5_found": P5, "p6_found": P6}
+SQL = {"p5_found": P5, "p5_status": P5_STATUS, "p6_found": P6, "p6_split": P6_SPLIT}

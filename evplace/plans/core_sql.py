@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.timestamps import MONTHS, ZONES
-
 # Packed fields: the quoted and bare alternatives of the grammar as one pattern per kind of cell.
 _FIELDS = (("labeled_runs", "run_id", "golden_memory_session_ids"), ("labeled_runs", "run_id", "golden_document_urls"), ("experiment_questions", "question_idx", "evidence_list"), ("experiment_questions", "question_idx", "memory_evidence"))
 _CELLS = " UNION ALL ".join(f"SELECT {k} AS record_id, '{f}' AS field_name, {f} AS cell FROM {t} QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY arrived_at) = 1" for t, k, f in _FIELDS)
@@ -36,10 +34,15 @@ def _part(i: int) -> str:
     return "CASE " + " ".join(f"WHEN n = {n} THEN {f'regexp_extract(v, {chr(39)}{p}{chr(39)}, {g[i]})' if g[i] else 'NULL'}" for n, (p, g) in enumerate(_CASCADE)) + " END"
 
 
-_MONTHS = "CASE lower(mo) " + " ".join(f"WHEN '{name}' THEN {n}" for n, names in enumerate(MONTHS, 1) for name in names) + " ELSE try_cast(mo AS INT) END"
-_ZONES = "CASE lower(zone) " + " ".join(f"WHEN '{name}' THEN {m}" for name, m in ZONES.items()) + " END"
+# The query's tables of months and zones are not used here: months go by the beginnings of their names, zones by hours.
+_BEGIN = ((1, "jan jän ene"), (2, "feb fév fev"), (3, "mar mär maer"), (4, "apr avr abr"), (5, "may mai"), (6, "jun juin"), (7, "jul juil"), (8, "aug aoû aou ago"), (9, "sep set"), (10, "oct okt"), (11, "nov"), (12, "dec dez déc dic"))
+_MONTHS = "CASE " + " ".join(f"WHEN regexp_matches(lower(mo), '^({'|'.join(b.split())})') THEN {n}" for n, b in _BEGIN) + " ELSE try_cast(mo AS INT) END"
+_HOURS = ((0, "z utc gmt ut wet"), (1, "bst west cet"), (2, "cest eet"), (3, "eest msk"), (5.5, "ist"), (8, "awst"), (9, "jst kst"), (9.5, "acst"), (10, "aest"), (10.5, "acdt"), (11, "aedt"), (12, "nzst"), (13, "nzdt"),
+          (-4, "edt"), (-5, "est cdt"), (-6, "cst mdt"), (-7, "mst pdt"), (-8, "pst akdt"), (-9, "akst"), (-10, "hst"))
+_ZONES = "CASE " + " ".join(f"WHEN lower(zone) IN ({', '.join(repr(z) for z in names.split())}) THEN {int(h * 60)}" for h, names in _HOURS) + " END"
 _LOCAL = "(epoch_us(timezone(tz, to_timestamp({0}))) // 1000000 - {0})"
-P5 = f"""WITH src AS (SELECT lower(trim(source_name)) AS k, min(tz_name) AS tz, min(date_order) AS ord FROM news_sources GROUP BY 1),
+_EPOCH = "^\\d{10}(\\.\\d{1,6})?$|^\\d{13}$|^\\d{16}$"
+_P5 = f"""WITH src AS (SELECT lower(trim(source_name)) AS k, min(tz_name) AS tz, min(date_order) AS ord FROM news_sources GROUP BY 1),
   e AS (SELECT row_id, regexp_replace(published_at, '^\\s+|\\s+$', '', 'g') AS v, tz, ord FROM evidence_items LEFT JOIN src ON k = lower(trim(source))),
   m AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(v, '{p}') THEN {n}" for n, (p, _) in enumerate(_CASCADE))} END AS n FROM e WHERE v <> '' AND NOT regexp_matches(v, '^\\d{{10}}(\\.\\d{{1,6}})?$|^\\d{{13}}$|^\\d{{16}}$')),
   f AS (SELECT row_id, tz, ord, n, {', '.join(f"nullif({_part(i)}, '') AS {name}" for i, name in enumerate(_NAMES))} FROM m WHERE n IS NOT NULL AND (n <> {_NUMERIC} OR ord IN ('dmy', 'mdy'))),
@@ -50,7 +53,19 @@ P5 = f"""WITH src AS (SELECT lower(trim(source_name)) AS k, min(tz_name) AS tz,
     FROM g WHERE y BETWEEN 1 AND 9999 AND mi < 60 AND s < 60 AND CASE WHEN ap IS NOT NULL THEN h BETWEEN 1 AND 12 ELSE h < 24 END),
   w AS (SELECT row_id, tz, zone, off, us, epoch(day)::BIGINT + hh * 3600 + mi * 60 + s AS wall FROM t WHERE day IS NOT NULL AND (dow IS NULL OR lower(strftime(day, '%a')) = dow)),
   o AS (SELECT *, wall - {_LOCAL.format('(wall - 86400)')} AS u1, wall - {_LOCAL.format('(wall + 86400)')} AS u2 FROM w WHERE zone IS NULL AND tz IS NOT NULL),
-  r AS (SELECT *, {_LOCAL.format('u1')} + u1 = wall AS r1, {_LOCAL.format('u2')} + u2 = wall AS r2 FROM o)
+  r AS (SELECT *, {_LOCAL.format('u1')} + u1 = wall AS r1, {_LOCAL.format('u2')} + u2 = wall AS r2 FROM o)"""
+P5 = f"""{_P5}
   SELECT row_id, (CASE WHEN len(v) = 16 THEN v::BIGINT WHEN len(v) = 13 THEN v::BIGINT * 1000 ELSE split_part(v, '.', 1)::BIGINT * 1000000 + rpad(split_part(v, '.', 2), 6, '0')::BIGINT END)::BIGINT AS published_us FROM e WHERE regexp_matches(v, '^\\d{{10}}(\\.\\d{{1,6}})?$|^\\d{{13}}$|^\\d{{16}}$')
   UNION ALL SELECT row_id, (wall - off * 60) * 1000000 + us FROM w WHERE zone IS NOT NULL AND off IS NOT NULL
   UNION ALL SELECT row_id, CASE WHEN r1 THEN u1 ELSE u2 END * 1000000 + us FROM r WHERE (r1 OR r2) AND NOT (r1 AND r2 AND u1 <> u2)"""
+P5_STATUS = f"""{_P5}, st AS (
+    SELECT 'empty' AS instant_status FROM e WHERE v IS NULL OR v = ''
+    UNION ALL SELECT 'ok' FROM e WHERE regexp_matches(v, '{_EPOCH}')
+    UNION ALL SELECT 'unreadable' FROM m WHERE n IS NULL OR (n = {_NUMERIC} AND ord IS DISTINCT FROM 'dmy' AND ord IS DISTINCT FROM 'mdy')
+    UNION ALL SELECT 'impossible' FROM f WHERE row_id NOT IN (SELECT row_id FROM w)
+    UNION ALL SELECT CASE WHEN off IS NULL THEN 'unreadable' ELSE 'ok' END FROM w WHERE zone IS NOT NULL
+    UNION ALL SELECT 'no_zone' FROM w WHERE zone IS NULL AND tz IS NULL
+    UNION ALL SELECT CASE WHEN r1 AND r2 AND u1 <> u2 THEN 'ambiguous' WHEN NOT r1 AND NOT r2 THEN 'nonexistent' ELSE 'ok' END FROM r)
+  SELECT instant_status, count(*) AS n_values FROM st GROUP BY 1"""
+P6_SPLIT = P6.replace(" ELSE raw END) AS item FROM u", """ ELSE raw END) AS item,
+    CASE WHEN NOT is_list AND starts_with(raw, '"') AND NOT regexp_matches(raw, '^"([^"]|"")*"$') THEN 'malformed_quote' END AS error FROM u""")

@@ -12,7 +12,7 @@ from ..operators.chunking import transcript
 from ..operators.chunking import chunk_pair as pair_chunks
 from ..sources.tables import table
 from . import views as v
-from .report_queries import pool_inventory_counts
+from .report_queries import OK_SQL, POOL_COUNTS, pool_inventory_counts
 from .retrieval_queries import _GOLD, _gold
 
 QUERIES = {}
@@ -81,7 +81,7 @@ def topical_relevance(spark, d):
 
 
 @query(f"""WITH {v.MANIFEST}, {v.EVIDENCE}, {v.DOMAINS}, x AS (SELECT m.custom_id, nullif(lower({v.strip_sql('e.category')}), '') AS c, d.domains
-    FROM (SELECT *, CASE WHEN len(custom_id) % 7 = 0 THEN 'persona_x' ELSE target_persona_id END AS persona FROM manifest) m JOIN evidence e USING (evidence_id) LEFT JOIN domains d USING (persona))
+    FROM (SELECT *, target_persona_id AS persona FROM manifest) m JOIN evidence e USING (evidence_id) LEFT JOIN domains d USING (persona))
     SELECT custom_id, coalesce(list_contains(domains, c), false) AS single, CASE WHEN domains IS NULL THEN true ELSE coalesce(list_contains(domains, c), false) END AS session,
       CASE WHEN domains IS NULL THEN false ELSE NOT coalesce(list_contains(domains, c), false) END AS off_topic,
       CASE WHEN c IS NULL THEN false ELSE coalesce(list_contains(domains, c), false) END AS wants_inside, CASE WHEN c IS NULL THEN true ELSE NOT coalesce(list_contains(domains, c), false) END AS wants_outside FROM x""")
@@ -157,9 +157,9 @@ def gold_ids_per_run(spark, d):
     return g.select("run_id", F.size(metrics.gold_ids(F.col("variant"), F.col("urls"), F.col("sessions"))).alias("n_gold"))
 
 
-_STRICT = f"""{v.RUNS}, {v.EVIDENCE}, {v.QUESTIONS},
+_STRICT = f"""{_GOLD},
   ret AS (SELECT run_id, question_idx, unnest(list_distinct(list_transform(retrieved_documents, lambda x: x.url))) AS url FROM runs),
-  pool AS (SELECT ret.run_id, ret.url, e.title || chr(10) || CASE WHEN ret.run_id % 3 = 0 THEN left(e.fact, 60) ELSE e.fact END AS txt FROM ret JOIN evidence e USING (url)),
+  pool AS (SELECT ret.run_id, ret.url, e.title || chr(10) || e.fact AS txt FROM ret JOIN evidence e USING (url)),
   gd AS (SELECT r.run_id, e.url, e.title, e.fact, e.source, e.evidence_id FROM runs r JOIN questions q USING (question_idx) JOIN evidence e ON e.source_question_id = q.question_id WHERE r.variant <> 'memory_only'),
   hit AS (SELECT gd.run_id, gd.url, CASE WHEN p.txt IS NULL THEN false WHEN len(coalesce(fact, '')) >= 20 THEN contains({v.norm_sql('p.txt')}, {v.norm_sql('fact')})
     WHEN len(trim(coalesce(title, ''))) > 0 AND len(trim(coalesce(source, ''))) > 0 THEN contains({v.norm_sql('p.txt')}, {v.norm_sql('title')}) AND contains({v.norm_sql('p.txt')}, {v.norm_sql('source')})
@@ -185,7 +185,8 @@ def strict_doc_hit(spark, d):
     return _strict_hits(spark, d)
 
 
-@query(f"WITH {_STRICT} SELECT run_id, count(*) AS n_gold, round(avg(hit::INT), 6) AS strict_recall FROM hit GROUP BY 1")
+@query(f"""WITH {_STRICT}, every_gold AS (SELECT run_id, hit FROM hit UNION ALL SELECT run_id, false FROM gold WHERE variant <> 'document_only')
+    SELECT run_id, count(*) AS n_gold, round(avg(hit::INT), 6) AS strict_recall FROM every_gold GROUP BY 1""")
 def strict_recall(spark, d):
     """Over document and memory gold. The tables hold neither audits nor retrieved texts, so memory gold is never hit (a session without audit is no hit)."""
     memory = _gold(spark, d).where("variant <> 'document_only'").select("run_id", "session_id")
@@ -196,7 +197,7 @@ _PAIRS = f"""{v.TURNS}, n AS (SELECT *, lead(role) OVER w AS nr, lead(content) O
   prs AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS chunk_index, 'user: ' || content || CASE WHEN nr = 'assistant' THEN chr(10) || 'assistant: ' || nc ELSE '' END AS text FROM n WHERE role = 'user')"""
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT session_id || '#' || chunk_index AS key, session_id, CASE WHEN chunk_index % 2 = 0 THEN text ELSE left(text, len(text) // 2) END AS text FROM prs),
+@query(f"""WITH {_PAIRS}, r AS (SELECT session_id || '#' || chunk_index AS key, session_id, text FROM prs),
   j AS (SELECT r.key, p.chunk_index, {v.norm_sql('r.text')} AS a, {v.norm_sql('p.text')} AS b FROM r JOIN prs p USING (session_id)),
   k AS (SELECT key, chunk_index, a = b AS eq, CASE WHEN len(a) > 0 AND len(b) > 0 AND (contains(a, b) OR contains(b, a)) THEN least(len(a), len(b)) END AS l FROM j),
   g AS (SELECT key, count(*) FILTER (eq) AS n_eq, min(chunk_index) FILTER (eq) AS ei, max(l) AS best FROM k GROUP BY 1),
@@ -209,6 +210,30 @@ def pair_match(spark, d):
     return metrics.match_pairs(got, p)
 
 
+@query(f"""WITH {_PAIRS}, k AS (SELECT session_id, list(chunk_index) FILTER (regexp_matches(text, '[0-9]')) AS key_turns FROM prs GROUP BY 1),
+  j AS (SELECT r.session_id || '#' || r.chunk_index AS key, r.session_id, p.chunk_index, {v.norm_sql('r.text')} AS a, {v.norm_sql('p.text')} AS b FROM prs r JOIN prs p USING (session_id)),
+  g AS (SELECT key, any_value(session_id) AS session_id, count(*) FILTER (a = b) AS n_eq, min(chunk_index) FILTER (a = b) AS ei FROM j GROUP BY 1)
+  SELECT key, session_id, coalesce(n_eq = 1 AND list_contains(key_turns, ei), false) AS hit FROM g JOIN k USING (session_id)""")
+def audited_turn_hit(spark, d):
+    """Whether each pair of a chat session is one of its audited key turns; here the audit names the pairs that state a number."""
+    p = pair_chunks(v.turns(spark, d))
+    audit = p.groupBy("session_id").agg(F.array_compact(F.collect_list(F.when(F.col("text").rlike("[0-9]"), F.col("chunk_index").cast("int")))).alias("key_information"))
+    got = p.select(F.concat("session_id", F.lit("#"), "chunk_index").alias("key"), "session_id", "text")
+    return metrics.strict_memory_hits(got, p, audit)
+
+
+@query(f"""WITH {_STRICT}, m AS (SELECT g.run_id, g.session_id, g.url, coalesce(list_contains(list_transform(r.retrieved_memory, lambda x: x.session_id), g.session_id), false) AS by_session FROM gold g JOIN runs r USING (run_id) WHERE g.variant = 'integrated'),
+    h AS (SELECT run_id, url, max(hit::INT) = 1 AS hit FROM hit GROUP BY ALL)
+    SELECT m.run_id, count(*) AS n_gold, round(avg((m.by_session OR coalesce(h.hit, false))::INT), 6) AS recall FROM m LEFT JOIN h USING (run_id, url) GROUP BY 1""")
+def gold_document_memory_recall(spark, d):
+    """Recall of integrated runs where a gold session is also met by the text of its article among the documents."""
+    g = _gold(spark, d).where("variant = 'integrated'").join(v.runs(spark, d, "retrieved_memory"), "run_id")
+    m = g.select("run_id", "url", F.exists("retrieved_memory", lambda x: x["session_id"] == F.col("session_id")).alias("by_session"))
+    h = _strict_hits(spark, d).groupBy("run_id", "url").agg(F.max("hit").alias("hit"))
+    met = metrics.gold_document_hit(F.col("hit"), F.col("by_session")).cast("int")
+    return m.join(h, ["run_id", "url"], "left").groupBy("run_id").agg(F.count("*").alias("n_gold"), F.round(F.avg(met), 6).alias("recall"))
+
+
 # Feature tables.
 
 _DIV = f"""{_GOLD}, {v.MANIFEST}, dv AS (SELECT g.run_id, m.* FROM gold g JOIN manifest m ON m.custom_id = g.session_id WHERE g.variant <> 'document_only'),
@@ -274,9 +299,12 @@ def gold_identity_hits(spark, d):
     return g.select("run_id", "session_id", has("retrieved_memory", "session_id", F.col("session_id")).alias("by_session"), has("retrieved_documents", "url", F.col("url")).alias("by_url"))
 
 
-@query(f"""WITH {_MIXED}, t AS (SELECT r.run_id, ({v.em_sql('prediction')} = {v.em_sql('gold_answer')}) AS ok, prediction, n_gold, n_hit FROM runs r JOIN rec USING (run_id))
-    SELECT run_id, concat_ws(', ', CASE WHEN contains(lower(coalesce(prediction, '')), 'insufficient information') THEN 'abstained' END, CASE WHEN prediction = '[INFERENCE_FAILED]' THEN 'inference failed' END,
-      CASE WHEN n_gold > 0 AND n_hit = n_gold AND NOT ok THEN 'full retrieval, wrong answer' END, CASE WHEN n_gold > 0 AND n_hit = 0 THEN 'retrieval miss' END, CASE WHEN n_hit > 0 AND n_hit < n_gold THEN 'partial recall' END) AS notes FROM t""")
+_NOTES = f"""{_MIXED}, t AS (SELECT r.run_id, ({v.em_sql('prediction')} = {v.em_sql('gold_answer')}) AS ok, prediction, n_gold, n_hit FROM runs r JOIN rec USING (run_id)),
+    nt AS (SELECT run_id, concat_ws(', ', CASE WHEN contains(lower(coalesce(prediction, '')), 'insufficient information') THEN 'abstained' END, CASE WHEN prediction = '[INFERENCE_FAILED]' THEN 'inference failed' END,
+      CASE WHEN n_gold > 0 AND n_hit = n_gold AND NOT ok THEN 'full retrieval, wrong answer' END, CASE WHEN n_gold > 0 AND n_hit = 0 THEN 'retrieval miss' END, CASE WHEN n_hit > 0 AND n_hit < n_gold THEN 'partial recall' END) AS notes FROM t)"""
+
+
+@query(f"WITH {_NOTES} SELECT run_id, notes FROM nt")
 def failure_notes(spark, d):
     r = v.runs(spark, d, "prediction", "gold_answer").join(recall_at_k_mixed(spark, d), "run_id")
     notes = reports.failure_notes(F.col("prediction"), F.col("n_hit"), F.col("n_gold"), text.exact_match(F.col("prediction"), F.col("gold_answer")))
@@ -319,9 +347,11 @@ def request_fanout(spark, d):
     return j.select(ids.session_id(F.col("query"), F.col("evidence_id"), F.col("persona")).alias("custom_id"), "question_idx", "evidence_id", "persona", (F.col("question_type") == "temporal_query").alias("is_temporal"))
 
 
-@query(f"""WITH {v.EVIDENCE}, {v.MANIFEST}, {v.DOMAINS}, x AS (SELECT d.persona, e.evidence_id, {v.hash_sql(42, 'd.persona', 'e.evidence_id')} AS h FROM evidence e, domains d
-      WHERE list_contains(d.domains, nullif(lower({v.strip_sql('e.category')}), '')) AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.target_persona_id = d.persona AND m.evidence_id = e.evidence_id))
-    SELECT persona, evidence_id FROM x QUALIFY row_number() OVER (PARTITION BY persona ORDER BY h, evidence_id) <= 25""")
+@query(f"""WITH {v.EVIDENCE}, {v.DOMAINS}, {POOL_COUNTS}, s AS (SELECT persona_id AS persona, sum(short_in) AS n_in, sum(short_off) AS n_off FROM pool_counts JOIN pool_inventory USING (pool_id) GROUP BY 1),
+    x AS (SELECT d.persona, e.evidence_id, CASE WHEN coalesce(list_contains(d.domains, nullif(lower({v.strip_sql('e.category')}), '')), false) THEN 'in_domain' ELSE 'off_topic' END AS domain, {v.hash_sql(42, 'd.persona', 'e.evidence_id')} AS h
+      FROM evidence e, domains d WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.target_persona_id = d.persona AND m.evidence_id = e.evidence_id)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY persona, domain ORDER BY h, evidence_id) AS r FROM x)
+    SELECT k.persona, evidence_id, domain FROM k JOIN s USING (persona) WHERE r <= 3 * CASE domain WHEN 'in_domain' THEN n_in ELSE n_off END""")
 def supplement_candidates(spark, d):
     """Evidence that a persona's pools do not hold yet, in domain and off topic, by least hash: three times what the pools of the persona lack of each."""
     short = pool_inventory_counts(spark, d).join(table(spark, d, "pool_inventory").select("pool_id", F.col("persona_id").alias("persona")), "pool_id")
@@ -375,7 +405,13 @@ def audit_prompts(spark, d):
     return j.select("session_id", prompts.audit_prompt(F.col("title"), F.col("source"), F.col("category"), F.lit(None), F.col("transcript"), F.lit(False)).alias("prompt"))
 
 
-@query()
+def _cell_sql(c: str) -> str:
+    return rf"replace(regexp_replace(coalesce({c}, ''), '\s*\n\s*', ' ', 'g'), '|', '\|')"
+
+
+@query(f"""WITH {_NOTES}, split_blocks AS (SELECT block_id FROM runs GROUP BY 1 HAVING count(DISTINCT {OK_SQL}) > 1),
+    l AS (SELECT block_id, run_id, concat_ws(' | ', run_id::VARCHAR, variant, {_cell_sql('prediction')}, {_cell_sql('gold_answer')}, {_cell_sql('notes')}) AS line FROM runs JOIN nt USING (run_id) WHERE block_id IN (SELECT block_id FROM split_blocks))
+    SELECT block_id, 'run | dist | prediction | gold | notes' || chr(10) || '--- | --- | --- | --- | ---' || chr(10) || string_agg(line, chr(10) ORDER BY run_id) AS report FROM l GROUP BY 1""")
 def case_reports(spark, d):
     """Markdown reports of the blocks whose runs disagree."""
     r = v.runs(spark, d, "block_id", "variant", "prediction", "gold_answer").withColumn("ok", text.exact_match(F.col("prediction"), F.col("gold_answer")))

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
     return register
 
 
-_OK = f"({v.em_sql('prediction')} = {v.em_sql('gold_answer')})"
+OK_SQL = f"({v.em_sql('prediction')} = {v.em_sql('gold_answer')})"
 
 
 def _scored(spark, d):
@@ -50,7 +50,7 @@ def multi_failure_questions(spark, d):
     return v.runs(spark, d, "question_idx", "prediction").where(F.col("prediction") == reports.FAILED).groupBy("question_idx").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(f"""WITH {v.RUNS}, x AS (SELECT variant AS dist, agent, eval_persona AS persona, {_OK}::INT AS ok FROM runs WHERE question_type IS DISTINCT FROM 'null_query'), g AS (SELECT dist, agent, persona, count(*) AS n, sum(ok)::BIGINT AS k FROM x GROUP BY ALL)
+@query(f"""WITH {v.RUNS}, x AS (SELECT variant AS dist, agent, eval_persona AS persona, {OK_SQL}::INT AS ok FROM runs WHERE question_type IS DISTINCT FROM 'null_query'), g AS (SELECT dist, agent, persona, count(*) AS n, sum(ok)::BIGINT AS k FROM x GROUP BY ALL)
     SELECT *, round(k / n, 6) AS accuracy, round(greatest(0, (k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)), 6) AS low,
       round(least(1, (k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)), 6) AS high FROM g""")
 def wilson_accuracy(spark, d):
@@ -60,19 +60,19 @@ def wilson_accuracy(spark, d):
     return g.select("*", F.round(F.col("k") / F.col("n"), 6).alias("accuracy"), low.alias("low"), high.alias("high"))
 
 
-@query(f"WITH {v.RUNS} SELECT question_idx, round(avg({_OK}::INT), 6) AS mean_correct FROM runs WHERE agent = 'agent_1' GROUP BY 1 HAVING avg({_OK}::INT) > 0 AND avg({_OK}::INT) < 1")
+@query(f"WITH {v.RUNS} SELECT question_idx, round(avg({OK_SQL}::INT), 6) AS mean_correct FROM runs WHERE agent = 'agent_1' GROUP BY 1 HAVING avg({OK_SQL}::INT) > 0 AND avg({OK_SQL}::INT) < 1")
 def variable_questions(spark, d):
     x = _scored(spark, d).where("agent = 'agent_1'").groupBy("question_idx").agg(F.avg("correct").alias("m")).where("m > 0 and m < 1")
     return x.select("question_idx", F.round("m", 6).alias("mean_correct"))
 
 
-@query(f"""WITH {v.RUNS} SELECT block_id, eval_persona AS persona, agent, count(DISTINCT variant) AS n_dists FROM runs GROUP BY ALL HAVING count(DISTINCT variant) >= 2 AND count(DISTINCT {_OK}) > 1""")
+@query(f"""WITH {v.RUNS} SELECT block_id, eval_persona AS persona, agent, count(DISTINCT variant) AS n_dists FROM runs GROUP BY ALL HAVING count(DISTINCT variant) >= 2 AND count(DISTINCT {OK_SQL}) > 1""")
 def disagreement_units(spark, d):
     g = _scored(spark, d).groupBy("block_id", F.col("eval_persona").alias("persona"), "agent").agg(F.count_distinct("variant").alias("n_dists"), F.count_distinct("correct").alias("c"))
     return g.where("n_dists >= 2 and c > 1").drop("c")
 
 
-@query(f"""WITH {v.RUNS}, u AS (SELECT block_id, eval_persona, agent FROM runs GROUP BY ALL HAVING count(DISTINCT variant) >= 2 AND count(DISTINCT {_OK}) > 1),
+@query(f"""WITH {v.RUNS}, u AS (SELECT block_id, eval_persona, agent FROM runs GROUP BY ALL HAVING count(DISTINCT variant) >= 2 AND count(DISTINCT {OK_SQL}) > 1),
     s AS (SELECT r.*, row_number() OVER (PARTITION BY variant ORDER BY {v.hash_sql(42, 'r.run_id')}, r.run_id) AS rn FROM runs r JOIN u USING (block_id, eval_persona, agent)) SELECT run_id, variant FROM s WHERE rn <= 20""")
 def disagreement_sample(spark, d):
     """Runs of disagreeing units, 20 per variant by least hash."""
@@ -91,10 +91,13 @@ def attribute_histogram(spark, d):
     return reports.histogram(v.manifest(spark, d), "target_persona_id", _ATTRS)
 
 
-@query(f"""WITH {v.MANIFEST}, c AS (SELECT pool_id, count(*) FILTER (pool_tier = 'primary' AND NOT is_off_topic) AS pin, count(*) FILTER (pool_tier = 'primary' AND is_off_topic) AS poff, count(*) FILTER (pool_tier = 'supplement' AND NOT is_off_topic) AS sin,
-      count(*) FILTER (pool_tier = 'supplement' AND is_off_topic) AS soff FROM manifest WHERE session_parse_error IS NULL GROUP BY 1)
-    SELECT p.pool_id, coalesce(pin, 0) AS primary_in, coalesce(poff, 0) AS primary_off, coalesce(sin, 0) AS supplement_in, coalesce(soff, 0) AS supplement_off, greatest(0, target_in_domain - coalesce(pin, 0) - coalesce(sin, 0)) AS short_in,
-      greatest(0, target_off_topic - coalesce(poff, 0) - coalesce(soff, 0)) AS short_off FROM pool_inventory p LEFT JOIN c USING (pool_id)""")
+POOL_COUNTS = f"""{v.MANIFEST}, c AS (SELECT pool_id, count(*) FILTER (pool_tier = 'primary' AND NOT is_off_topic) AS pin, count(*) FILTER (pool_tier = 'primary' AND is_off_topic) AS poff, count(*) FILTER (pool_tier = 'supplement' AND NOT is_off_topic) AS sin,
+      count(*) FILTER (pool_tier = 'supplement' AND is_off_topic) AS soff FROM manifest WHERE session_parse_error IS NULL GROUP BY 1),
+    pool_counts AS (SELECT p.pool_id, coalesce(pin, 0) AS primary_in, coalesce(poff, 0) AS primary_off, coalesce(sin, 0) AS supplement_in, coalesce(soff, 0) AS supplement_off, greatest(0, target_in_domain - coalesce(pin, 0) - coalesce(sin, 0)) AS short_in,
+      greatest(0, target_off_topic - coalesce(poff, 0) - coalesce(soff, 0)) AS short_off FROM pool_inventory p LEFT JOIN c USING (pool_id))"""
+
+
+@query(f"WITH {POOL_COUNTS} SELECT * FROM pool_counts")
 def pool_inventory_counts(spark, d):
     m = v.manifest(spark, d).where("session_parse_error is null")
     n = lambda t, off: F.count_if((F.col("pool_tier") == t) & (F.col("is_off_topic") == off))
@@ -104,7 +107,7 @@ def pool_inventory_counts(spark, d):
     return p.select("pool_id", "primary_in", "primary_off", "supplement_in", "supplement_off", short("target_in_domain", "primary_in", "supplement_in").alias("short_in"), short("target_off_topic", "primary_off", "supplement_off").alias("short_off"))
 
 
-@query(f"""WITH {v.RUNS}, x AS (SELECT question_idx, eval_persona, variant, agent, prediction, {_OK} AS ok, run_id FROM runs), a AS (SELECT * FROM x WHERE agent = 'agent_3'), b AS (SELECT * FROM x WHERE agent = 'agent_3_v2')
+@query(f"""WITH {v.RUNS}, x AS (SELECT question_idx, eval_persona, variant, agent, prediction, {OK_SQL} AS ok, run_id FROM runs), a AS (SELECT * FROM x WHERE agent = 'agent_3'), b AS (SELECT * FROM x WHERE agent = 'agent_3_v2')
     SELECT a.run_id AS run_a, b.run_id AS run_b, a.ok = b.ok AS em_match FROM a JOIN b USING (question_idx, eval_persona, variant)""")
 def compare_runs(spark, d):
     """One agent against its successor on the same units."""
@@ -279,7 +282,10 @@ def diversity_draw(spark, d):
     return sampling.diversity_draw(e, "evidence_id", "persona")
 
 
-@query()
+@query(f"""WITH {v.MANIFEST}, x AS (SELECT custom_id, greatest(coalesce(try_strptime(left(session_date, 10), '%Y/%m/%d')::DATE, DATE '2023-07-01'), DATE '2023-07-01') AS first, {v.unit_sql(42, "'delay'", 'custom_id')} AS u, {v.unit_sql(42, "'second'", 'custom_id')} AS w FROM manifest),
+    y AS (SELECT *, date_diff('day', first, DATE '2024-02-29') AS span FROM x),
+    z AS (SELECT *, greatest(0, least(floor(-14.0::DOUBLE * ln(1 - u * (1 - exp(-span / 14.0::DOUBLE))))::INT, span)) AS n FROM y)
+    SELECT custom_id, (first + n::INT)::TIMESTAMP + to_seconds(floor(w * 54000)::BIGINT + 28800) AS session_time FROM z""")
 def corpus_timestamps(spark, d):
     m = v.manifest(spark, d).select("custom_id", F.to_timestamp(F.substring("session_date", 1, 10), "yyyy/MM/dd").alias("published"))
     return sampling.session_times(m, "custom_id", F.col("published"), "2023-07-01", "2024-02-29").select("custom_id", "session_time")
