@@ -1,8 +1,9 @@
 """Top-k retrieval: dense, BM25 and hybrid, with exclusions and per-run store deltas.
 
-Queries are a stated set (never all rows against all rows). BM25 joins postings of the query
-terms with postings of the corpus; dense search sends the queries in blocks of bounded size to the
-chunks, and every batch keeps its own top k before anything is shuffled.
+Queries are a stated set (never all rows against all rows). Dense search and BM25 alike send the
+queries in blocks of bounded size to the chunks, where they lie, and every task keeps its own top k,
+so k rows per query and task are shuffled, however common a term is. The corpus is tokenised twice:
+once for the document frequencies (aggregated before the shuffle), once for the scores.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..session import materialise
@@ -33,40 +35,141 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", chunk: str = "chun
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "text", query_text: str = "query", exclude: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a term with the query.
+def term_statistics(chunks: DataFrame, text: str) -> DataFrame:
+    """(term, df, words): chunks that hold the term and their words; the empty term has those of the whole corpus."""
+    each = chunks.select(terms(F.col(text)).alias("t"))
+    marked = each.select(F.size("t").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
+    return marked.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
 
-    Okapi BM25 with k1 = 1.5, b = 0.75 and idf ln(1 + (N - df + .5) / (df + .5)). Only postings of terms that some
-    query has go through the join. Corpus size and average length are one row each.
 
-    ``exclude`` (query_id, chunk_id) takes chunks out of a query's corpus. The index is not rebuilt: the query's N, word
-    sum and document frequencies are the corpus's less those of its excluded chunks.
+def query_weights(chunks: DataFrame, queries: DataFrame, text: str, query_text: str, exclude: DataFrame | None) -> DataFrame:
+    """(query_id, term, idf, mean): the weight of each query term, and the mean length of the query's corpus.
+
+    Excluded chunks leave a query's corpus without rebuilding anything: its number of chunks, word sum and document
+    frequencies are the corpus's less those of the chunks.
     """
-    each = chunks.select("chunk_id", terms(F.col(text)).alias("t"))
-    total = each.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("words")).first()
-    n, all_words = total["n"] or 0, total["words"] or 0
-    asked = materialise(queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")), "query-terms")
-    # An outer explode: a plain one would make the optimizer tokenise once more, to test for empty arrays.
-    words = each.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
-    words = words.join(asked.select("term").distinct(), "term", "left_semi")
-    # Written once: both the frequencies and the weights read it.
-    tf = materialise(words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
+    asked = materialise(asked, "query-terms")
+    wanted = asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    stats = materialise(term_statistics(chunks, text).join(wanted, "term", "left_semi"), "term-statistics")
+    total = stats.where("term = ''").first()
+    n, words = (total["df"], total["words"]) if total else (0, 0)
+    own = asked.join(stats.select("term", "df"), "term")
     if exclude is None:
-        idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        mean = all_words / n if all_words else 1.0
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-        weighted = tf.join(frequency, "term").select("chunk_id", "term", weight.alias("w"))
-        return asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    out = materialise(exclude.select("query_id", "chunk_id").distinct(), "excluded")
-    gone = out.join(each.select("chunk_id", F.size("t").alias("dl")), "chunk_id").groupBy("query_id").agg(F.count("*").alias("n_out"), F.sum("dl").alias("words_out"))
-    gone_df = out.join(tf.select("chunk_id", "term"), "chunk_id").groupBy("query_id", "term").agg(F.count("*").alias("df_out"))
-    own = asked.join(frequency, "term").join(gone_df, ["query_id", "term"], "left").join(gone, "query_id", "left").na.fill(0, ["df_out", "n_out", "words_out"])
-    own = own.withColumns({"df": F.col("df") - F.col("df_out"), "n": F.lit(n) - F.col("n_out")}).withColumn("mean", (F.lit(all_words) - F.col("words_out")) / F.col("n"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    kept = own.select("query_id", "term", "df", "n", "mean").join(tf, "term").join(out, ["query_id", "chunk_id"], "left_anti")
-    return kept.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+        own = own.withColumns({"n": F.lit(n), "mean": F.lit(float(words) / n if words else 1.0)})
+    else:
+        out = exclude.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id", terms(F.col(text)).alias("t")), "chunk_id")
+        out = materialise(out, "excluded")
+        gone = out.groupBy("query_id").agg(F.count("*").alias("n_out"), F.sum(F.size("t")).alias("words_out"))
+        gone_df = out.select("query_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df_out"))
+        own = own.join(gone_df, ["query_id", "term"], "left").join(gone, "query_id", "left").na.fill(0, ["df_out", "n_out", "words_out"])
+        own = own.withColumns({"df": F.col("df") - F.col("df_out"), "n": F.lit(n) - F.col("n_out")}).where("df > 0").withColumn("mean", (F.lit(words) - F.col("words_out")) / F.col("n"))
+    return own.select("query_id", "term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
+
+
+class QueryBlock:
+    """The terms of a block of queries: for each term the queries that ask for it and its weight in them."""
+
+    def __init__(self, rows: list[tuple], skip: list[tuple]) -> None:
+        self.names = sorted({r[0] for r in rows})
+        place = {q: i for i, q in enumerate(self.names)}
+        self.terms = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
+        by_term: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        self.mean = np.ones(len(self.names))
+        for q, term, idf, mean in rows:
+            by_term[self.terms[term]].append((place[q], idf))
+            self.mean[place[q]] = mean
+        self.ask = [np.array([q for q, _ in x], np.int64) for x in by_term]
+        self.idf = [np.array([w for _, w in x]) for x in by_term]
+        self.skip: dict[object, list[int]] = {}
+        for q, chunk in skip:
+            if q in place:
+                self.skip.setdefault(chunk, []).append(place[q])
+
+    def scores(self, ids: list, words: list[list[str]]) -> np.ndarray:
+        """Score of every query (line) and chunk (column), 0 where they share no term."""
+        out = np.zeros((len(self.names), len(ids)))
+        length = np.array([len(w) for w in words], np.float64)
+        known = [(j, self.terms[w]) for j, ws in enumerate(words) for w in ws if w in self.terms]
+        if known:
+            at = np.array(known, np.int64)
+            code, tf = np.unique(at[:, 1] * len(ids) + at[:, 0], return_counts=True)
+            term, chunk = np.divmod(code, len(ids))
+            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(code)]):
+                q, c, n = self.ask[term[lo]], chunk[lo:hi], tf[lo:hi]
+                part = n * (K1 + 1) / (n + K1 * (1 - B + B * length[c][None, :] / self.mean[q][:, None]))
+                out[np.ix_(q, c)] += self.idf[term[lo]][:, None] * part
+        for j, chunk_id in enumerate(ids):
+            if chunk_id in self.skip:
+                out[self.skip[chunk_id], j] = 0.0
+        return np.round(out, 6)
+
+
+def bm25_of_partition(shared, k: int, arrow: pa.Schema, rows: int = 512):
+    """The function that keeps the k best chunks of a whole partition for every query of a block; equal scores go by chunk id."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: QueryBlock = QueryBlock.__new__(QueryBlock)
+        block.__dict__.update(shared.value)
+        least = np.full(len(block.names), 1e-9)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def compact() -> None:
+            q, score, ids = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((ids, -score, q))
+            q, score, ids = q[order], score[order], ids[order]
+            start = np.searchsorted(q, q, "left")
+            best = np.arange(len(q)) - start < k
+            q, score, ids = q[best], score[best], ids[best]
+            full = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q, "left") == k - 1)
+            least[q[full]] = score[full]
+            kept[:] = [(q, score, ids)]
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                ids = part.column(0).to_pylist()
+                scores = block.scores(ids, part.column(1).to_pylist())
+                q, c = np.nonzero(scores >= least[:, None])
+                if len(q):
+                    kept.append((q, scores[q, c], np.array(ids)[c]))
+                    if sum(len(x[0]) for x in kept) > 4 * k * len(block.names):
+                        compact()
+        if kept:
+            compact()
+            q, score, ids = kept[0]
+            yield pa.RecordBatch.from_arrays([pa.array([block.names[i] for i in q.tolist()], arrow.field(0).type), pa.array(ids.tolist(), arrow.field(1).type), pa.array(score)], arrow.names)
+
+    return search
+
+
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, text: str = "text", query_text: str = "query", exclude: DataFrame | None = None, drop: DataFrame | None = None, block: int = 20_000) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks per query among those that share a term with it, ties by chunk id.
+
+    Okapi BM25 with k1 = 1.5, b = 0.75 and idf ln(1 + (N - df + .5) / (df + .5)). ``exclude`` (query_id, chunk_id) takes
+    chunks out of a query's corpus, statistics and all; those of ``drop`` are only left out of its result. Queries travel
+    in blocks of about ``block`` terms.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = chunks.sparkSession
+    own = materialise(query_weights(chunks, queries, text, query_text, exclude), "query-weights")
+    blocks = max(1, -(-own.count() // block))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    skip = [x.select("query_id", "chunk_id") for x in (exclude, drop) if x is not None]
+    skip = materialise((skip[0] if len(skip) == 1 else skip[0].unionByName(skip[1])).distinct(), "left-out") if skip else None
+    base = chunks.select("chunk_id", terms(F.col(text)).alias("t"))
+    out: DataFrame | None = None
+    for i in range(blocks):
+        mine = F.expr(f"pmod(xxhash64(query_id), {blocks}) = {i}")
+        rows = [tuple(r) for r in own.where(mine).select("query_id", "term", "idf", "mean").collect()]
+        if rows:
+            left_out = [tuple(r) for r in skip.where(mine).select("query_id", "chunk_id").collect()] if skip is not None else []
+            part = base.mapInArrow(bm25_of_partition(spark.sparkContext.broadcast(vars(QueryBlock(rows, left_out))), k, arrow), schema)
+            out = part if out is None else out.unionByName(part)
+    return top_k(out if out is not None else spark.createDataFrame([], schema), k)
 
 
 def best_of_partition(shared, keep: int, rows: int = 1024):

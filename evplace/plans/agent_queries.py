@@ -54,10 +54,7 @@ def _retriever(spark, d):
     chunks = _chunks(spark, d)
 
     def retrieve(asked, seen, k):
-        scored = retrieval.bm25_scores(chunks, asked)
-        if seen is not None:
-            scored = scored.join(seen, ["query_id", "chunk_id"], "left_anti")
-        return retrieval.top_k(scored, k).join(chunks, "chunk_id").select("query_id", "chunk_id", "rank", "text")
+        return retrieval.bm25_top_k(chunks, asked, k, drop=seen).join(chunks, "chunk_id").select("query_id", "chunk_id", "rank", "text")
 
     return retrieve
 

@@ -33,7 +33,7 @@ def _asked(spark, d):
 
 
 def _bm25_top(spark, d, k=10):
-    return r.top_k(r.bm25_scores(_chunks(spark, d), _asked(spark, d)), k)
+    return r.bm25_top_k(_chunks(spark, d), _asked(spark, d), k)
 
 
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -72,7 +72,7 @@ def bm25_under_delta(spark, d):
     """BM25 when a question's own evidence is taken out of its corpus, statistics and all."""
     asked = _asked(spark, d)
     own = asked.join(v.evidence(spark, d, "source_question_id").select(F.col("source_question_id").alias("question_id"), F.col("evidence_id").alias("chunk_id")), "question_id").select("query_id", "chunk_id")
-    return r.top_k(r.bm25_scores(_chunks(spark, d), asked, exclude=own), 10).select("query_id", "chunk_id", "score", "rank")
+    return r.bm25_top_k(_chunks(spark, d), asked, 10, exclude=own).select("query_id", "chunk_id", "score", "rank")
 
 
 def _vectors(spark, d):
@@ -150,7 +150,7 @@ def unified_topk_memory(spark, d):
     """One ranking over documents and memory; the source filter comes after the cut."""
     mem = v.manifest(spark, d, "scenario", "human_message").select(F.col("custom_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("scenario", F.lit("")), F.coalesce("human_message", F.lit(""))).alias("text"), F.lit("memory").alias("source_type"))
     both = _chunks(spark, d).withColumn("source_type", F.lit("document")).unionByName(mem)
-    top = r.top_k(r.bm25_scores(both, _asked(spark, d)), 20)
+    top = r.bm25_top_k(both, _asked(spark, d), 20)
     return top.join(mem.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
 
 

@@ -125,12 +125,20 @@ def test_dense_exclusion_equals_excluding_first(spark):
 def test_bm25_and_fusion(spark):
     chunks = spark.createDataFrame([("a", "red red fox"), ("b", "fox"), ("c", "dog"), ("d", None)], "chunk_id string, text string")
     q = spark.createDataFrame([(1, "Red fox!"), (2, None)], "query_id long, query string")
-    top = retrieval.top_k(retrieval.bm25_scores(chunks, q), 5).orderBy("rank").collect()
+    top = retrieval.bm25_top_k(chunks, q, 5).orderBy("rank").collect()
     assert [r["chunk_id"] for r in top] == ["a", "b"]
     # Excluding chunks equals building the index without them.
     out = spark.createDataFrame([(1, "b"), (1, "c")], "query_id long, chunk_id string")
-    less = retrieval.bm25_scores(chunks.where("chunk_id not in ('b', 'c')"), q).collect()
-    assert sorted(map(tuple, retrieval.bm25_scores(chunks, q, exclude=out).collect())) == sorted(map(tuple, less)) and less
+    less = retrieval.bm25_top_k(chunks.where("chunk_id not in ('b', 'c')"), q, 5).collect()
+    assert sorted(map(tuple, retrieval.bm25_top_k(chunks, q, 5, exclude=out).collect())) == sorted(map(tuple, less)) and less
+    # What is only dropped leaves the scores of the rest as they are; blocks of queries do not matter; k cuts inside tasks.
+    assert [(r["chunk_id"], r["score"]) for r in retrieval.bm25_top_k(chunks, q, 5, drop=out).collect()] == [(top[0]["chunk_id"], top[0]["score"])]
+    rows = [(f"c{i:03}", " ".join(f"w{j}" for j in range(i % 7 + 1)) + " w0" * (i % 3)) for i in range(400)]
+    many = spark.createDataFrame(rows, "chunk_id string, text string").repartition(5)
+    asks = spark.createDataFrame([(i, f"w{i} w0 w3") for i in range(6)], "query_id long, query string")
+    want = sorted(map(tuple, retrieval.bm25_top_k(many, asks, 400).where("rank <= 9").collect()))
+    assert sorted(map(tuple, retrieval.bm25_top_k(many, asks, 9, block=4).collect())) == want and len(want) == 54
+    assert retrieval.bm25_top_k(chunks, q.limit(0), 5).count() == 0 and retrieval.bm25_top_k(chunks.limit(0), q, 5).count() == 0
     lists = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id long, chunk_id string, rank int")
     other = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "query_id long, chunk_id string, rank int")
     assert [r["chunk_id"] for r in retrieval.reciprocal_rank_fusion([(lists, 0.5), (other, 0.5)], 3).orderBy("rank").collect()] == ["b", "a", "c"]
