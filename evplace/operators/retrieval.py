@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,14 +36,26 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", chunk: str = "chun
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def term_statistics(chunks: DataFrame, text: str) -> DataFrame:
+def term_statistics(tokens: DataFrame) -> DataFrame:
     """(term, df, words): chunks that hold the term and their words; the empty term has those of the whole corpus."""
-    each = chunks.select(terms(F.col(text)).alias("t"))
-    marked = each.select(F.size("t").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
+    marked = tokens.select(F.size("t").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
     return marked.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
 
 
-def query_weights(chunks: DataFrame, queries: DataFrame, text: str, query_text: str, exclude: DataFrame | None) -> DataFrame:
+@dataclass
+class Bm25Index:
+    """A corpus tokenised and counted once, for searches that come again and again."""
+
+    tokens: DataFrame  # chunk_id, t
+    stats: DataFrame  # term, df, words
+
+
+def bm25_index(chunks: DataFrame, text: str = "text") -> Bm25Index:
+    tokens = materialise(chunks.select("chunk_id", terms(F.col(text)).alias("t")), "tokens")
+    return Bm25Index(tokens, materialise(term_statistics(tokens), "index-statistics"))
+
+
+def query_weights(tokens: DataFrame, statistics: DataFrame, queries: DataFrame, query_text: str, exclude: DataFrame | None) -> DataFrame:
     """(query_id, term, idf, mean): the weight of each query term, and the mean length of the query's corpus.
 
     Excluded chunks leave a query's corpus without rebuilding anything: its number of chunks, word sum and document
@@ -51,14 +64,14 @@ def query_weights(chunks: DataFrame, queries: DataFrame, text: str, query_text:
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     asked = materialise(asked, "query-terms")
     wanted = asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    stats = materialise(term_statistics(chunks, text).join(wanted, "term", "left_semi"), "term-statistics")
+    stats = materialise(statistics.join(wanted, "term", "left_semi"), "term-statistics")
     total = stats.where("term = ''").first()
     n, words = (total["df"], total["words"]) if total else (0, 0)
     own = asked.join(stats.select("term", "df"), "term")
     if exclude is None:
         own = own.withColumns({"n": F.lit(n), "mean": F.lit(float(words) / n if words else 1.0)})
     else:
-        out = exclude.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id", terms(F.col(text)).alias("t")), "chunk_id")
+        out = exclude.select("query_id", "chunk_id").distinct().join(tokens, "chunk_id")
         out = materialise(out, "excluded")
         gone = out.groupBy("query_id").agg(F.count("*").alias("n_out"), F.sum(F.size("t")).alias("words_out"))
         gone_df = out.select("query_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df_out"))
@@ -144,7 +157,7 @@ def bm25_of_partition(shared, k: int, arrow: pa.Schema, rows: int = 512):
     return search
 
 
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, text: str = "text", query_text: str = "query", exclude: DataFrame | None = None, drop: DataFrame | None = None, block: int = 20_000) -> DataFrame:
+def bm25_top_k(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int, text: str = "text", query_text: str = "query", exclude: DataFrame | None = None, drop: DataFrame | None = None, block: int = 20_000) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks per query among those that share a term with it, ties by chunk id.
 
     Okapi BM25 with k1 = 1.5, b = 0.75 and idf ln(1 + (N - df + .5) / (df + .5)). ``exclude`` (query_id, chunk_id) takes
@@ -153,14 +166,15 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, text: str = "text"
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = chunks.sparkSession
-    own = materialise(query_weights(chunks, queries, text, query_text, exclude), "query-weights")
+    spark = queries.sparkSession
+    base = chunks.tokens if isinstance(chunks, Bm25Index) else chunks.select("chunk_id", terms(F.col(text)).alias("t"))
+    statistics = chunks.stats if isinstance(chunks, Bm25Index) else term_statistics(base)
+    own = materialise(query_weights(base, statistics, queries, query_text, exclude), "query-weights")
     blocks = max(1, -(-own.count() // block))
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", base.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     skip = [x.select("query_id", "chunk_id") for x in (exclude, drop) if x is not None]
     skip = materialise((skip[0] if len(skip) == 1 else skip[0].unionByName(skip[1])).distinct(), "left-out") if skip else None
-    base = chunks.select("chunk_id", terms(F.col(text)).alias("t"))
     out: DataFrame | None = None
     for i in range(blocks):
         mine = F.expr(f"pmod(xxhash64(query_id), {blocks}) = {i}")

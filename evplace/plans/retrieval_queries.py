@@ -28,6 +28,10 @@ def _chunks(spark, d):
     return v.evidence(spark, d, "title", "fact").select(F.col("evidence_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("fact", F.lit(""))).alias("text"))
 
 
+def _memory(spark, d):
+    return v.manifest(spark, d, "scenario", "human_message", "target_persona_id").select(F.col("custom_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("scenario", F.lit("")), F.coalesce("human_message", F.lit(""))).alias("text"), F.col("target_persona_id").alias("persona"))
+
+
 def _asked(spark, d):
     return v.questions(spark, d, "query", "question_id").where(F.col("question_idx") % v.SEARCH_STEP == 0).select(F.col("question_idx").alias("query_id"), "query", "question_id")
 
@@ -148,7 +152,7 @@ def hybrid_rrf(spark, d):
   SELECT query_id, chunk_id, score, rank FROM k WHERE source_type = 'memory'""")
 def unified_topk_memory(spark, d):
     """One ranking over documents and memory; the source filter comes after the cut."""
-    mem = v.manifest(spark, d, "scenario", "human_message").select(F.col("custom_id").alias("chunk_id"), F.concat_ws(" ", F.coalesce("scenario", F.lit("")), F.coalesce("human_message", F.lit(""))).alias("text"), F.lit("memory").alias("source_type"))
+    mem = _memory(spark, d).drop("persona").withColumn("source_type", F.lit("memory"))
     both = _chunks(spark, d).withColumn("source_type", F.lit("document")).unionByName(mem)
     top = r.bm25_top_k(both, _asked(spark, d), 20)
     return top.join(mem.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")

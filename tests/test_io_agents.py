@@ -146,11 +146,22 @@ def test_bm25_and_fusion(spark):
     assert all(abs(sum(x * x for x in r["vector"]) - (r["chunk_id"] != "d")) < 1e-9 for r in v)
 
 
-def test_model_calls(spark):
+def clients():
     class Broken:
         def complete(self, prompts):
             raise agents.PermanentError("no")
 
+    class OneBad(agents.StubClient):
+        def complete(self, prompts):
+            if any("bad" in p for p in prompts):
+                raise agents.PermanentError("{'error': {'failed_generation': '" + json.dumps({"topic": [2, 2, 0], "source": [1], "key_information": [3]}) + "'}}")
+            return super().complete(prompts)
+
+    return Broken, OneBad
+
+
+def test_model_calls(spark):
+    Broken, OneBad = clients()
 
     class Flaky:
         def __init__(self):
@@ -160,36 +171,66 @@ def test_model_calls(spark):
             self.calls += 1
             if self.calls < 3:
                 raise RuntimeError("again")
-            return [{"final_answer": "x"}] * len(prompts)
+            return [{"content": "x"}] * len(prompts)
 
-    assert agents.with_retry(Flaky(), ["a"], wait=0) == [{"final_answer": "x"}]
+    assert agents.with_retry(Flaky(), ["a"], wait=0) == [{"content": "x"}]
     with pytest.raises(agents.PermanentError):
         agents.with_retry(Broken(), ["a"])
     df = spark.createDataFrame([(1, "p"), (2, None)], "id int, prompt string")
     rows = agents.call_model(df, "prompt", Broken).collect()
     assert len(rows) == 2 and all(r["final_answer"] == "[INFERENCE_FAILED]" and r["input_tokens"] == 0 for r in rows)
+    # One bad prompt costs no other row its reply.
+    many = spark.createDataFrame([(i, "[1] bad word" if i == 7 else "[1] good word") for i in range(20)], "id int, prompt string").coalesce(1)
+    got = {r["id"]: r["final_answer"] for r in agents.call_model(many, "prompt", OneBad).collect()}
+    assert got == {i: "[INFERENCE_FAILED]" if i == 7 else "good word" for i in range(20)}
+
+    class Long:
+        def complete(self, prompts):
+            return [{"content": '{"final_answer": "%s"}' % ("x" * (70 + i)), "input_tokens": 1} for i, _ in enumerate(prompts)]
+
+    assert [r["inference_error"] for r in agents.call_model(df.coalesce(1), "prompt", Long).orderBy("id").collect()] == [None, "ValidationError: final_answer too long"]
     with pytest.raises(KeyError):
         agents.build_agent("agent_9")
     assert spark.range(1).select(agents.passages_block(F.array(F.lit("m")), F.array(F.lit("d"))), agents.passages_block(F.lit(None), F.lit(None))).first() == ("[1] m\n[2] d", "(no passages retrieved)")
 
 
-def test_corrective_loop(spark):
-    chunks = spark.createDataFrame([(f"c{i}", "Alpha facts" if i < 3 else "other words") for i in range(10)], "chunk_id string, text string")
-    asked = []
+def test_session_audit(spark):
+    Broken, OneBad = clients()
+    df = spark.createDataFrame([(1, "Task: locations\n[U1] x", True), (2, "Task: locations\nbad", False), (3, None, False)], "session_id int, prompt string, t boolean")
+    out = {r["session_id"]: r for r in agents.audit_sessions(df, "prompt", F.col("t"), OneBad).collect()}
+    assert out[1]["published_at"] == [1] and out[1]["all_required_present"] and out[1]["error"] is None
+    assert out[2]["recovered"] and (out[2]["topic"], out[2]["key_information"], out[2]["published_at"]) == ([2], [3], None) and out[2]["all_required_present"]
+    failed = agents.audit_sessions(df, "prompt", F.col("t"), Broken).collect()
+    assert all(r["error"].startswith("PermanentError") and r["topic"] == [] and not r["all_required_present"] for r in failed)
+
+
+def test_corrective_loops(spark):
+    Broken, _ = clients()
+    texts = {"memory": [(f"m{i}", "Alpha facts" if i < 2 else "other words") for i in range(6)], "document": [(f"d{i}", "Alpha news" if i < 1 else "other words") for i in range(6)]}
+    chunks = {c: spark.createDataFrame(x, "chunk_id string, text string") for c, x in texts.items()}
+    calls = []
 
-    def retrieve(ask, seen, k):
-        asked.append(sorted(r["query"] for r in ask.collect()))
-        j = ask.crossJoin(chunks)
+    def retrieve(channel, ask, seen, k):
+        calls.append((channel, {r["query_id"]: r["query"] for r in ask.collect()}))
+        j = ask.crossJoin(chunks[channel])
         if seen is not None:
             j = j.join(seen, ["query_id", "chunk_id"], "left_anti")
         return retrieval.top_k(j.withColumn("score", F.lit(1.0)), k).select("query_id", "chunk_id", "rank", "text")
 
-    q = spark.createDataFrame([(1, "Does Alpha win?"), (2, "Does Gamma win?")], "query_id long, query string")
-    v2 = {r["query_id"]: r for r in agents.corrective_loop(q, retrieve, k=3).collect()}
-    assert v2[1]["n_kept"] == 3 and v2[1]["n_rounds"] == 1 and v2[2]["n_kept"] == 0 and v2[2]["n_rounds"] == 3 and v2[2]["final_answer"] == "Insufficient information"
-    assert len(asked[0]) == 2 and len(asked[1]) == 1
-    v1 = {r["query_id"]: r for r in agents.corrective_loop(q, retrieve, k=5, accumulate=False).collect()}
-    assert v1[1]["n_kept"] == 3 and v1[1]["n_rounds"] == 1
+    q = spark.createDataFrame([(1, "Does Alpha win?"), (2, "Does Gamma Delta win?")], "query_id long, query string")
+    v2 = {r["query_id"]: r for r in agents.corrective_v2(q, retrieve, memory_k=2, document_k=1).collect()}
+    assert v2[1]["n_kept"] == 3 and v2[1]["n_rounds"] == 1 and v2[1]["final_answer"] == "Alpha facts"
+    assert v2[2]["n_kept"] == 0 and v2[2]["n_rounds"] == 3 and v2[2]["final_answer"] == "Insufficient information"
+    # Both channels have their own rewritten query; a run that is done is not asked again.
+    assert calls[2:4] == [("memory", {2: v2[2]["history"][1]["memory_query"]}), ("document", {2: v2[2]["history"][1]["document_query"]})]
+    assert v2[2]["history"][1]["memory_query"] != v2[2]["history"][1]["document_query"]
+    # A failing model: the grader keeps all, the judge finds it insufficient, the rewriter leaves the question.
+    broken = {r["query_id"]: r for r in agents.corrective_v2(q, retrieve, memory_k=2, document_k=1, client=Broken, wait=0).collect()}
+    assert all(r["n_kept"] == 6 and r["final_answer"] == "[INFERENCE_FAILED]" and r["n_rounds"] == 3 for r in broken.values())
+    v1 = {r["query_id"]: r for r in agents.corrective_v1(q, retrieve, k=5).collect()}
+    assert v1[1]["n_rounds"] == 1 and v1[1]["relevant"] and v1[1]["n_kept"] == 10
+    assert v1[2]["n_rounds"] == 3 and not v1[2]["relevant"] and v1[2]["n_kept"] == 10 and v1[2]["last_query"] != "Does Gamma Delta win?"
+    assert all(r["n_rounds"] == 1 for r in agents.corrective_v1(q, retrieve, client=Broken, wait=0).collect())
 
 
 def test_stream_equals_batch(spark):
