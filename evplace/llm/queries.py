@@ -174,6 +174,19 @@ SQL = {
         SELECT p.pool_id, s.scenario_category FROM pool_inventory p JOIN target_shares s USING (persona_id)
           LEFT JOIN k ON k.pool_id = p.pool_id AND k.cat = s.scenario_category WHERE s.min_count > coalesce(k.n, 0)
     """,
+    "p2_groups": r"""
+        WITH RECURSIVE w AS (
+          SELECT DISTINCT evidence_id, list_sort(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(fact, '')), '[\p{L}\p{N}]+')) AS ws FROM evidence_items WHERE evidence_id IS NOT NULL),
+        m AS (SELECT evidence_id, upper(md5(array_to_string(ws, ' '))) AS class_id, ws FROM w WHERE len(ws) > 0),
+        c AS (SELECT class_id, any_value(ws) AS ws, any_value(len(ws)) AS n, count(*) AS size, min(evidence_id) AS first_id FROM m GROUP BY 1),
+        t AS (SELECT class_id, word, count(*) AS k FROM (SELECT class_id, unnest(ws) AS word FROM c) GROUP BY ALL),
+        i AS (SELECT a.class_id AS x, b.class_id AS y, sum(least(a.k, b.k)) AS shared FROM t a JOIN t b ON a.word = b.word AND a.class_id <> b.class_id GROUP BY ALL),
+        l AS (SELECT x, y, q.size FROM i JOIN c p ON p.class_id = x JOIN c q ON q.class_id = y WHERE shared >= 0.7 * (p.n + q.n - shared) - 1e-9),
+        reach AS (SELECT class_id AS x, class_id AS y FROM c UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+        g AS (SELECT reach.x AS class_id, min(c.first_id) AS group_id, sum(c.size)::BIGINT AS group_size FROM reach JOIN c ON c.class_id = reach.y GROUP BY 1),
+        k AS (SELECT x AS class_id, sum(size)::BIGINT AS linked FROM l GROUP BY 1)
+        SELECT evidence_id, class_id, group_id, group_size, c.size - 1 + coalesce(linked, 0) AS n_links FROM m JOIN c USING (class_id) JOIN g USING (class_id) LEFT JOIN k USING (class_id)
+    """,
     "p4_drawn": r"""
         WITH u AS (SELECT pool_id, custom_id, max(is_off_topic) AS off FROM session_manifest WHERE session_parse_error IS NULL AND custom_id IS NOT NULL GROUP BY ALL),
         x AS (SELECT p.pool_id, 'in_domain' AS domain, least(coalesce(p.target_in_domain, 0), count(u.custom_id)) AS n FROM pool_inventory p LEFT JOIN u ON u.pool_id = p.pool_id AND NOT off GROUP BY p.pool_id, p.target_in_domain
