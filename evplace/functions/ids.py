@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-#: The fields of a piece of evidence that its id covers, in their sorted order.
+# The fields of a piece of evidence that its id covers, in their sorted order.
 EVIDENCE_FIELDS = ("author", "category", "fact", "published_at", "source", "title", "url")
 
 
@@ -49,6 +49,11 @@ def evidence_id_of_session(session: Column) -> Column:
     return F.substring(part, F.lit(4), F.length(part))
 
 
+def record_evidence_id(top: Column, nested: Column) -> Column:
+    """The evidence id of a record: its own, else that of its nested evidence; empty counts as missing."""
+    return F.coalesce(F.nullif(top, F.lit("")), F.nullif(nested, F.lit("")))
+
+
 def persona_of_session(session: Column) -> Column:
     part = F.get(F.filter(F.split(session, "__"), lambda p: F.startswith(p, F.lit("p-")) & (F.length(p) > 2)), F.lit(0))
     return F.substring(part, F.lit(3), F.length(part))

@@ -80,6 +80,12 @@ def shorten(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
 
 
+def human_date(raw: Column) -> Column:
+    """An ISO date as people write it, labelled UTC as it stands; anything else as it is."""
+    parsed = F.try_to_timestamp(F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})", 1), F.lit("yyyy-MM-dd['T'][' ']HH:mm:ss"))
+    return F.coalesce(F.date_format(parsed, "MMMM dd, yyyy 'at' hh:mm a 'UTC'"), raw)
+
+
 def markdown_cell(c: Column) -> Column:
     """A text made safe for a cell of a table."""
     return F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -70,44 +73,63 @@ def chunk_words(df: DataFrame, key: str, text: Column, size: int = 256, overlap:
     return out.select("doc_key", F.concat(F.col("doc_key").cast("string"), F.lit("__chunk_"), "chunk_index").alias("chunk_id"), "chunk_index", F.array_join(F.slice("w", F.col("chunk_index") * step + 1, F.lit(size)), " ").alias("text"))
 
 
+_TOKEN = re.compile(r"\w+|[^\w\s]+")
+
+
+def word_punctuation_count(text: str) -> int:
+    """Tokens of the public word-punctuation tokenizer: word runs and runs of other non-blank characters."""
+    return len(_TOKEN.findall(text))
+
+
 def split_recursive(text: str, size: int, overlap: int, count: Callable[[str], int], separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
-    """Pieces of at most ``size`` tokens, cut at the coarsest separator that serves, with overlap between pieces."""
+    """Pieces of at most ``size`` tokens, cut at the coarsest separator that serves, with overlap between pieces.
+
+    Every part is counted once; a window's size is the sum of its parts and separators, which no joined text exceeds.
+    """
     sep = next((s for s in separators if s and s in text), "")
     finer = separators[separators.index(sep) + 1 :] if sep else ()
-    parts = text.split(sep) if sep else list(text)
+    between = count(sep) if sep.strip() else 0
     out: list[str] = []
-    window: list[str] = []
+    window: deque[tuple[str, int]] = deque()
+    total = 0  # tokens of the window, each part with the separator after it
 
     def flush() -> None:
-        joined = sep.join(window).strip()
+        joined = sep.join(p for p, _ in window).strip()
         if joined:
             out.append(joined)
 
-    for part in parts:
-        if count(part) > size and finer:
+    for part in text.split(sep) if sep else list(text):
+        n = count(part)
+        if n > size and finer:
             flush()
-            window = []
+            window.clear()
+            total = 0
             out.extend(split_recursive(part, size, overlap, count, finer))
             continue
-        if window and count(sep.join([*window, part])) > size:
+        if window and total + n > size:
             flush()
-            while window and (count(sep.join(window)) > overlap or count(sep.join([*window, part])) > size):
-                window.pop(0)
-        window.append(part)
+            while window and (total - between > overlap or total + n > size):
+                total -= window.popleft()[1] + between
+        window.append((part, n))
+        total += n + between
     flush()
     return out
 
 
 def chunk_recursive(df: DataFrame, key: str, text: Column, size: int = 256, overlap: int = 32, counter: Callable[[str], int] | None = None) -> DataFrame:
-    """Chunks of a recursive splitter; the token counter is pluggable (default: words)."""
-    count = counter or (lambda s: len(s.split()))
-
-    @F.pandas_udf("array<string>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            yield series.map(lambda t: split_recursive(t, size, overlap, count) if t else [])
-
-    rows = df.select(F.col(key).alias("doc_key"), F.posexplode(pieces(text)).alias("chunk_index", "text"))
+    """Chunks of a recursive splitter; the token counter is pluggable (default: the public word-punctuation tokenizer)."""
+    count = counter or word_punctuation_count
+    kind = df.schema[key].dataType
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [split_recursive(t, size, overlap, count) if t else [] for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in each], np.int64)
+            origin = np.repeat(np.arange(len(each)), sizes)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin)), pa.array(place.astype(np.int32)), pa.array([p for x in each for p in x], pa.string())], ["doc_key", "chunk_index", "text"])
+
+    rows = df.select(F.col(key).alias("doc_key"), text.alias("t")).mapInArrow(pieces, f"doc_key {kind.simpleString()}, chunk_index int, text string")
     return rows.select("doc_key", F.concat(F.col("doc_key").cast("string"), F.lit("__chunk_"), "chunk_index").alias("chunk_id"), "chunk_index", "text")
 
 

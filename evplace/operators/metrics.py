@@ -26,6 +26,13 @@ def mixed_top(runs: DataFrame, k: int = 10) -> DataFrame:
     return both.select("run_id", "gold_id", "rank")
 
 
+def chunks_by_score(runs: DataFrame, column: str) -> DataFrame:
+    """(run_id, place, r): every retrieved chunk by score, null scores as 0, equal ones as they came; no url is merged."""
+    rows = runs.select("run_id", F.posexplode(column).alias("pos", "r"))
+    w = W.Window.partitionBy("run_id").orderBy(F.desc(F.coalesce("r.score", F.lit(0.0))), "pos")
+    return rows.select("run_id", F.row_number().over(w).alias("place"), "r")
+
+
 def mixed_recall(runs: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     """Share of each run's gold ids among its first k; null without gold. ``gold``: run_id, gold_id (repeats count)."""
     found = mixed_top(runs, k).select("run_id", "gold_id").distinct().withColumn("hit", F.lit(1))

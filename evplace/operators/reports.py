@@ -26,6 +26,7 @@ def failures_by(runs: DataFrame, by: str) -> DataFrame:
         F.count_if(pre).alias("n_pre_llm"),
         F.count_if(bad & ~pre).alias("n_llm_stage"),
         F.round(F.coalesce(F.avg(F.when(bad, F.col("latency_s"))), F.lit(0.0)), 6).alias("mean_latency_s"),
+        F.round(F.coalesce(F.avg(F.when(bad, F.col("input_tokens"))), F.lit(0.0)), 6).alias("mean_input_tokens"),
         F.round(F.count_if(bad) / F.count("*"), 6).alias("failure_rate"),
     )
 

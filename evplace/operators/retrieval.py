@@ -194,13 +194,16 @@ def best_of_partition(shared, keep: int, rows: int = 1024):
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = shared.value
+        names, matrix, skip = shared.value
         best_scores = np.zeros((len(names), 0))
         best_ids: np.ndarray | None = None
         for pdf in batches:
             for start in range(0, len(pdf), rows):
                 part = pdf.iloc[start : start + rows]
                 scores = np.round(matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T, 6)
+                for j, chunk_id in enumerate(part["chunk_id"].tolist() if skip else ()):
+                    if chunk_id in skip:
+                        scores[skip[chunk_id], j] = -np.inf
                 ids = np.broadcast_to(part["chunk_id"].to_numpy(), scores.shape)
                 scores = np.concatenate([best_scores, scores], axis=1)
                 ids = ids if best_ids is None else np.concatenate([best_ids, ids], axis=1)
@@ -209,7 +212,8 @@ def best_of_partition(shared, keep: int, rows: int = 1024):
                 top = np.take_along_axis(by_id, by_score, 1)
                 best_scores, best_ids = np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
         if best_ids is not None:
-            yield pd.DataFrame({"query_id": np.repeat(names, best_ids.shape[1]), "chunk_id": best_ids.ravel(), "score": best_scores.ravel()})
+            out = pd.DataFrame({"query_id": np.repeat(names, best_ids.shape[1]), "chunk_id": best_ids.ravel(), "score": best_scores.ravel()})
+            yield out[out["score"] > -np.inf]
 
     return search
 
@@ -225,24 +229,25 @@ def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, exclude: DataFram
     blocks = max(1, -(-ask.count() // block))
     base = chunks.select("chunk_id", "vector")
     types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
-    more = 0
-    if exclude is not None:
-        # Over-fetch by the most exclusions of any query, then drop them: the same as excluding before ranking.
-        more = exclude.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    left_out = None if exclude is None else materialise(exclude.select("query_id", "chunk_id").distinct(), "left-out")
     out: DataFrame | None = None
     for i in range(blocks):
-        rows = ask.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {i}")).collect()
+        mine = F.expr(f"pmod(xxhash64(query_id), {blocks}) = {i}")
+        rows = ask.where(mine).collect()
         if not rows:
             continue
         ids = np.array([r[0] for r in rows], dtype=object)
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], dtype=np.float64)))
+        place = {q: n for n, q in enumerate(ids.tolist())}
+        skip: dict[object, list[int]] = {}
+        for q, chunk in [] if left_out is None else left_out.where(mine).collect():
+            if q in place:
+                skip.setdefault(chunk, []).append(place[q])
+        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], dtype=np.float64), skip))
 
-        part = base.mapInPandas(best_of_partition(shared, k + more), types)
+        part = base.mapInPandas(best_of_partition(shared, k), types)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], types)
-    if exclude is not None:
-        out = out.join(exclude, ["query_id", "chunk_id"], "left_anti")
     ranked = top_k(out, k)
     return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
 
@@ -293,6 +298,22 @@ def recall_at_k(found: DataFrame, gold: DataFrame) -> DataFrame:
 # Store deltas: what one run removes from and adds to the candidates, as relations keyed by run.
 
 
+@dataclass
+class Delta:
+    """exclude (run_id, url), strip and ensure (run_id, session_id). The stores themselves are never changed, so nothing is restored."""
+
+    exclude: DataFrame
+    strip: DataFrame
+    ensure: DataFrame
+
+    @classmethod
+    def none(cls, runs: DataFrame) -> Delta:
+        """The delta of a dry run: nothing is excluded, stripped or ensured."""
+        empty = runs.select("run_id").limit(0)
+        named = lambda c: empty.withColumn(c, F.lit(None).cast("string"))
+        return cls(named("url"), named("session_id"), named("session_id"))
+
+
 def delta_counts(runs: DataFrame, memory: DataFrame, docs: DataFrame, strip: DataFrame, ensure: DataFrame, exclude: DataFrame) -> DataFrame:
     """Candidates of each run after its delta, without building run x chunk.
 

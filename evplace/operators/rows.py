@@ -86,3 +86,32 @@ def weighted_marginal(weights: DataFrame, shares: DataFrame, group: str, key: st
     w = W.Window.partitionBy(group)
     total = F.sum("raw").over(w)
     return g.select(group, level, F.round(F.when(total > 0, F.col("raw") / total).otherwise(1.0 / F.count("*").over(w)), 6).alias("share"))
+
+
+def hop_count(memory: Column, documents: Column) -> Column:
+    """Pieces of evidence in both channels, repeats counted; null counts as none."""
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return n(memory) + n(documents)
+
+
+def attach_persona(df: DataFrame, known: DataFrame) -> DataFrame:
+    """``df`` with the persona of its query, ``tbd`` without one. known: query (stripped, unique), persona."""
+    return df.withColumn("__q", F.trim("query")).join(known.select(F.col("query").alias("__q"), "persona"), "__q", "left").drop("__q").withColumn("persona", F.coalesce("persona", F.lit("tbd")))
+
+
+def record_persona(df: DataFrame) -> Column:
+    """The target persona of a record, else its persona, else unknown; empty counts as missing."""
+    named = [F.nullif(F.col(c), F.lit("")) for c in ("target_persona_id", "persona_id") if c in df.columns]
+    return F.coalesce(*named, F.lit("unknown"))
+
+
+def audit_rows(sessions: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, orphans): sessions joined to their manifest entry, and the ids of those without entry, evidence or turns.
+
+    sessions: session_id, session. manifest: custom_id, evidence, is_temporal, question_type. Blank ids are left out.
+    """
+    entry = manifest.select(F.col("custom_id").alias("session_id"), "evidence", "is_temporal", "question_type", F.lit(True).alias("__known"))
+    j = sessions.withColumn("session_id", strip(F.col("session_id"))).where("session_id <> ''").join(entry, "session_id", "left")
+    sound = F.coalesce(F.col("__known"), F.lit(False)) & F.col("evidence").isNotNull() & F.col("session").isNotNull()
+    temporal = F.coalesce("is_temporal", F.lit(False)) | F.coalesce(F.col("question_type") == "temporal_query", F.lit(False))
+    return j.where(sound).withColumn("is_temporal", temporal).drop("__known"), j.where(~sound).select("session_id")

@@ -1,7 +1,8 @@
 """Seeded sampling, splitting and allocation.
 
 Every sampler takes the records with the least hash of seed and key within their stratum, so results do not depend
-on row order, partitioning or engine. Row limits per stratum are window ranks, which Spark prunes before the shuffle.
+on row order, partitioning or engine. Row limits per stratum are window ranks. Spark prunes ranks before the shuffle only
+against a constant, so a rank is first compared with the greatest limit of any stratum, then with its own.
 """
 
 from __future__ import annotations
@@ -49,13 +50,18 @@ def largest_remainder(weights: DataFrame, total: int, weight: str = "weight", or
     return out.withColumn("n", (F.col("__base") + F.when(rank <= left, 1).otherwise(0)).cast("long")).drop("__raw", "__base")
 
 
+def _most(sizes: DataFrame, column: str | Column) -> int:
+    """The greatest limit of any stratum: one number, against which ranks are pruned before the shuffle."""
+    return sizes.agg(F.max(column)).first()[0] or 0
+
+
 def stratified(df: DataFrame, stratum: str, key: str, sizes: DataFrame, seed: int = 42) -> DataFrame:
     """Exact sizes per stratum (``sizes``: stratum, n); an error if one has too few."""
     short = sizes.join(df.groupBy(stratum).count(), stratum, "left").where(F.coalesce("count", F.lit(0)) < F.col("n")).head()
     if short is not None:
         raise ValueError(f"stratum too small: {short.asDict()}")
     w = W.Window.partitionBy(stratum).orderBy(hash_rank(seed, F.col(key)), key)
-    return df.withColumn("__r", F.row_number().over(w)).join(sizes, stratum).where(F.col("__r") <= F.col("n")).drop("__r", "n")
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= _most(sizes, "n")).join(sizes, stratum).where(F.col("__r") <= F.col("n")).drop("__r", "n")
 
 
 def coverage_reserve(df: DataFrame, key: str, covariates: Sequence[str], total: int, minimum: int, seed: int = 42) -> DataFrame:
@@ -66,7 +72,8 @@ def coverage_reserve(df: DataFrame, key: str, covariates: Sequence[str], total:
     expected = F.col("size") / F.lit(max(pool, 1)) * F.lit(total)
     need = F.when(F.col("size") < minimum, F.col("size")).when(expected < minimum, F.lit(minimum) - F.floor(expected)).otherwise(0)
     w = W.Window.partitionBy("covariate", "level").orderBy(hash_rank(seed, F.col(key)), key)
-    ranked = long.withColumn("__r", F.row_number().over(w)).join(size.select("covariate", "level", need.alias("need")).where("need > 0"), ["covariate", "level"])
+    # A level needs the minimum at most.
+    ranked = long.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= minimum).join(size.select("covariate", "level", need.alias("need")).where("need > 0"), ["covariate", "level"])
     return ranked.where(F.col("__r") <= F.col("need")).select(key).distinct()
 
 
@@ -76,7 +83,7 @@ def coverage_sample(df: DataFrame, key: str, stratum: str, sizes: DataFrame, cov
     kept = coverage_reserve(df, key, covariates, total, minimum, seed).withColumn("reserved", F.lit(1))
     rows = df.join(kept, key, "left").withColumn("reserved", F.coalesce("reserved", F.lit(0)))
     w = W.Window.partitionBy(stratum).orderBy(F.desc("reserved"), hash_rank(seed, F.col(key)), key)
-    return rows.withColumn("__r", F.row_number().over(w)).join(sizes, stratum).where(F.col("__r") <= F.col("n")).drop("__r", "n")
+    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= _most(sizes, "n")).join(sizes, stratum).where(F.col("__r") <= F.col("n")).drop("__r", "n")
 
 
 def tiered_fill(df: DataFrame, groups: Sequence[str], key: str, evidence: str, tier: Column, needed: Column, seed: int = 42) -> DataFrame:
@@ -85,7 +92,7 @@ def tiered_fill(df: DataFrame, groups: Sequence[str], key: str, evidence: str, t
     rows = df.withColumns({"__t": tier, "__h": h, "__need": needed})
     once = rows.withColumn("__e", F.row_number().over(W.Window.partitionBy(*groups, evidence).orderBy("__t", "__h", key))).where("__e = 1")
     w = W.Window.partitionBy(*groups).orderBy("__t", "__h", key)
-    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("__need")).withColumnRenamed("__t", "tier").drop("__h", "__need", "__e")
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= _most(df, needed)).where(F.col("place") <= F.col("__need")).withColumnRenamed("__t", "tier").drop("__h", "__need", "__e")
 
 
 def smoke_subset(df: DataFrame, key: str, kind: str, seed: int = 42) -> DataFrame:
@@ -118,6 +125,12 @@ PROFILES = {
     },
 }
 TRANSACTIONAL = {"turns": [0.55, 0.45], "drift": [0.78, 0.22]}  # fixed values: over the first two turn ranges and drifts
+# For a persona without profile. Categories count their scenarios, of which one is drawn evenly.
+SCENARIOS = {"professional": 6, "casual": 6, "transactional": 3}
+GLOBAL = {"categories": SCENARIOS, "turns": [0.35, 0.25, 0.25, 0.15], "drift": [[0.88, 0.10, 0.02], [0.78, 0.18, 0.04], [0.5, 0.4, 0.1], [0.45, 0.45, 0.1]]}
+PLACEMENTS = ["early", "middle", "late"]
+DENSITIES = ["single_message", "multi_message"]
+N_MESSAGES = 10  # fixed value: wordings of the request
 
 
 def drift_weights(profile: dict) -> dict[str, float]:
@@ -136,10 +149,10 @@ def weighted_pick(unit: Column, names: Sequence[str], weights: Sequence[float])
 
 
 def diversity_draw(df: DataFrame, key: str, persona: str, seed: int = 42) -> DataFrame:
-    """Category, turn range and topic drift of each request, drawn by its persona's weights.
+    """Category, scenario, turn range, topic drift, placement, density and wording of each request, drawn by its persona's weights.
 
     Each draw has its own hash, so none depends on the order of rows. Transactional sessions draw from the two shortest
-    turn ranges and the two narrowest drifts. A persona without profile draws evenly.
+    turn ranges and the two narrowest drifts, with early evidence. A persona without profile draws by the global weights.
     """
     unit = lambda name: hash_unit(seed, F.lit(name), F.col(key), F.col(persona))
 
@@ -147,8 +160,7 @@ def diversity_draw(df: DataFrame, key: str, persona: str, seed: int = 42) -> Dat
         out = None
         for name, profile in PROFILES.items():
             out = F.when(F.col(persona) == name, pick(profile)) if out is None else out.when(F.col(persona) == name, pick(profile))
-        even = {"categories": dict.fromkeys(PROFILES["persona_1"]["categories"], 1.0), "turns": [1.0] * 4, "drift": [[1.0] * 3] * 4}
-        return out.otherwise(pick(even))
+        return out.otherwise(pick(GLOBAL))
 
     rows = df.withColumn("category", by_persona(lambda p: weighted_pick(unit("category"), list(p["categories"]), list(p["categories"].values()))))
     short = F.col("category") == "transactional"
@@ -161,7 +173,16 @@ def diversity_draw(df: DataFrame, key: str, persona: str, seed: int = 42) -> Dat
             out = F.when(F.col("turns") == name, pick) if out is None else out.when(F.col("turns") == name, pick)
         return out
 
-    return rows.withColumn("drift", F.when(short, weighted_pick(unit("drift"), TOPIC_DRIFTS[:2], TRANSACTIONAL["drift"])).otherwise(by_persona(drift)))
+    rows = rows.withColumn("drift", F.when(short, weighted_pick(unit("drift"), TOPIC_DRIFTS[:2], TRANSACTIONAL["drift"])).otherwise(by_persona(drift)))
+    each = F.create_map(*[F.lit(x) for kv in SCENARIOS.items() for x in kv])[F.col("category")]
+    return rows.withColumns(
+        {
+            "scenario_no": (F.floor(unit("scenario") * each) + 1).cast("int"),
+            "placement": F.when(short, PLACEMENTS[0]).otherwise(weighted_pick(unit("placement"), PLACEMENTS, [1.0] * len(PLACEMENTS))),
+            "density": weighted_pick(unit("density"), DENSITIES, [1.0] * len(DENSITIES)),
+            "message_no": (F.floor(unit("message") * N_MESSAGES) + 1).cast("int"),
+        }
+    )
 
 
 def _allocate(n: int, weights: list[float]) -> list[int]:

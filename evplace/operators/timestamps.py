@@ -10,7 +10,9 @@ sources, which the planner broadcasts when its size allows.
 Defined results: null, blank, unreadable or impossible values, months or years
 alone, values without zone whose source is null or unknown, numeric dates whose
 order the source does not fix, and local times that the clock shows twice or
-never (unless the policy says otherwise) give null and a ``status``. The status
+never (unless the policy says otherwise) give null and a ``status``. Zone abbreviations with
+several readings have one here: ``bst`` is British summer time, ``ist`` India's,
+``cst`` and ``mst`` those of North America. The status
 is one of ok, empty, unreadable, impossible, no_zone, ambiguous, nonexistent.
 """
 

@@ -10,6 +10,7 @@ from ..operators import evidence as ev
 from ..operators import metrics, prompts, relational, reports, sampling
 from ..operators.chunking import transcript
 from ..operators.chunking import chunk_pair as pair_chunks
+from ..session import materialise
 from ..sources.tables import table
 from . import views as v
 from .report_queries import OK_SQL, POOL_COUNTS, pool_inventory_counts
@@ -129,8 +130,8 @@ def screening_scores(spark, d):
 # Retrieval metrics of runs.
 
 
-def _gold_ids(spark, d):
-    g = _gold(spark, d)
+def _gold_ids(spark, d, g=None):
+    g = _gold(spark, d) if g is None else g
     docs = g.where("variant <> 'memory_only'").select("run_id", F.concat(F.lit("doc::"), "url").alias("gold_id"))
     return docs.unionByName(g.where("variant <> 'document_only'").select("run_id", F.concat(F.lit("mem::"), "session_id").alias("gold_id")))
 
@@ -147,8 +148,8 @@ _MIXED = f"""{_GOLD}, gid AS (SELECT run_id, 'doc::' || url AS gold_id FROM gold
 
 
 @query(f"WITH {_MIXED} SELECT * FROM rec")
-def recall_at_k_mixed(spark, d):
-    return metrics.mixed_recall(v.runs(spark, d, "retrieved_documents", "retrieved_memory"), _gold_ids(spark, d))
+def recall_at_k_mixed(spark, d, gold=None):
+    return metrics.mixed_recall(v.runs(spark, d, "retrieved_documents", "retrieved_memory"), _gold_ids(spark, d, gold))
 
 
 @query(f"""WITH {_GOLD} SELECT run_id, coalesce(len(list(url) FILTER (variant <> 'memory_only')), 0) + coalesce(len(list(session_id) FILTER (variant <> 'document_only')), 0) AS n_gold FROM gold GROUP BY 1""")
@@ -236,15 +237,17 @@ def gold_document_memory_recall(spark, d):
 
 # Feature tables.
 
+_CATEGORIES = ("professional", "casual", "transactional")
 _DIV = f"""{_GOLD}, {v.MANIFEST}, dv AS (SELECT g.run_id, m.* FROM gold g JOIN manifest m ON m.custom_id = g.session_id WHERE g.variant <> 'document_only'),
   df AS (SELECT run_id, count(*) AS n_sessions, round(avg(coalesce((evidence_placement = 'late')::INT, 0)), 6) AS frac_late, round(avg(coalesce((evidence_placement = 'middle')::INT, 0)), 6) AS frac_middle,
     round(avg(coalesce((topic_drift IN ('moderate', 'wide'))::INT, 0)), 6) AS frac_drift, round(avg(coalesce((evidence_density = 'multi_message')::INT, 0)), 6) AS frac_multi,
+    round(avg(coalesce((topic_drift = 'wide')::INT, 0)), 6) AS frac_wide, {', '.join(f"round(avg(coalesce((lower(trim(scenario_category)) = '{c}')::INT, 0)), 6) AS frac_{c}" for c in _CATEGORIES)},
     max(turn_range[2]) AS max_turns, max(turn_range[2]) - min(turn_range[2]) AS turns_spread, round(avg((turn_range[1] + turn_range[2]) / 2.0), 6) AS mean_turns FROM dv GROUP BY 1)"""
 
 
-def _diversity(spark, d):
-    g = _gold(spark, d).where("variant <> 'document_only'").select("run_id", F.col("session_id").alias("custom_id"))
-    m = v.manifest(spark, d, "evidence_placement", "topic_drift", "evidence_density", "turn_range").drop("arrived_at")
+def _diversity(spark, d, g=None):
+    g = (_gold(spark, d) if g is None else g).where("variant <> 'document_only'").select("run_id", F.col("session_id").alias("custom_id"))
+    m = v.manifest(spark, d, "evidence_placement", "topic_drift", "evidence_density", "turn_range", "scenario_category").drop("arrived_at")
     share = lambda cond: F.round(F.avg(F.coalesce(cond.cast("int"), F.lit(0))), 6)
     upper, lower = F.get("turn_range", F.lit(1)), F.get("turn_range", F.lit(0))
     return g.join(m, "custom_id").groupBy("run_id").agg(
@@ -253,6 +256,8 @@ def _diversity(spark, d):
         share(F.col("evidence_placement") == "middle").alias("frac_middle"),
         share(F.col("topic_drift").isin("moderate", "wide")).alias("frac_drift"),
         share(F.col("evidence_density") == "multi_message").alias("frac_multi"),
+        share(F.col("topic_drift") == "wide").alias("frac_wide"),
+        *[share(text.category_key(F.col("scenario_category")) == c).alias(f"frac_{c}") for c in _CATEGORIES],
         F.max(upper).alias("max_turns"),
         (F.max(upper) - F.min(upper)).alias("turns_spread"),
         F.round(F.avg((lower + upper) / 2.0), 6).alias("mean_turns"),
@@ -274,20 +279,25 @@ def model_features(spark, d):
     r = relational.rename_missing(r, {"eval_persona": "persona", "variant": "dist"})
     c = v.question_categories(spark, d).select("question_idx", "categories")
     h = v.questions(spark, d, "hop_count").drop("arrived_at")
-    out = r.join(c, "question_idx").join(h, "question_idx", "left").join(recall_at_k_mixed(spark, d).select("run_id", "recall"), "run_id").join(_diversity(spark, d), "run_id", "left")
+    g = materialise(_gold(spark, d), "gold")  # recall and diversity both read it
+    out = r.join(c, "question_idx").join(h, "question_idx", "left").join(recall_at_k_mixed(spark, d, g).select("run_id", "recall"), "run_id").join(_diversity(spark, d, g), "run_id", "left")
     return out.select("run_id", "block_id", "agent", "dist", "persona", text.exact_match(F.col("prediction"), F.col("gold_answer")).cast("int").alias("correct"),
                       ev.topical_relevance(F.col("categories"), F.col("persona")).alias("relevance"), "recall", "hop_count", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), "frac_late", "max_turns")
 
 
 @query(f"""WITH {_GOLD}, {v.MANIFEST}, {v.DOMAINS}, au AS (SELECT g.run_id, g.session_id, m.evidence_placement, m.evidence_density, m.is_temporal, list_contains(list_transform(r.retrieved_memory, lambda x: x.session_id), g.session_id) AS retrieved,
-    CASE WHEN m.session_parse_error IS NOT NULL THEN NULL ELSE m.evidence_placement IS NOT NULL END AS complete FROM gold g JOIN runs r USING (run_id) JOIN manifest m ON m.custom_id = g.session_id WHERE g.variant = 'memory_only') SELECT * FROM au""")
+    CASE WHEN m.session_parse_error IS NOT NULL THEN NULL ELSE m.evidence_placement IS NOT NULL END AS complete,
+    CASE WHEN nullif(lower({v.strip_sql('e.category')}), '') IS NOT NULL THEN coalesce(list_contains(d.domains, lower({v.strip_sql('e.category')})), false) END AS evidence_in_domain
+    FROM gold g JOIN runs r USING (run_id) JOIN manifest m ON m.custom_id = g.session_id LEFT JOIN evidence e ON e.evidence_id = m.evidence_id LEFT JOIN domains d ON d.persona = g.persona WHERE g.variant = 'memory_only') SELECT * FROM au""")
 def audit_table(spark, d):
     """One row per gold session of a memory-only run, with its diversity, hit and completeness (unknown after a parse error)."""
     r = v.runs(spark, d, "variant", "retrieved_memory").where("variant = 'memory_only'").select("run_id", F.transform("retrieved_memory", lambda x: x.session_id).alias("got"))
-    g = _gold(spark, d).select("run_id", "session_id").join(r, "run_id")
-    m = v.manifest(spark, d, "session_parse_error", "evidence_placement", "evidence_density", "is_temporal").withColumnRenamed("custom_id", "session_id")
+    g = _gold(spark, d).select("run_id", "session_id", "persona").join(r, "run_id")
+    e = v.evidence(spark, d, "category").select("evidence_id", "category")
+    m = v.manifest(spark, d, "evidence_id", "session_parse_error", "evidence_placement", "evidence_density", "is_temporal").withColumnRenamed("custom_id", "session_id").join(e, "evidence_id", "left")
+    in_domain = F.when(text.category_key(F.col("category")).isNotNull(), ev.evidence_in_domain(F.col("category"), F.col("persona")))
     complete = F.when(F.col("session_parse_error").isNotNull(), None).otherwise(F.col("evidence_placement").isNotNull())
-    return g.join(m, "session_id").select("run_id", "session_id", "evidence_placement", "evidence_density", "is_temporal", F.array_contains("got", F.col("session_id")).alias("retrieved"), complete.alias("complete"))
+    return g.join(m, "session_id").select("run_id", "session_id", "evidence_placement", "evidence_density", "is_temporal", F.array_contains("got", F.col("session_id")).alias("retrieved"), complete.alias("complete"), in_domain.alias("evidence_in_domain"))
 
 
 @query(f"""WITH {_GOLD}, x AS (SELECT g.run_id, g.session_id, list_contains(list_transform(r.retrieved_memory, lambda x: x.session_id), g.session_id) AS by_session, list_contains(list_transform(r.retrieved_documents, lambda x: x.url), g.url) AS by_url
@@ -379,7 +389,7 @@ def persona_corpus(spark, d):
     chosen = sampling.corpus_fill(m, "pool_id", "target_persona_id", "is_off_topic", "custom_id", "evidence_id", tier, {False: 375, True: 125}, levels, weights, even)
     kept = chosen.join(m, ["pool_id", "custom_id"])
     dated = sampling.session_times(kept, "custom_id", F.to_timestamp(F.substring("session_date", 1, 10), "yyyy/MM/dd"), "2023-07-01", "2024-02-29")
-    return dated.select("pool_id", "custom_id", "is_off_topic", "tier", "session_time").sortWithinPartitions("pool_id", "session_time", "custom_id")
+    return dated.select("pool_id", "custom_id", "is_off_topic", "tier", "session_time").repartition("pool_id").sortWithinPartitions("pool_id", "session_time", "custom_id")
 
 
 @query(f"""WITH {v.MANIFEST}, {v.EVIDENCE} SELECT custom_id, 'You write a chat between a user and an assistant. The user is ' || target_persona_id || CASE WHEN is_off_topic THEN ', outside their usual topics.' ELSE '.' END || chr(10) || chr(10) || 'Scenario: ' || coalesce(scenario, 'any') || chr(10) || chr(10)

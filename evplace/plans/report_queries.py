@@ -34,6 +34,7 @@ def _scored(spark, d):
 
 @query(f"""WITH {v.RUNS} SELECT agent, count(*) AS n_runs, count(*) FILTER (prediction = '[INFERENCE_FAILED]') AS n_failed, count(*) FILTER (prediction = '[INFERENCE_FAILED]' AND coalesce(input_tokens = 0, false)) AS n_pre_llm,
     count(*) FILTER (prediction = '[INFERENCE_FAILED]' AND NOT coalesce(input_tokens = 0, false)) AS n_llm_stage, round(coalesce(avg(latency_s) FILTER (prediction = '[INFERENCE_FAILED]'), 0), 6) AS mean_latency_s,
+    round(coalesce(avg(input_tokens) FILTER (prediction = '[INFERENCE_FAILED]'), 0), 6) AS mean_input_tokens,
     round(count(*) FILTER (prediction = '[INFERENCE_FAILED]') / count(*), 6) AS failure_rate FROM runs GROUP BY 1""")
 def failure_by_agent(spark, d):
     return reports.failures_by(v.runs(spark, d, "agent", "prediction", "input_tokens", "latency_s"), "agent")
@@ -268,17 +269,19 @@ def _pick(unit: str, names, weights) -> str:
     return f"{out} ELSE '{names[-1]}' END"
 
 
-_U = {n: v.unit_sql(42, f"'{n}'", "evidence_id", "persona") for n in ("category", "turns", "drift")}
+_U = {n: v.unit_sql(42, f"'{n}'", "evidence_id", "persona") for n in ("category", "turns", "drift", "scenario", "placement", "density", "message")}
 _P = sampling.PROFILES
-_BY = lambda f: "CASE persona " + " ".join(f"WHEN '{p}' THEN {f(w)}" for p, w in _P.items()) + " END"
+_BY = lambda f: "CASE persona " + " ".join(f"WHEN '{p}' THEN {f(w)}" for p, w in _P.items()) + f" ELSE {f(sampling.GLOBAL)} END"
 _DRIFT = lambda w: "CASE turns " + " ".join(f"WHEN '{t}' THEN {_pick(_U['drift'], sampling.TOPIC_DRIFTS, x)}" for t, x in zip(sampling.TURN_RANGES, w["drift"])) + " END"
 
 
-@query(f"""WITH {v.EVIDENCE}, p AS (SELECT evidence_id, unnest({list(_P)}) AS persona FROM evidence), c AS (SELECT *, {_BY(lambda w: _pick(_U['category'], list(w['categories']), list(w['categories'].values())))} AS category FROM p),
+@query(f"""WITH {v.EVIDENCE}, p AS (SELECT evidence_id, unnest({[*_P, "persona_4"]}) AS persona FROM evidence), c AS (SELECT *, {_BY(lambda w: _pick(_U['category'], list(w['categories']), list(w['categories'].values())))} AS category FROM p),
     t AS (SELECT *, CASE WHEN category = 'transactional' THEN {_pick(_U['turns'], sampling.TURN_RANGES[:2], sampling.TRANSACTIONAL['turns'])} ELSE {_BY(lambda w: _pick(_U['turns'], sampling.TURN_RANGES, w['turns']))} END AS turns FROM c)
-    SELECT evidence_id, persona, category, turns, CASE WHEN category = 'transactional' THEN {_pick(_U['drift'], sampling.TOPIC_DRIFTS[:2], sampling.TRANSACTIONAL['drift'])} ELSE {_BY(_DRIFT)} END AS drift FROM t""")
+    SELECT evidence_id, persona, category, turns, CASE WHEN category = 'transactional' THEN {_pick(_U['drift'], sampling.TOPIC_DRIFTS[:2], sampling.TRANSACTIONAL['drift'])} ELSE {_BY(_DRIFT)} END AS drift,
+      (floor({_U['scenario']} * CASE category WHEN 'transactional' THEN 3 ELSE 6 END) + 1)::INT AS scenario_no, CASE WHEN category = 'transactional' THEN 'early' ELSE {_pick(_U['placement'], sampling.PLACEMENTS, [1, 1, 1])} END AS placement,
+      {_pick(_U['density'], sampling.DENSITIES, [1, 1])} AS density, (floor({_U['message']} * 10) + 1)::INT AS message_no FROM t""")
 def diversity_draw(spark, d):
-    e = v.evidence(spark, d, "url").select("evidence_id", F.explode(F.array(*[F.lit(p) for p in _P])).alias("persona"))
+    e = v.evidence(spark, d, "url").select("evidence_id", F.explode(F.array(*[F.lit(p) for p in [*_P, "persona_4"]])).alias("persona"))
     return sampling.diversity_draw(e, "evidence_id", "persona")
 
 
@@ -331,3 +334,45 @@ def drift_marginal(spark, d):
 def actual_turns(spark, d):
     t = v.turns(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.array_compact(F.collect_list(F.when(F.col("role") == "user", F.col("turn")))).alias("u"), F.array_compact(F.collect_list(F.when(F.col("role") == "assistant", F.col("turn")))).alias("a"))
     return t.select("session_id", rows.actual_turns(F.col("n"), F.lit(0)).alias("turns"), rows.all_required_present(F.col("u"), F.col("a"), F.col("u"), F.lit(None).cast("array<int>"), F.lit(False)).alias("complete"))
+
+
+@query(f"WITH {v.QUESTIONS}, {v.EVIDENCE} SELECT question_idx, count(e.evidence_id) AS hop_count FROM questions q LEFT JOIN evidence e ON e.source_question_id = q.question_id GROUP BY 1")
+def hop_counts(spark, d):
+    """Hops of a question: the pieces of its evidence in memory and in documents."""
+    n = v.evidence(spark, d, "source_question_id").groupBy(F.col("source_question_id").alias("question_id")).agg(F.collect_list("evidence_id").alias("e"))
+    q = v.questions(spark, d, "question_id").select("question_idx", "question_id").join(n, "question_id", "left")
+    half = F.floor(F.size("e") / 2).cast("int")
+    return q.select("question_idx", F.when(F.col("e").isNull(), 0).otherwise(rows.hop_count(F.slice("e", F.lit(1), half), F.slice("e", half + 1, F.size("e")))).cast("long").alias("hop_count"))
+
+
+@query(f"""WITH {v.QUESTIONS}, m AS (SELECT trim(query) AS query, min(original_persona) AS persona FROM questions WHERE original_persona IS NOT NULL GROUP BY 1 HAVING count(DISTINCT original_persona) = 1)
+    SELECT q.question_idx, coalesce(m.persona, 'tbd') AS persona FROM questions q LEFT JOIN m ON m.query = trim(q.query)""")
+def persona_column(spark, d):
+    """The persona of each question by its query, tbd where the map has none."""
+    q = v.questions(spark, d, "query", "original_persona")
+    known = q.where("original_persona is not null").groupBy(F.trim("query").alias("query")).agg(F.min("original_persona").alias("persona"), F.count_distinct("original_persona").alias("n")).where("n = 1").drop("n")
+    return rows.attach_persona(q, known).select("question_idx", "persona")
+
+
+@query(f"WITH {v.MANIFEST} SELECT coalesce(nullif(target_persona_id, ''), 'unknown') AS persona, count(*) AS n FROM manifest GROUP BY 1")
+def records_by_persona(spark, d):
+    m = v.manifest(spark, d, "target_persona_id")
+    return m.groupBy(rows.record_persona(m).alias("persona")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {v.RUNS}, {v.MANIFEST}, s AS (SELECT DISTINCT sid FROM (SELECT unnest(list_transform(retrieved_memory, lambda x: x.session_id)) AS sid FROM runs) WHERE sid <> '')
+    SELECT count(*) FILTER (m.custom_id IS NOT NULL) AS joined, count(*) FILTER (m.custom_id IS NULL) AS orphans, count(*) FILTER (m.custom_id IS NOT NULL AND m.session_parse_error IS NULL) AS ok, count(*) FILTER (m.session_parse_error IS NOT NULL) AS failed
+    FROM s LEFT JOIN manifest m ON m.custom_id = s.sid""")
+def audit_run_stats(spark, d):
+    """Retrieved sessions against the manifest: joined, without an entry, sound, failed."""
+    s = v.runs(spark, d, "retrieved_memory").select(F.explode("retrieved_memory.session_id").alias("session_id")).where("session_id <> ''").distinct()
+    m = v.manifest(spark, d, "session_parse_error").select(F.col("custom_id").alias("session_id"), "session_parse_error", F.lit(True).alias("known"))
+    j = s.join(m, "session_id", "left")
+    return j.agg(F.count("known").alias("joined"), F.count_if(F.col("known").isNull()).alias("orphans"), F.count_if(F.col("known") & F.col("session_parse_error").isNull()).alias("ok"), F.count_if(F.col("session_parse_error").isNotNull()).alias("failed"))
+
+
+@query(f"""WITH {v.RUNS}, x AS (SELECT run_id, i - 1 AS pos, retrieved_documents[i] AS r FROM (SELECT run_id, retrieved_documents, unnest(range(1, len(retrieved_documents) + 1)) AS i FROM runs))
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(r.score, 0) DESC, pos) AS place, r.url AS url FROM x""")
+def document_chunks_by_score(spark, d):
+    """All document chunks of a run by score, repeated urls kept."""
+    return metrics.chunks_by_score(v.runs(spark, d, "retrieved_documents"), "retrieved_documents").select("run_id", F.col("place").cast("long").alias("place"), F.col("r.url").alias("url"))

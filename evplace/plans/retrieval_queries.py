@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import retrieval as r
 from ..operators.sampling import split_fifty_fifty
+from ..session import materialise
 from ..sources.tables import table
 from . import views as v
 
@@ -174,7 +175,7 @@ def _gold(spark, d):
 
 
 def _delta(spark, d):
-    g = _gold(spark, d)
+    g = materialise(_gold(spark, d), "gold")  # read three times
     variant, side = F.col("variant"), F.col("side")
     exclude = g.where((variant == "memory_only") | ((variant == "integrated") & (side == "memory"))).select("run_id", "url")
     ensure = g.where((variant == "memory_only") | ((variant == "integrated") & (side == "memory"))).select("run_id", "session_id")

@@ -31,14 +31,14 @@ def persona_sessions(spark: SparkSession, path: str) -> DataFrame:
 def manifest_object(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object keyed by custom_id, one row per entry."""
     text = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", T.MapType(T.StringType(), s.MANIFEST))
-    return text.select(F.explode(entries).alias("custom_id", "m")).select("custom_id", "m.*")
+    entries = F.map_entries(F.from_json("value", T.MapType(T.StringType(), s.MANIFEST)))
+    return text.select(F.posexplode(entries).alias("entry_no", "e")).select("entry_no", F.col("e.key").alias("custom_id"), "e.value.*")
 
 
 def gold_evidence_by_url(manifest: DataFrame) -> DataFrame:
-    """url to evidence, the last id wins."""
+    """url to evidence, the last entry wins."""
     e = manifest.where("evidence.url is not null and trim(evidence.url) <> ''")
-    return e.groupBy(F.col("evidence.url").alias("url")).agg(F.max_by("evidence", "custom_id").alias("evidence"))
+    return e.groupBy(F.col("evidence.url").alias("url")).agg(F.max_by("evidence", F.struct("entry_no", "custom_id")).alias("evidence"))
 
 
 def evidence_id_to_url(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +48,8 @@ def evidence_id_to_url(spark: SparkSession, path: str) -> DataFrame:
 
 def audit_map(spark: SparkSession, path: str) -> DataFrame:
     """Audit results: error rows and blank ids out, missing key turns are empty, the last row of an id wins."""
-    raw = spark.read.schema(s.AUDIT).json(path).withColumn("__at", F.monotonically_increasing_id())
+    # Spark may read files and blocks in any order; the order of rows is that of file, block and row in it.
+    raw = spark.read.schema(s.AUDIT).json(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("__at"))
     ok = raw.where("error is null and trim(session_id) <> ''").withColumn("key_information", F.coalesce("key_information", F.array().cast("array<int>")))
     return keep_one(ok, ["session_id"], ["__at"], last=True).drop("__at")
 
@@ -70,11 +71,12 @@ def run_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_csv_folder(spark: SparkSession, path: str) -> DataFrame:
-    flat = T.StructType([f for f in s.RUN if not isinstance(f.dataType, T.ArrayType)])
-    df = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", "agent_*.csv").csv(path)
+    """Runs of the ``agent_*.csv`` files of a folder; array columns are JSON cells, as the writer makes them."""
+    df = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').option("pathGlobFilter", "agent_*.csv").csv(path)
     if not df.columns:
         raise ValueError("no CSV files")
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in flat if f.name in df.columns])
+    read = lambda f: F.from_json(f.name, f.dataType) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType)
+    return df.select(*[read(f).alias(f.name) for f in s.RUN if f.name in df.columns])
 
 
 def failures(spark: SparkSession, path: str) -> DataFrame:

@@ -25,3 +25,13 @@ RETRIEVED = struct(text=S, session_id=S, url=S, score=D, source_type=S)
 RUN = struct(question_idx=I, block_id=I, original_persona=S, eval_persona=S, variant=S, agent=S, query=S, prediction=S, gold_answer=S, question_type=S, latency_s=D, input_tokens=I, output_tokens=I, total_tokens=I, golden_memory_session_ids=T.ArrayType(S), golden_document_urls=T.ArrayType(S), retrieved_memory=T.ArrayType(RETRIEVED), retrieved_documents=T.ArrayType(RETRIEVED))
 AUDIT = struct(session_id=S, evidence_id=S, source_question_id=S, is_temporal=B, topic=T.ArrayType(I), source=T.ArrayType(I), key_information=T.ArrayType(I), published_at=T.ArrayType(I), notes=S, all_required_present=B, error=S)
 DESIGN = struct(Block1=I, dist=S, agent=S, persona=S)
+
+
+def strict_schema(node: object) -> object:
+    """A JSON schema whose objects with properties allow no others, at any depth; the given one is left as it is."""
+    if isinstance(node, list):
+        return [strict_schema(x) for x in node]
+    if not isinstance(node, dict):
+        return node
+    closed = {"additionalProperties": False} if node.get("type") == "object" and "properties" in node else {}
+    return {key: strict_schema(value) for key, value in node.items()} | closed

@@ -60,3 +60,15 @@ def write_requests(df: DataFrame, requests: str, manifest: str) -> None:
     """Batch requests and their manifest entries, one JSON object a line each."""
     df.select("custom_id", "prompt").write.mode("overwrite").json(requests)
     df.drop("prompt").write.mode("overwrite").json(manifest)
+
+
+def write_batch_meta(df: DataFrame, path: str, **settings: str) -> None:
+    """One JSON object about a batch: its number of requests, the settings it was made with, and no time (so equal batches give equal files)."""
+    row = df.agg(F.count("*").alias("n_requests"), F.count_distinct("custom_id").alias("n_custom_ids"))
+    row.select("*", *[F.lit(v).alias(k) for k, v in sorted(settings.items())]).write.mode("overwrite").json(path)
+
+
+def write_audit(rows: DataFrame, orphans: DataFrame, path: str, orphans_path: str) -> None:
+    """Audit rows appended to what is there, and the list of sessions without a manifest entry, sorted."""
+    write_rows(rows, path)
+    orphans.select("session_id").distinct().orderBy("session_id").coalesce(1).write.mode("overwrite").text(orphans_path)

@@ -1,13 +1,17 @@
 """Files in and out, retrieval, agents and streaming."""
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evplace.operators import agents, retrieval
+from evplace.functions import ids
+from evplace.functions.text import human_date
+from evplace.operators import agents, retrieval, rows
 from evplace.sources import readers, sinks
+from evplace.sources.schemas import strict_schema
 from evplace.streaming.runs import event_stream, run_to_table, windowed_counts
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,6 +95,17 @@ def test_cells_and_sinks(spark, tmp_path):
         sinks.write_rows(rows, str(tmp_path / name))
         sinks.write_rows(rows, str(tmp_path / name))
     assert spark.read.option("header", True).csv(str(tmp_path / "o.csv")).count() == spark.read.json(str(tmp_path / "o.jsonl")).count() == 4
+    # Array cells survive a CSV folder.
+    sinks.write_rows(spark.createDataFrame([(7, ["u1", "u2"])], "question_idx int, golden_document_urls array<string>").coalesce(1), str(tmp_path / "w.csv"))
+    (tmp_path / "runs").mkdir()
+    next((tmp_path / "w.csv").glob("*.csv")).rename(tmp_path / "runs" / "agent_1.csv")
+    assert [(r["question_idx"], r["golden_document_urls"]) for r in readers.run_csv_folder(spark, str(tmp_path / "runs")).collect()] == [(7, ["u1", "u2"])]
+    ids_ = spark.createDataFrame([("b",), ("a",), ("b",)], "session_id string")
+    sinks.write_audit(rows, ids_, str(tmp_path / "audit.jsonl"), str(tmp_path / "orphans"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "orphans")).collect()] == ["a", "b"] and spark.read.json(str(tmp_path / "audit.jsonl")).count() == 2
+    sinks.write_batch_meta(spark.createDataFrame([("c",)], "custom_id string"), str(tmp_path / "meta"), model="m")
+    assert spark.read.json(str(tmp_path / "meta")).first().asDict() == {"n_requests": 1, "n_custom_ids": 1, "model": "m"}
+    assert [r[0] for r in spark.createDataFrame([("2023-11-05T08:07:09+02:00",), ("soon",), (None,)], "d string").select(human_date(F.col("d"))).collect()] == ["November 05, 2023 at 08:07 AM UTC", "soon", None]
     sinks.write_by(rows, str(tmp_path / "p"), "variant")
     assert (tmp_path / "p" / "variant=v").exists()
     assert sinks.output_path("a_{variant}.json", "x") == "a_x.json"
@@ -233,11 +248,63 @@ def test_corrective_loops(spark):
     assert all(r["n_rounds"] == 1 for r in agents.corrective_v1(q, retrieve, client=Broken, wait=0).collect())
 
 
+def test_stream_writes_passed_windows_once_and_drops_late_rows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    event = lambda i, hours: (i, start + timedelta(hours=hours), "view", 1.0)
+    schema = "event_id long, ts timestamp_ntz, event_type string, value double"
+    # Files are taken one by one, in order of their time: on time, sent again, two days late.
+    for n, rows in enumerate(([event(i, i) for i in range(48)], [event(47, 47), event(100, 49)], [event(200, 1), event(201, 60)])):
+        part = tmp_path / f"part{n}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(part))
+        target = tmp_path / "in" / "events.parquet"
+        target.mkdir(parents=True, exist_ok=True)
+        (file,) = part.glob("*.parquet")
+        file.rename(target / f"{n}.parquet")
+        os.utime(target / f"{n}.parquet", (1000 + n, 1000 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run_to_table(windowed_counts(stream)).collect()
+    hours = {(r["window"]["start"] - start).total_seconds() / 3600: r["n"] for r in out}
+    assert len(hours) == len(out) and hours == {float(h): 1 for h in [*range(48), 49]}  # window 60 is not passed yet, the late row of hour 1 is gone
+
+
 def test_stream_equals_batch(spark):
-    out = run_to_table(windowed_counts(event_stream(spark, SMALL), late="3650 days"))
+    out = run_to_table(windowed_counts(event_stream(spark, SMALL), late="3650 days"), mode="complete")
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SMALL}/events.parquet").select("event_id").distinct().count()
 
 
+def test_audit_rows_and_orphans(spark):
+    turns = "array<struct<role:string,content:string>>"
+    sessions = spark.createDataFrame([(" a ", [("user", "x")]), ("b", None), ("c", [("user", "x")]), ("d", [("user", "x")]), ("", None)], f"session_id string, session {turns}")
+    manifest = spark.createDataFrame([("a", ("f",), None, "temporal_query"), ("b", ("f",), False, None), ("c", None, False, None)], "custom_id string, evidence struct<fact:string>, is_temporal boolean, question_type string")
+    joined, orphans = rows.audit_rows(sessions, manifest)
+    assert [(r["session_id"], r["is_temporal"]) for r in joined.collect()] == [("a", True)] and sorted(r[0] for r in orphans.collect()) == ["b", "c", "d"]
+
+
+def test_small_shapes(spark):
+    assert strict_schema({"type": "object", "properties": {"a": {"type": "array", "items": [{"type": "object", "properties": {}}]}}}) == {"type": "object", "properties": {"a": {"type": "array", "items": [{"type": "object", "properties": {}, "additionalProperties": False}]}}, "additionalProperties": False}
+    df = spark.createDataFrame([("", "e1"), ("e2", "x"), (None, "")], "t string, n string")
+    assert [r[0] for r in df.select(ids.record_evidence_id(F.col("t"), F.col("n"))).collect()] == ["e1", "e2", None]
+    runs = spark.createDataFrame([(1, " q ", "p")], "run_id long, query string, persona_id string")
+    none = retrieval.Delta.none(runs)
+    assert none.exclude.count() == none.strip.count() == none.ensure.count() == 0 and none.exclude.columns == ["run_id", "url"]
+    known = spark.createDataFrame([("q", "persona_1")], "query string, persona string")
+    assert rows.attach_persona(runs, known).first()["persona"] == "persona_1" and rows.attach_persona(runs, known.limit(0)).first()["persona"] == "tbd"
+    assert runs.select(rows.record_persona(runs)).first()[0] == "p"
+    h = spark.range(1).select(rows.hop_count(F.array(F.lit("a"), F.lit("a")), F.lit(None).cast("array<string>"))).first()[0]
+    assert h == 2
+
+
+def test_the_last_row_of_an_audit_wins_whatever_the_files(spark, tmp_path):
+    row = lambda i, n: json.dumps({"session_id": i, "key_information": [n], "error": None})
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.jsonl").write_text("\n".join([row("s", 1), row("s", 2)]) + "\n")
+    (tmp_path / "a" / "2.jsonl").write_text("\n".join([row("s", 3), *[row(f"x{i}", 0) for i in range(2000)]]) + "\n")
+    got = {r["session_id"]: r["key_information"] for r in readers.audit_map(spark, str(tmp_path / "a")).collect()}
+    assert got["s"] == [3]
+
+
 def test_entry_and_oracles():
     import __spark_entry__ as e
 
