@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .components import components
 
-SLICE = 4096  # classes whose registers are in memory at once
+SLICE = 16_384  # classes whose band keys are in memory at once (their places must fit 16 bits)
 PART_KEYS = 4_000_000  # band keys of one part of the key space
 
 
@@ -80,12 +80,16 @@ def signatures(bags: list[str], count: int, stream: int) -> tuple[np.ndarray, np
 
     rng = np.random.Generator(np.random.PCG64(20240229 + stream))
     xor, mul = rng.integers(0, 2**32, count, np.uint32), rng.integers(0, 2**32, count, np.uint32) | np.uint32(1)
-    least, sizes = np.empty((len(bags), count), np.uint32), np.empty(len(bags), np.int64)
-    for i, bag in enumerate(bags):
-        el = elements(bag)
-        sizes[i] = len(el)
-        least[i] = least_hashes(np.fromiter((h64(e) >> 32 for e in el), np.uint32, len(el)), xor, mul)
-    return registers(least), sizes
+    reg, sizes = np.empty((len(bags), count), np.uint16), np.empty(len(bags), np.int64)
+    for start in range(0, len(bags), 1024):
+        part = bags[start : start + 1024]
+        least = np.empty((len(part), count), np.uint32)
+        for i, bag in enumerate(part):
+            el = elements(bag)
+            sizes[start + i] = len(el)
+            least[i] = least_hashes(np.fromiter((h64(e) >> 32 for e in el), np.uint32, len(el)), xor, mul)
+        reg[start : start + len(part)] = registers(least)
+    return reg, sizes
 
 
 def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -147,15 +151,24 @@ def band_keys(reg: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
-def meet(keys: np.ndarray, ids: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of ids (lesser first) with equal keys, each once; and (key, id) of keys that more than ``hot`` ids share."""
+def meet(keys: np.ndarray, ids: np.ndarray, hot: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(a, b, False): pairs of ids (lesser first) with equal keys, about ``most`` at a time, each once in its batch; and
+    (id, key, True) of keys that more than ``hot`` ids share."""
     order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.r_[start, len(keys)])
     many = length > hot
     at_hot = np.repeat(start[many], length[many]) + (np.arange(length[many].sum()) - np.repeat(np.cumsum(length[many]) - length[many], length[many]))
-    a, b = [], []
+    yield ids[at_hot], keys[at_hot].astype(np.int64), True
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+
+    def batch() -> tuple[np.ndarray, np.ndarray, bool]:
+        x, y = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+        return pairs[:, 0], pairs[:, 1], False
+
     start, length = start[(length > 1) & ~many], length[(length > 1) & ~many]
     for gap in range(1, int(length.max()) if len(length) else 0):
         runs = length > gap
@@ -163,10 +176,24 @@ def meet(keys: np.ndarray, ids: np.ndarray, hot: int) -> tuple[np.ndarray, np.nd
         first = np.repeat(start, length - gap) + (np.arange((length - gap).sum()) - np.repeat(np.cumsum(length - gap) - (length - gap), length - gap))
         a.append(ids[first])
         b.append(ids[first + gap])
-    x = np.concatenate(a) if a else np.zeros(0, np.int64)
-    y = np.concatenate(b) if b else np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
-    return pairs[:, 0], pairs[:, 1], keys[at_hot], ids[at_hot]
+        if sum(map(len, a)) >= most:
+            yield batch()
+            a, b = [], []
+    if a:
+        yield batch()
+
+
+def blob_values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays in a row, and how many each row has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // size
+
+
+def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One packed array per pair of cuts, without copying row by row."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def near_duplicates(
@@ -211,40 +238,43 @@ def near_duplicates(
                 ids = block.column(0).to_numpy()
                 all_keys = band_keys(signatures(block.column(1).to_pylist(), count, 1)[0], chosen)
                 breaks = np.r_[0, np.flatnonzero(np.diff(ids) != 1) + 1, len(ids)]
-                made = []
                 for i, j in zip(breaks[:-1], breaks[1:]):
                     keys = all_keys[i:j].ravel()
-                    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                    part = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
                     offset = np.repeat(np.arange(j - i, dtype=np.uint16), len(chosen))
                     order = np.argsort(part, kind="stable")
-                    keys, part, offset = keys[order].astype(np.uint32), part[order], offset[order]
-                    cuts = np.searchsorted(part, np.arange(parts + 1))
-                    made += [(p, int(ids[i]), keys[lo:hi].tobytes(), offset[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if hi > lo]
-                if made:
-                    columns = list(zip(*made))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["part", "base", "keys", "offsets"])
+                    present, first = np.unique(part[order], return_index=True)
+                    cuts = np.r_[first, len(order)]
+                    yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(np.full(len(present), ids[i])), blobs(keys[order].astype(np.uint32), cuts), blobs(offset[order], cuts)], ["part", "base", "keys", "offsets"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of one part after another (its blocks come one after another); members of hot keys as they are."""
 
-        def done(part: int, keys: list, ids: list) -> pa.RecordBatch:
-            a, b, hot_keys, hot_ids = meet(np.concatenate(keys), np.concatenate(ids), hot)
-            code = (np.int64(part) << np.int64(32)) | hot_keys.astype(np.int64)
-            one = pa.array(np.r_[a, hot_ids], pa.int64())
-            two = pa.array(np.r_[b, code], pa.int64())
-            return pa.RecordBatch.from_arrays([one, two, pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(code), bool)])], ["a", "b", "is_hot"])
+        def done(part: int, keys: list, ids: list) -> Iterator[pa.RecordBatch]:
+            for a, b, is_hot in meet(np.concatenate(keys), np.concatenate(ids), hot):
+                if len(a):
+                    two = b | (np.int64(part) << np.int64(32)) if is_hot else b
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(two, pa.int64()), pa.array(np.full(len(a), is_hot))], ["a", "b", "is_hot"])
 
         now, keys, ids = -1, [], []
         for batch in batches:
-            for part, base, k, o in zip(*[batch.column(i) for i in range(4)]):
-                if part.as_py() != now:
+            if not batch.num_rows:
+                continue
+            part = batch.column(0).to_numpy()
+            k, n = blob_values(batch.column(2), np.uint32)
+            i = np.repeat(batch.column(1).to_numpy(), n) + blob_values(batch.column(3), np.uint16)[0].astype(np.int64)
+            ends = np.cumsum(n)
+            rows = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+            for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist()):
+                if part[lo] != now:
                     if keys:
-                        yield done(now, keys, ids)
-                    now, keys, ids = part.as_py(), [], []
-                keys.append(np.frombuffer(k.as_buffer(), np.uint32))
-                ids.append(np.frombuffer(o.as_buffer(), np.uint16).astype(np.int64) + base.as_py())
+                        yield from done(now, keys, ids)
+                    now, keys, ids = int(part[lo]), [], []
+                span = slice(ends[lo] - n[lo], ends[hi - 1])
+                keys.append(k[span].copy())
+                ids.append(i[span])
         if keys:
-            yield done(now, keys, ids)
+            yield from done(now, keys, ids)
 
     blocks = classes.select("id", "bag").mapInArrow(keyed, "part int, base bigint, keys binary, offsets binary").repartition(parts, "part").sortWithinPartitions("part")
     found = materialise(blocks.mapInArrow(met, "a bigint, b bigint, is_hot boolean"), "met")

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 
 from evplace.llm.components import components
-from evplace.llm.neardup import banding, bands_for, chance_agreement, duplicate_groups, elements, meet, miss_probability, near_duplicates, rows_for, signatures, similar_pairs
+from evplace.llm.neardup import banding, bands_for, blob_values, blobs, chance_agreement, duplicate_groups, elements, meet, miss_probability, near_duplicates, rows_for, signatures, similar_pairs
 
 
 def bag(*texts):
@@ -102,11 +102,18 @@ def test_meet_against_brute_force():
     rng = np.random.default_rng(2)
     keys, ids = rng.integers(0, 60, 400).astype(np.uint32), rng.integers(0, 150, 400)
     keys[:90] = 7
-    a, b, hot_keys, hot_ids = meet(keys, ids, hot=50)
     want = {(min(x, y), max(x, y)) for k in set(keys.tolist()) - {7} for i, x in enumerate(ids[keys == k].tolist()) for y in ids[keys == k].tolist()[i + 1 :] if x != y}
-    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
-    assert set(hot_keys.tolist()) == {7} and sorted(hot_ids.tolist()) == sorted(ids[keys == 7].tolist())
-    assert all(len(x) == 0 for x in meet(keys[:0], ids[:0], 50))
+    for most in (10**6, 20):  # all pairs at once, and few at a time
+        out = list(meet(keys, ids, 50, most))
+        got = [(x, y) for a, b, is_hot in out if not is_hot for x, y in zip(a.tolist(), b.tolist())]
+        assert set(got) == want and (len(got) == len(want) or most == 20)
+        (hot_ids, hot_keys, _), *_ = [x for x in out if x[2]]
+        assert set(hot_keys.tolist()) == {7} and sorted(hot_ids.tolist()) == sorted(ids[keys == 7].tolist())
+    assert all(len(a) == 0 for a, _, _ in meet(keys[:0], ids[:0], 50))
+    # Packed arrays and back, also of a slice.
+    column = blobs(np.arange(10, dtype=np.uint32), np.array([0, 3, 3, 10]))
+    values, sizes = blob_values(column, np.uint32)
+    assert values.tolist() == list(range(10)) and sizes.tolist() == [3, 0, 7] and blob_values(column.slice(1), np.uint32)[0].tolist() == list(range(3, 10))
 
 
 def test_hot_keys_take_the_join(spark):
