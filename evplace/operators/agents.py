@@ -129,10 +129,15 @@ def call_model(df: DataFrame, prompt: str, client: Callable[[], Client] = StubCl
 
 
 def passages_block(memory: Column, documents: Column) -> Column:
-    """Numbered passages, memory first; a placeholder if there are none."""
-    every = F.concat(F.coalesce(memory, F.expr("cast(array() as array<string>)")), F.coalesce(documents, F.expr("cast(array() as array<string>)")))
-    lines = F.transform(every, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x))
-    return F.when(F.size(every) == 0, "(no passages retrieved)").otherwise(F.array_join(lines, "\n"))
+    """The passages in two sections, memory first, each numbered by itself; a placeholder if there are none."""
+
+    def section(title: str, tag: str, texts: Column) -> Column:
+        lines = F.transform(texts, lambda x, i: F.concat(F.lit(f"[{tag}"), (i + 1).cast("string"), F.lit("] "), x))
+        return F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, F.concat(F.lit(f"{title}\n"), F.array_join(lines, "\n")))
+
+    typed = lambda c: c.cast("array<string>")
+    both = F.concat_ws("\n\n", section("From memory:", "M", typed(memory)), section("From documents:", "D", typed(documents)))
+    return F.when(both == "", "(no passages retrieved)").otherwise(both)
 
 
 def rag_prompt(block: Column, query: Column) -> Column:

@@ -60,7 +60,7 @@ def _stub_sql(prompts: str, passage: str) -> str:
 _WORDS = "len(list_filter(string_split_regex(prompt, '[\\s\\p{Z}]+'), lambda x: x <> ''))::INT"
 
 
-@query(f"""WITH {_BM25}, {_stub_sql("SELECT query_id, query, 'Passages:' || chr(10) || block || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM (SELECT query_id, string_agg('[' || rank || '] ' || coalesce(e.title, '') || ' ' || coalesce(e.fact, ''), chr(10) ORDER BY rank) AS block FROM bm JOIN evidence e ON e.evidence_id = bm.chunk_id GROUP BY 1) JOIN questions ON question_idx = query_id", "^\\[[0-9]+\\] ")}
+@query(f"""WITH {_BM25}, {_stub_sql("SELECT query_id, query, 'Passages:' || chr(10) || 'From documents:' || chr(10) || block || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM (SELECT query_id, string_agg('[D' || rank || '] ' || coalesce(e.title, '') || ' ' || coalesce(e.fact, ''), chr(10) ORDER BY rank) AS block FROM bm JOIN evidence e ON e.evidence_id = bm.chunk_id GROUP BY 1) JOIN questions ON question_idx = query_id", "^\\[D[0-9]+\\] ")}
     SELECT query_id, query, final_answer, reasoning, NULL::VARCHAR AS inference_error, {_WORDS} AS input_tokens FROM z""")
 def naive_rag_stub(spark, d):
     return agents.build_agent("agent_1")(_asked(spark, d).select("query_id", "query"), _found(spark, d)).drop("output_tokens")

@@ -206,7 +206,7 @@ def test_model_calls(spark):
     assert [r["inference_error"] for r in agents.call_model(df.coalesce(1), "prompt", Long).orderBy("id").collect()] == [None, "ValidationError: final_answer too long"]
     with pytest.raises(KeyError):
         agents.build_agent("agent_9")
-    assert spark.range(1).select(agents.passages_block(F.array(F.lit("m")), F.array(F.lit("d"))), agents.passages_block(F.lit(None), F.lit(None))).first() == ("[1] m\n[2] d", "(no passages retrieved)")
+    assert spark.range(1).select(agents.passages_block(F.array(F.lit("m")), F.array(F.lit("d"))), agents.passages_block(F.lit(None), F.lit(None))).first() == ("From memory:\n[M1] m\n\nFrom documents:\n[D1] d", "(no passages retrieved)")
 
 
 def test_session_audit(spark):
