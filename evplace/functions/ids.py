@@ -38,6 +38,11 @@ def scoped_evidence_id(source_question_id: Column, fields: dict[str, Column]) ->
     return F.substring(F.sha2(F.concat(source_question_id, F.lit("\n"), canonical_evidence(fields)), 256), 1, 32)
 
 
+def with_evidence_ids(source_question_id: Column, evidence: Column) -> Column:
+    """An array of evidence, each with its scoped id; null stays null."""
+    return F.transform(evidence, lambda e: e.withField("evidence_id", scoped_evidence_id(source_question_id, {name: e[name] for name in EVIDENCE_FIELDS})))
+
+
 def session_id(query: Column, evidence_id: Column, persona: Column | None = None) -> Column:
     base = F.concat(F.lit("q-"), query_fingerprint(query), F.lit("__ev-"), evidence_id)
     return base if persona is None else F.concat(base, F.lit("__p-"), persona)

@@ -70,3 +70,14 @@ def failure_notes(prediction: Column, n_hit: Column, n_gold: Column, correct: Co
             tag((n_hit > 0) & (n_hit < n_gold), F.lit("partial recall")),
         )
     )
+
+
+def retrieved_list(found: Column, gold: Column) -> Column:
+    """What was retrieved, numbered in order, gold marked. found, gold: arrays of ids."""
+    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.when(F.array_contains(gold, x), " [gold]").otherwise(""))
+    return F.coalesce(F.array_join(F.transform(F.array_compact(found), line), "\n"), F.lit(""))
+
+
+def missed_gold(found: Column, gold: Column) -> Column:
+    """The gold that was not retrieved, sorted."""
+    return F.array_join(F.array_sort(F.array_except(gold, F.coalesce(found, F.expr("cast(array() as array<string>)")))), ", ")

@@ -444,3 +444,15 @@ def topic_recall(spark, d):
 @query(f"WITH {v.RUNS} SELECT variant, eval_persona, count(*) AS n FROM runs GROUP BY ALL")
 def variant_counts(spark, d):
     return v.runs(spark, d, "variant", "eval_persona").groupBy("variant", "eval_persona").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_GOLD}, gu AS (SELECT run_id, list(DISTINCT url) AS gold FROM gold WHERE variant <> 'memory_only' GROUP BY 1),
+    fo AS (SELECT run_id, list_filter(list_transform(retrieved_documents, lambda x: x.url), lambda x: x IS NOT NULL) AS found FROM runs),
+    li AS (SELECT run_id, i, found[i] || CASE WHEN list_contains(gold, found[i]) THEN ' [gold]' ELSE '' END AS line FROM (SELECT run_id, gold, found, unnest(range(1, len(found) + 1)) AS i FROM fo JOIN gu USING (run_id)))
+    SELECT gu.run_id, coalesce((SELECT string_agg(i || '. ' || line, chr(10) ORDER BY i) FROM li WHERE li.run_id = gu.run_id), '') AS retrieved,
+      array_to_string(list_sort(list_filter(gold, lambda x: NOT list_contains(coalesce(found, []), x))), ', ') AS missed FROM gu JOIN fo USING (run_id)""")
+def inspection_lists(spark, d):
+    """Per run with document gold: the documents it retrieved, gold marked, and the gold it missed."""
+    gold = _gold(spark, d).where("variant <> 'memory_only'").groupBy("run_id").agg(F.collect_set("url").alias("gold"))
+    r = v.runs(spark, d, "retrieved_documents").select("run_id", F.array_compact(F.transform("retrieved_documents", lambda x: x["url"])).alias("found")).join(gold, "run_id")
+    return r.select("run_id", reports.retrieved_list(F.col("found"), F.col("gold")).alias("retrieved"), reports.missed_gold(F.col("found"), F.col("gold")).alias("missed"))

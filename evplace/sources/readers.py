@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ids
 from ..operators.relational import keep_one, pending
+from ..operators.rows import attach_persona, hop_count
 from . import schemas as s
 
 
@@ -123,6 +125,21 @@ def persona_by_query(df: DataFrame) -> DataFrame:
     return g.drop("n")
 
 
+def questions(spark: SparkSession, path: str, personas: DataFrame | None = None) -> DataFrame:
+    """The questions file: ids resolved, evidence of all four arrays with scoped ids, hops counted where missing.
+
+    ``personas`` (query, persona) names the persona of questions that have none; others are tbd.
+    """
+    raw = spark.read.schema(s.QUESTION).json(path).withColumn("question_idx", ids.normal_question_idx(F.col("question_idx")))
+    raw = raw.withColumn("question_id", ids.resolve_question_id(F.col("question_id"), F.col("question_idx"), F.col("query"), F.monotonically_increasing_id()))
+    for name in ("memory_evidence", "evidence_list", "golden_memory_evidence", "golden_document_evidence"):
+        raw = raw.withColumn(name, ids.with_evidence_ids(F.col("question_id"), F.col(name)))
+    raw = raw.withColumn("hop_count", F.coalesce("hop_count", hop_count(F.col("golden_memory_evidence"), F.col("golden_document_evidence"))))
+    if personas is None:
+        return raw.withColumn("original_persona", F.coalesce("original_persona", F.lit("tbd")))
+    return attach_persona(raw, persona_by_query(personas)).withColumn("original_persona", F.coalesce("original_persona", "persona")).drop("persona")
+
+
 def fillers(sessions: DataFrame) -> dict[str, DataFrame]:
     """Filler conversations by the origin named in their id."""
     return {name: sessions.where(F.contains("session_id", F.lit(name))) for name in ("ultrachat", "sharegpt")}

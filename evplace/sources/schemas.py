@@ -24,6 +24,8 @@ TURNS = struct(turns=T.ArrayType(TURN))
 RETRIEVED = struct(text=S, session_id=S, url=S, score=D, source_type=S)
 RUN = struct(question_idx=I, block_id=I, original_persona=S, eval_persona=S, variant=S, agent=S, query=S, prediction=S, gold_answer=S, question_type=S, latency_s=D, input_tokens=I, output_tokens=I, total_tokens=I, golden_memory_session_ids=T.ArrayType(S), golden_document_urls=T.ArrayType(S), retrieved_memory=T.ArrayType(RETRIEVED), retrieved_documents=T.ArrayType(RETRIEVED))
 AUDIT = struct(session_id=S, evidence_id=S, source_question_id=S, is_temporal=B, topic=T.ArrayType(I), source=T.ArrayType(I), key_information=T.ArrayType(I), published_at=T.ArrayType(I), notes=S, all_required_present=B, error=S)
+_SETS = T.ArrayType(EVIDENCE)
+QUESTION = struct(question_idx=S, question_id=S, query=S, gold_answer=S, question_type=S, original_persona=S, hop_count=I, memory_evidence=_SETS, evidence_list=_SETS, golden_memory_evidence=_SETS, golden_document_evidence=_SETS)
 DESIGN = struct(Block1=I, dist=S, agent=S, persona=S)
 
 

@@ -296,6 +296,17 @@ def test_small_shapes(spark):
     assert h == 2
 
 
+def test_questions_file(spark, tmp_path):
+    e = {"title": "T", "fact": "F", "url": "u"}
+    lines = [{"question_idx": "7.0", "query": " q ", "golden_memory_evidence": [e, e], "golden_document_evidence": [e]}, {"question_idx": "8", "query": "r", "hop_count": 5, "original_persona": "persona_2", "memory_evidence": None}]
+    path = write(tmp_path / "q.jsonl", "\n".join(map(json.dumps, lines)))
+    got = {r["question_idx"]: r for r in readers.questions(spark, path, spark.createDataFrame([("q", "persona_1")], "query string, persona string")).collect()}
+    assert (got["7"]["hop_count"], got["7"]["original_persona"], got["8"]["hop_count"], got["8"]["original_persona"]) == (3, "persona_1", 5, "persona_2")
+    one, two = got["7"]["golden_memory_evidence"]
+    assert len(one["evidence_id"]) == 32 and one["evidence_id"] == two["evidence_id"] == got["7"]["golden_document_evidence"][0]["evidence_id"] and got["8"]["memory_evidence"] is None
+    assert readers.questions(spark, path).where("original_persona = 'tbd'").count() == 1
+
+
 def test_the_last_row_of_an_audit_wins_whatever_the_files(spark, tmp_path):
     row = lambda i, n: json.dumps({"session_id": i, "key_information": [n], "error": None})
     (tmp_path / "a").mkdir()
