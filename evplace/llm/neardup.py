@@ -203,7 +203,7 @@ def near_duplicates(
     threshold: float = 0.8,
     miss: float = 1e-3,
     rows: int | None = None,
-    sketch: int = 128,
+    sketch: int = 64,
     hot: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): member (record_id, class_id) and links between classes (a, b, similarity), a < b."""
