@@ -9,9 +9,9 @@ the similarity of the two bags (sum of lesser counts over sum of greater counts)
 2. HyperMinHash: per hash function the least hash of a class's elements is stored
    as its leading-zero count and the next 10 bits: 2 bytes per bucket.
 3. Each band is a set of ``rows`` registers; classes that agree on all of them are
-   candidates. ``rows`` grows with the logarithm of the classes, so that unlike
-   classes meet by chance about as often per class at any size, and the number of
-   bands follows from it: the least that misses a pair at the threshold with
+   candidates. ``rows`` grows with the logarithm of the classes, so that classes
+   that meet by chance grow less than with the square, and the number of bands
+   follows from it: the least that misses a pair at the threshold with
    probability ``miss`` at most (``bands_for``). Band keys travel in columnar blocks,
    one per part of the key space, and are sorted part by part; keys that very many
    classes share are spread over tasks by a join instead (``hot``).
@@ -129,7 +129,7 @@ def bands_for(threshold: float, rows: int, count: int, miss: float) -> int:
 
 
 def rows_for(classes: int) -> int:
-    """Registers per band: unlike classes (similarity about a quarter) share a band with one class by chance at most."""
+    """Registers per band: those with which classes of similarity a quarter would share a band with one other class at most."""
     return max(6, round(math.log(max(classes, 2)) / math.log(4)))
 
 
